@@ -10,21 +10,40 @@ from pyspark.sql import functions as F
 from quietwire import schema as S
 
 
-def _endpoint(side: str) -> Column:
-    return F.struct(F.col(f"{side}_ip").alias("ip"),
-                    F.coalesce(F.col(f"{side}_port"), F.lit(-1)).alias("port"))
+def _port(side: str) -> Column:
+    return F.coalesce(F.col(f"{side}_port"), F.lit(-1))
 
 
 def low_to_high() -> Column:
     """True when the packet travels from the smaller endpoint to the larger one."""
-    return _endpoint("src") <= _endpoint("dst")
+    src, dst = F.col("src_ip"), F.col("dst_ip")
+    return (src < dst) | ((src == dst) & (_port("src") <= _port("dst")))
 
 
-def direction_key() -> Column:
+def direction_key(lo_to_hi: Column | None = None) -> Column:
     """B1: same text for both directions, endpoints ordered by (ip text, port)."""
-    ends = (F.least(_endpoint("src"), _endpoint("dst")), F.greatest(_endpoint("src"), _endpoint("dst")))
-    texts = [F.concat(e.getField("ip"), F.lit(":"), e.getField("port").cast("string")) for e in ends]
-    return F.concat(texts[0], F.lit("-"), texts[1], F.lit("-"), F.col("protocol").cast("string"))
+    def end(side: str) -> Column:
+        return F.concat(F.col(f"{side}_ip"), F.lit(":"), _port(side).cast("string"))
+
+    lo = low_to_high() if lo_to_hi is None else lo_to_hi
+    src, dst = end("src"), end("dst")
+    text = F.concat(F.when(lo, src).otherwise(dst), F.lit("-"), F.when(lo, dst).otherwise(src),
+                    F.lit("-"), F.col("protocol").cast("string"))
+    # never null: joins on the key then add no null test that repeats the whole text expression
+    return F.coalesce(text, F.lit(""))
+
+
+# ip:port-ip:port-protocol; an IPv6 address may hold colons, never a dash
+_KEY_TEXT = r"^(.*):(-?\d+)-(.*):(-?\d+)-(\d+)$"
+
+
+def key_part(key: str, name: str) -> Column:
+    """A field of a direction key: ``lo_ip lo_port hi_ip hi_port protocol``."""
+    index = ("lo_ip", "lo_port", "hi_ip", "hi_port", "protocol").index(name) + 1
+    text = F.regexp_extract(F.col(key), _KEY_TEXT, index)
+    if name.endswith("_ip"):
+        return text
+    return F.nullif(text.cast("int"), F.lit(-1))
 
 
 def unidirectional_key() -> Column:

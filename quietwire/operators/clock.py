@@ -19,19 +19,19 @@ ARRIVAL_BLOCK = 1_000_000
 
 def tick(ts: Column, width: float) -> Column:
     """Number of the ``width``-second bucket."""
-    return F.floor(ts / F.lit(float(width))).cast("long")
+    return F.coalesce(F.floor(ts / F.lit(float(width))).cast("long"), F.lit(0).cast("long"))
 
 
-def carried(summary: DataFrame, keys: Sequence[str], tile: str,
-            carries: Mapping[str, Column]) -> DataFrame:
-    """One row per (key, tile) with aggregates over the *earlier* tiles of the key.
+def with_carry(summary: DataFrame, keys: Sequence[str], tile: str,
+               carries: Mapping[str, Column]) -> DataFrame:
+    """Adds aggregates over the *earlier* tiles of each key.
 
     ``summary`` holds one row per (key, tile), so a key contributes as many rows
     to a task as it has tiles, however many packets it has.
     """
     earlier = (Window.partitionBy(*keys).orderBy(tile)
                .rowsBetween(Window.unboundedPreceding, -1))
-    return summary.select(*keys, tile, *[c.over(earlier).alias(n) for n, c in carries.items()])
+    return summary.withColumns({n: c.over(earlier) for n, c in carries.items()})
 
 
 def arrival_watermark(packets: DataFrame, block_rows: int = ARRIVAL_BLOCK) -> DataFrame:
@@ -40,10 +40,10 @@ def arrival_watermark(packets: DataFrame, block_rows: int = ARRIVAL_BLOCK) -> Da
     # a constant key puts one summary row per million packets into one task
     summary = (blocks.groupBy("_block").agg(F.max("ts").alias("_top"))
                .withColumn("_all", F.lit(0)))
-    before = carried(summary, ["_all"], "_block", {"_carry": F.max("_top")}).drop("_all")
+    before = with_carry(summary, ["_all"], "_block", {"_carry": F.max("_top")})
     local = (Window.partitionBy("_block").orderBy("pkt_seq")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (blocks.join(before, "_block")
+    return (blocks.join(before.select("_block", "_carry"), "_block")
             .withColumn("wm", F.greatest(F.max("ts").over(local), F.col("_carry")))
             .drop("_block", "_carry"))
 

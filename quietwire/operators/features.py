@@ -40,7 +40,7 @@ def _gap_columns() -> list[Column]:
 
 
 def _oriented_gap(stat: str, forward: bool) -> Column:
-    lo_first = F.col("first.lo_to_hi") if forward else ~F.col("first.lo_to_hi")
+    lo_first = F.col("first_lo") if forward else ~F.col("first_lo")
     chosen = F.when(lo_first, F.col(f"lo_iat_{stat}")).otherwise(F.col(f"hi_iat_{stat}"))
     return F.coalesce(chosen, F.lit(0.0)).alias(f"{'fwd' if forward else 'rev'}_iat_{stat}")
 

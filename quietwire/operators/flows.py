@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwire.functions import keys as K
-from quietwire.operators.clock import arrival_watermark, carried, tick
+from quietwire.operators.clock import arrival_watermark, tick, with_carry
 from quietwire.schema import FlowParams
 
 SEGMENT = ["direction_key", "epoch", "rst_no", "fin_no"]
@@ -32,8 +32,8 @@ def keyed_packets(packets: DataFrame, params: FlowParams, in_order: bool) -> Dat
     """Adds the conversation key, orientation, flag marks, arrival clock and tile."""
     clocked = packets.withColumn("wm", F.col("ts")) if in_order else arrival_watermark(packets)
     marks = {f"is_{n}": c for n, c in K.flag_marks().items()}
-    rows = clocked.withColumns({
-        "direction_key": K.direction_key(), "lo_to_hi": K.low_to_high(),
+    rows = clocked.withColumn("lo_to_hi", K.low_to_high()).withColumns({
+        "direction_key": K.direction_key(F.col("lo_to_hi")),
         "tile": tick(F.col("wm"), params.idle_sec), **marks,
     })
     closes = F.col("is_rst") | F.col("is_fin") if params.fin_grace_sec == 0 else F.col("is_rst")
@@ -45,10 +45,9 @@ def _silences(rows: DataFrame, params: FlowParams, in_order: bool) -> tuple[Data
     summary = rows.groupBy(*_TILE).agg(
         F.min("wm").alias("first_wm"), F.max("ts").alias("top_ts"),
         F.count_if("closes").alias("n_close"))
-    prior = carried(summary, ["direction_key"], "tile",
-                    {"prior_ts": F.max("top_ts"), "rst_before": F.sum("n_close")})
-    state = summary.select(*_TILE, "first_wm").join(prior, _TILE)
-    idle = F.lit(params.idle_sec)
+    state = with_carry(summary, ["direction_key"], "tile",
+                       {"prior_ts": F.max("top_ts"), "rst_before": F.sum("n_close")})
+    idle, none = F.lit(params.idle_sec), F.lit(0).cast("long")
     if in_order:
         through = (Window.partitionBy("direction_key").orderBy("tile")
                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -57,30 +56,32 @@ def _silences(rows: DataFrame, params: FlowParams, in_order: bool) -> tuple[Data
         state = state.withColumn("epoch_before", F.col("epoch") - opens.cast("long"))
     else:
         # late packets can leave a silence inside a tile: test every row
-        local = (Window.partitionBy(*_TILE).orderBy("pkt_seq")
-                 .rowsBetween(Window.unboundedPreceding, -1))
-        seen = F.greatest(F.max("ts").over(local), F.col("prior_ts"))
+        before = (Window.partitionBy(*_TILE).orderBy("pkt_seq")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        through = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = F.greatest(F.max("ts").over(before), F.col("prior_ts"))
         rows = rows.join(state.select(*_TILE, "prior_ts"), _TILE)
         rows = rows.withColumn("opens", F.coalesce(F.col("wm") - seen >= idle, F.lit(False)))
-        per_tile = rows.groupBy(*_TILE).agg(F.count_if("opens").alias("n_open"))
-        before = carried(per_tile, ["direction_key"], "tile", {"epoch_before": F.sum("n_open")})
-        state = state.join(before, _TILE).withColumn(
-            "epoch_before", F.coalesce("epoch_before", F.lit(0).cast("long")))
-        through = (Window.partitionBy(*_TILE).orderBy("pkt_seq")
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        rows = (rows.join(state.select(*_TILE, "epoch_before"), _TILE)
-                .withColumn("epoch", F.col("epoch_before") + F.count_if("opens").over(through))
-                .drop("prior_ts", "opens", "epoch_before"))
-        state = state.drop("first_wm", "prior_ts")
-    state = state.withColumn("rst_before", F.coalesce("rst_before", F.lit(0).cast("long")))
+        per_tile = rows.groupBy(*_TILE).agg(F.count_if("opens").alias("n_open"),
+                                            F.count_if("closes").alias("n_close"))
+        state = with_carry(per_tile, ["direction_key"], "tile",
+                           {"epoch_before": F.sum("n_open"), "rst_before": F.sum("n_close")})
+        state = state.withColumn("epoch_before", F.coalesce("epoch_before", none))
+        rows = rows.withColumn("opened", F.count_if("opens").over(through)).drop("prior_ts", "opens")
+    state = state.withColumn("rst_before", F.coalesce("rst_before", none))
     columns = [*_TILE, "epoch_before", "rst_before", *(["epoch"] if in_order else [])]
     return state.select(*columns), rows
 
 
-def _rst_no() -> Column:
+def _numbered(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows with the ``epoch`` and ``rst_no`` they belong to."""
     local = (Window.partitionBy(*_TILE).orderBy("pkt_seq")
              .rowsBetween(Window.unboundedPreceding, -1))
-    return F.col("rst_before") + F.count_if("closes").over(local)
+    out = rows.join(state, _TILE).withColumn(
+        "rst_no", F.col("rst_before") + F.count_if("closes").over(local))
+    if "opened" in rows.columns:
+        out = out.withColumn("epoch", F.col("epoch_before") + F.col("opened")).drop("opened")
+    return out
 
 
 def _fin_deadlines(rows: DataFrame, state: DataFrame, params: FlowParams) -> DataFrame:
@@ -91,8 +92,8 @@ def _fin_deadlines(rows: DataFrame, state: DataFrame, params: FlowParams) -> Dat
     clock from which packets belong to the next flow.
     """
     grace = F.lit(params.fin_grace_sec)
-    marked = rows.filter(F.col("is_fin") | F.col("closes")).join(state, _TILE)
-    fins = marked.withColumn("rst_no", _rst_no()).filter("is_fin and not closes")
+    marked = _numbered(rows.filter(F.col("is_fin") | F.col("closes")), state)
+    fins = marked.filter("is_fin and not closes")
     kept = fins.groupBy(*_COARSE).agg(F.aggregate(
         F.array_sort(F.collect_list(F.struct(
             "pkt_seq", "wm", (F.col("ts") + grace).alias("due")))),
@@ -108,23 +109,31 @@ def _fin_deadlines(rows: DataFrame, state: DataFrame, params: FlowParams) -> Dat
                     tick(at, params.idle_sec).alias("tile")))
 
 
+_NO_MARKS = "cast(array() as array<struct<epoch:bigint,rst_no:bigint,at:double,after_seq:bigint>>)"
+
+
 def _with_fin_carry(state: DataFrame, deadlines: DataFrame) -> DataFrame:
-    """Adds per tile the deadlines inside it and the number passed before it."""
+    """Adds per tile the deadlines inside it and the number passed before it.
+
+    Only the flow that was open when a tile began can be ended by a deadline of
+    an earlier tile, so one counter per tile is enough.
+    """
     inside = deadlines.groupBy(*_COARSE, "tile").agg(
         F.count("*").alias("n"),
         F.collect_list(F.struct("epoch", "rst_no", "at", "after_seq")).alias("marks"))
-    # what was open when the tile began is the only flow an earlier deadline can end
-    open_rows = state.select("direction_key", F.col("epoch_before").alias("epoch"),
-                             F.col("rst_before").alias("rst_no"), "tile",
-                             F.lit(0).cast("long").alias("n"), F.lit(True).alias("is_state"))
-    timeline = open_rows.unionByName(
-        inside.select(*_COARSE, "tile", "n", F.lit(False).alias("is_state")))
+    begun = state.withColumnsRenamed({"epoch": "tile_epoch"}).withColumns(
+        {"epoch": F.col("epoch_before"), "rst_no": F.col("rst_before")})
+    timeline = begun.unionByName(inside, allowMissingColumns=True)
     earlier = Window.partitionBy(*_COARSE).orderBy("tile").rangeBetween(
         Window.unboundedPreceding, -1)
-    carry = (timeline.withColumn("fin_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-             .filter("is_state").select(*_TILE, "fin_before"))
-    marks = inside.groupBy(*_TILE).agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    return state.join(carry, _TILE).join(marks, _TILE, "left")
+    timeline = timeline.withColumn("fin_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    is_state = F.col("epoch_before").isNotNull()
+    carried = ["epoch_before", "rst_before", *(["tile_epoch"] if "epoch" in state.columns else [])]
+    merged = timeline.groupBy(*_TILE).agg(
+        *[F.max(c).alias(c) for c in carried],
+        F.max(F.when(is_state, F.col("fin_before"))).alias("fin_before"),
+        F.flatten(F.collect_list("marks")).alias("marks"))
+    return merged.withColumnsRenamed({"tile_epoch": "epoch"}).filter("epoch_before is not null")
 
 
 def flow_packets(packets: DataFrame, params: FlowParams = FlowParams(),
@@ -138,11 +147,10 @@ def flow_packets(packets: DataFrame, params: FlowParams = FlowParams(),
     state, rows = _silences(rows, params, in_order)
     if params.fin_grace_sec > 0:
         state = _with_fin_carry(state, _fin_deadlines(rows, state, params))
-    out = rows.join(state, _TILE).withColumn("rst_no", _rst_no())
+    out = _numbered(rows, state)
     if params.fin_grace_sec > 0:
         passed = F.size(F.filter(
-            F.coalesce("marks", F.expr(
-                "cast(array() as array<struct<epoch:bigint,rst_no:bigint,at:double,after_seq:bigint>>)")),
+            F.col("marks"),
             lambda m: (m.epoch == F.col("epoch")) & (m.rst_no == F.col("rst_no"))
             & ((m.at < F.col("wm")) | ((m.at == F.col("wm")) & (m.after_seq < F.col("pkt_seq"))))))
         continues = ((F.col("epoch") == F.col("epoch_before"))
@@ -157,16 +165,18 @@ def flow_packets(packets: DataFrame, params: FlowParams = FlowParams(),
 def counter_columns() -> list[Column]:
     """D3 aggregates per orientation; rows without ``pkt_seq`` are gap rows and count nothing."""
     lo = F.col("lo_to_hi")
-    first = F.struct("lo_to_hi", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")
+    # arrival number and orientation of the first packet in one integer, so that
+    # the whole aggregation works on fixed-width buffers
+    coded = F.col("pkt_seq") * 2 + F.when(lo, 0).otherwise(1)
 
     def directed(name: str, value: Column) -> list[Column]:
         return [F.sum(value).alias(f"{name}_all"),
                 F.sum(F.when(lo, value).otherwise(F.lit(0))).alias(f"{name}_lo")]
 
     return [
-        F.min("pkt_seq").alias("first_seq"), F.max("pkt_seq").alias("last_seq"),
-        F.min_by(first, F.col("pkt_seq")).alias("first"),
+        F.min(coded).alias("first_coded"), F.max("pkt_seq").alias("last_seq"),
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
+        F.min(F.when(F.col("is_fin"), F.col("ts"))).alias("first_fin_ts"),
         *directed("packets", F.col("pkt_seq").isNotNull().cast("long")),
         *directed("bytes", F.col("ip_total_length").cast("long")),
         *directed("payload", F.col("payload_size").cast("long")),
@@ -178,7 +188,7 @@ def counter_columns() -> list[Column]:
 def oriented(low: str, total: str, forward: bool) -> Column:
     """A per-orientation counter as seen from the first packet of the flow."""
     lo, hi = F.col(low), F.col(total) - F.col(low)
-    pick = F.col("first.lo_to_hi") if forward else ~F.col("first.lo_to_hi")
+    pick = F.col("first_lo") if forward else ~F.col("first_lo")
     return F.when(pick, lo).otherwise(hi)
 
 
@@ -196,11 +206,21 @@ def direction_label(forward: str = "forward_packet_count",
 
 def finish_counters(grouped: DataFrame, *extra: Column) -> DataFrame:
     """D3: turns the orientation counters of a flow into forward/reverse ones."""
+    grouped = grouped.withColumns({
+        "first_seq": F.shiftright("first_coded", 1), "first_lo": F.col("first_coded") % 2 == 0,
+        **{n: K.key_part("direction_key", n)
+           for n in ("lo_ip", "lo_port", "hi_ip", "hi_port", "protocol")}})
+
+    def initiator(field: str, source: bool) -> Column:
+        pick = F.col("first_lo") if source else ~F.col("first_lo")
+        return F.when(pick, F.col(f"lo_{field}")).otherwise(F.col(f"hi_{field}"))
+
     out = grouped.select(
         flow_id().alias("flow_id"), *SEGMENT, "first_seq", "last_seq",
-        *[F.col(f"first.{c}").alias(c)
-          for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")],
-        "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration_sec"),
+        initiator("ip", True).alias("src_ip"), initiator("ip", False).alias("dst_ip"),
+        initiator("port", True).alias("src_port"), initiator("port", False).alias("dst_port"),
+        "protocol",
+        "start_time", "end_time", "first_fin_ts", (F.col("end_time") - F.col("start_time")).alias("duration_sec"),
         F.col("packets_all").alias("packet_count"), F.col("bytes_all").alias("byte_count"),
         F.col("payload_all").alias("payload_byte_count"),
         oriented("packets_lo", "packets_all", True).alias("forward_packet_count"),

@@ -7,6 +7,8 @@ SQL side.  The parameters are scaled to the 30 days the events span.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from quietwire.functions.numbers import severity
 from quietwire.operators.features import flow_features
 from quietwire.operators.flows import flows as build_flows
 from quietwire.schema import FlowParams, WindowParams
+from quietwire.session import cut_lineage
 
 FLOW_PARAMS = FlowParams(idle_sec=43200.0, fin_grace_sec=3600.0)
 WINDOW_PARAMS = WindowParams(
@@ -98,7 +101,30 @@ def events_of(flow: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_of(flows(spark, sf_dir))
+    return stored(spark, sf_dir, "events", lambda: events_of(stored_flows(spark, sf_dir)))
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per application to the shared checkpoint folder.
+
+    Detections, windows and reports read stored flows and events, as they would
+    in production; only the queries about flows and features build them anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
+def stored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "flows", lambda: flows(spark, sf_dir))
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "features", lambda: features(spark, sf_dir))
 
 
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
