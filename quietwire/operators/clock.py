@@ -52,3 +52,29 @@ def late_rows(packets: DataFrame, window_sec: float, bucket_sec: float) -> DataF
     """E5: marks rows whose bucket already left the window when they arrived."""
     oldest = tick(F.col("wm"), bucket_sec) - F.lit(int(window_sec // bucket_sec)) + 1
     return packets.withColumn("is_late", tick(F.col("ts"), bucket_sec) < oldest)
+
+
+def prefix_sums(rows: DataFrame, bucket: str, order: Sequence, sums: Mapping[str, Column],
+                keys: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums along ``order`` without ordering a key in one task.
+
+    ``bucket`` must not decrease (or, for a descending order, not increase) along
+    ``order``; pass it ready to be sorted ascending.  Each task orders one bucket,
+    and earlier buckets arrive as one summary row each.
+    """
+    keyed = rows if keys else rows.withColumn("_all", F.lit(0))
+    group = list(keys) or ["_all"]
+    summary = keyed.groupBy(*group, bucket).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    carry = with_carry(summary, group, bucket, {f"_c_{n}": F.sum(f"_s_{n}") for n in sums})
+    carry = carry.select(*group, bucket, *[f"_c_{n}" for n in sums])
+    local = (Window.partitionBy(*group, bucket).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = keyed.join(carry, [*group, bucket]).withColumns(
+        {n: F.sum(c).over(local) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n, c in sums.items()})
+    return out.drop("_all", *[f"_c_{n}" for n in sums])
+
+
+def ranked(rows: DataFrame, ts: str, tie: str, width: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``rank`` (1, 2, ...) in (ts, tie) order, one time bucket per task."""
+    bucketed = rows.withColumn("_bucket", tick(F.col(ts), width))
+    return prefix_sums(bucketed, "_bucket", [ts, tie], {"rank": F.lit(1).cast("long")}, keys).drop("_bucket")

@@ -85,6 +85,7 @@ def events_of(flow: DataFrame) -> DataFrame:
     score = ((n * 37 + F.col("stage") * 11) % 100) / F.lit(100.0)
     confidence = ((n * 53 + F.col("stage") * 7) % 100) / F.lit(100.0)
     kind = _pick((n + F.col("stage")) % 5)
+    live = n % 2 == 0
     return e.select(
         F.concat(F.lit("evt-"), n.cast("string"), F.lit("-"), F.col("stage").cast("string"))
          .alias("event_id"),
@@ -95,9 +96,14 @@ def events_of(flow: DataFrame) -> DataFrame:
         confidence.alias("confidence"),
         "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
         F.lit("1").alias("model_version"),
+        (F.col("end_time") + 5.0).alias("created_at"),
         F.to_json(F.struct(
-            F.concat(F.lit("m"), (n % 3).cast("string")).alias("classifier_model"),
-            F.struct((n % 2).cast("string").alias("mode")).alias("source"))).alias("metadata"))
+            F.struct(F.concat(F.lit("m"), (n % 3).cast("string")).alias("model_name"),
+                     F.lit("v1").alias("model_version")).alias("deployment_model"),
+            F.struct(F.when(live, F.concat(F.lit("eth"), (n % 3).cast("string"))).alias("capture_interface"),
+                     F.when(~live, F.concat(F.lit("file"), (n % 4).cast("string"))).alias("replay_file_identifier"),
+                     F.when(live, "LIVE").otherwise("REPLAY").alias("source_mode")).alias("source")))
+         .alias("metadata"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,8 +329,10 @@ select 'evt-'||first_seq||'-'||stage as event_id, case when stage=1 then end_tim
   flow_id, first_seq, stage, ((first_seq*37+stage*11)%100)/100.0::double as anomaly_score,
   """ + SEVERITY_SQL.format("((first_seq*37+stage*11)%100)/100.0::double") + """ as severity,
   """ + _PICK + """[(first_seq+stage)%5+1] as threat_type, ((first_seq*53+stage*7)%100)/100.0::double as confidence,
-  src_ip, dst_ip, src_port, dst_port, protocol, '1' as model_version,
-  '{"classifier_model":"m'||(first_seq%3)||'","source":{"mode":"'||(first_seq%2)||'"}}' as metadata
+  src_ip, dst_ip, src_port, dst_port, protocol, '1' as model_version, end_time + 5.0::double as created_at,
+  'm'||(first_seq%3) as model_name, case when first_seq%2=0 then 'LIVE' else 'REPLAY' end as source_mode,
+  case when first_seq%2=0 then 'eth'||(first_seq%3) end as capture_interface,
+  case when first_seq%2<>0 then 'file'||(first_seq%4) end as replay_file_identifier
 from (select *, unnest(case when packet_count>=3 then [0,1] else [1] end) as stage from flows)"""),
     "dns_base": ((), """
 select page_id::bigint as pid, (page_id//2)::bigint as transaction_id, '10.0.1.'||((page_id//2)%7) as client,

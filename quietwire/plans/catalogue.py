@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from quietwire.plans import flow_queries, window_queries  # noqa: F401
+from quietwire.plans import event_queries, flow_queries, window_queries  # noqa: F401
 from quietwire.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

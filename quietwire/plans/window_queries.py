@@ -58,12 +58,14 @@ select d.src_ip, d.dst_ip, d.protocol, d.dst_port, d.t, sum(j.forward_bytes)::bi
   count(*) filter (greatest(forward_bytes,reverse_bytes)/greatest(least(forward_bytes,reverse_bytes),1) >= 1.2 and forward_bytes<reverse_bytes) as heavy_reverse
 from pair_pts d join judged j using (src_ip,dst_ip,protocol,dst_port) where j.eval_tick <= d.t and j.end_tick > d.t-24 group by all"""),
     "wide": (("judged", "dst_win", "src_win", "con_win", "pair_times", "pair_bytes"), """
-select j.flow_id, j.first_seq, j.eval_tick, w.packets, w.syn, w.udp, w.flows, w.udp_flows, w.source_distinct, w.source_entropy,
+select j.flow_id, j.first_seq, j.eval_tick, coalesce(w.packets,0) as packets, coalesce(w.syn,0) as syn, coalesce(w.udp,0) as udp,
+  coalesce(w.flows,0) as flows, coalesce(w.udp_flows,0) as udp_flows, coalesce(w.source_distinct,0) as source_distinct,
+  coalesce(w.source_entropy,0.0) as source_entropy,
   coalesce(s.sessions,0) as sessions, coalesce(s.host_distinct,0) as host_distinct, coalesce(s.port_distinct,0) as port_distinct,
   coalesce(c.to_destination/s.sessions,0.0) as concentration,
   coalesce(t.n_times,0) as n_times, t.gap_mean, t.gap_std, case when gap_mean>0 then gap_std/gap_mean end as gap_cv,
   b.fwd_bytes, b.rev_bytes, b.heavy_forward, b.heavy_reverse
-from judged j join dst_win w on w.dst_ip=j.dst_ip and w.t=j.eval_tick
+from judged j left join dst_win w on w.dst_ip=j.dst_ip and w.t=j.eval_tick
 left join src_win s on s.src_ip=j.src_ip and s.t=j.eval_tick
 left join con_win c on c.src_ip=j.src_ip and c.dst_ip=j.dst_ip and c.t=j.eval_tick
 left join pair_times t on t.src_ip=j.src_ip and t.dst_ip=j.dst_ip and t.protocol=j.protocol and t.dst_port=j.dst_port and t.t=j.eval_tick
