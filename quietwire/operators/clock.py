@@ -78,3 +78,55 @@ def ranked(rows: DataFrame, ts: str, tie: str, width: float, keys: Sequence[str]
     """Adds ``rank`` (1, 2, ...) in (ts, tie) order, one time bucket per task."""
     bucketed = rows.withColumn("_bucket", tick(F.col(ts), width))
     return prefix_sums(bucketed, "_bucket", [ts, tie], {"rank": F.lit(1).cast("long")}, keys).drop("_bucket")
+
+
+def with_scalars(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table (totals, thresholds) to every row."""
+    keyed = one_row.withColumn("_one", F.lit(0))
+    return rows.withColumn("_one", F.lit(0)).join(F.broadcast(keyed), "_one").drop("_one")
+
+
+def value_bucket(value: Column) -> Column:
+    """A monotone bucket number for any finite double: 256 buckets per doubling."""
+    size = F.floor(F.log2(F.lit(1.0) + F.abs(value)) * 256)
+    return F.when(value < 0, -size - 1).otherwise(size).cast("long")
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
+                    quantiles: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of ``value`` per key.
+
+    A first pass counts rows per value bucket; only the buckets that hold a wanted
+    rank are looked at value by value, so no task ever holds a whole key.
+    """
+    keyed = rows.filter(F.col(value).isNotNull())
+    if not keys:
+        keyed = keyed.withColumn("_all", F.lit(0))
+    group = list(keys) or ["_all"]
+    keyed = keyed.select(*group, F.col(value).cast("double").alias("_v")).withColumn("_b", value_bucket(F.col("_v")))
+    summary = with_carry(keyed.groupBy(*group, "_b").agg(F.count("*").alias("_n")), group, "_b",
+                         {"_before": F.sum("_n")})
+    whole = Window.partitionBy(*group)
+    summary = summary.withColumns({"_before": F.coalesce("_before", F.lit(0)), "_total": F.sum("_n").over(whole)})
+
+    def position(q: float) -> Column:
+        return F.lit(q) * (F.col("_total") - 1)
+
+    ranks = {}
+    for name, q in quantiles.items():
+        ranks[f"{name}_lo"] = F.floor(position(q)) + 1
+        ranks[f"{name}_hi"] = F.ceil(position(q)) + 1
+    held = F.lit(False)
+    for r in ranks.values():
+        held = held | ((r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")))
+    wanted = summary.filter(held).select(*group, "_b", "_before", "_total")
+    near = keyed.join(F.broadcast(wanted), [*group, "_b"]) if not keys else keyed.join(wanted, [*group, "_b"])
+    counted = near.groupBy(*group, "_b", "_before", "_total", "_v").agg(F.count("*").alias("_n"))
+    inside = (Window.partitionBy(*group, "_b").orderBy("_v")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = counted.withColumn("_cum", F.col("_before") + F.sum("_n").over(inside))
+    picked = counted.groupBy(*group).agg(F.first("_total").alias("_total"), *[
+        F.min(F.when(F.col("_cum") >= r, F.col("_v"))).alias(n) for n, r in ranks.items()])
+    out = [(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (position(q) - F.floor(position(q)))).alias(n)
+           for n, q in quantiles.items()]
+    return picked.select(*keys, *out)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwire.functions.numbers import is_number
-from quietwire.operators.clock import prefix_sums, ranked, tick, with_carry
+from quietwire.operators.clock import prefix_sums, ranked, tick, with_scalars
 
 EVENT_ID = r"^[A-Za-z0-9_.:-]{1,128}$"
 MAX_EVENTS = 32
@@ -126,7 +126,7 @@ def oldest_beyond(events: DataFrame, max_count: int, bucket_sec: float = 3600.0)
     """
     total = events.agg(F.count("*").alias("total"))
     rows = ranked(events, "timestamp", "event_id", bucket_sec)
-    return (rows.crossJoin(F.broadcast(total))  # one row
+    return (with_scalars(rows, total)
             .filter(F.col("rank") <= F.col("total") - F.lit(max_count)).drop("rank", "total"))
 
 
@@ -147,15 +147,15 @@ def retention_batch(events: DataFrame, flow: DataFrame, max_count: int, cutoff:
     placed = Window.partitionBy(F.lit(0)).orderBy("timestamp", "event_id")  # at most row_limit/2 rows
     total = events.agg(F.count("*").alias("total"))
     excess = F.greatest(F.col("total") - F.lit(max_count), F.lit(0))
-    victims = (first.withColumn("place", F.row_number().over(placed)).crossJoin(F.broadcast(total))
+    victims = (with_scalars(first.withColumn("place", F.row_number().over(placed)), total)
                .filter((F.col("place") <= excess) | (F.col("timestamp") < F.lit(cutoff)))
                .select("event_id", "flow_id", "timestamp"))
     left = events.join(victims.select("event_id"), "event_id", "left_anti")
     eligible = flow.join(events.select("flow_id"), "flow_id", "left_semi")
     budget = victims.agg((F.lit(row_limit) - F.count("*")).alias("budget"))
     gone = orphan_flows(eligible, left).select("flow_id").orderBy("flow_id").limit(row_limit)
-    gone = (gone.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("flow_id")))
-            .crossJoin(F.broadcast(budget)).filter("place <= budget").select("flow_id"))
+    gone = gone.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("flow_id")))
+    gone = with_scalars(gone, budget).filter("place <= budget").select("flow_id")
     return victims, gone
 
 
