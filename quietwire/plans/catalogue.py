@@ -1,6 +1,7 @@
 """Imports every query module so that the registry is complete."""
 
-from quietwire.plans import evaluation_queries, event_queries, flow_queries, window_queries  # noqa: F401
+from quietwire.plans import (evaluation_queries, event_queries, feature_queries, flow_queries,
+                             window_queries)  # noqa: F401
 from quietwire.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]
