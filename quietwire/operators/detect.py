@@ -61,8 +61,11 @@ def as_arrays(statistics: DataFrame, columns: Sequence[str], *names: str) -> Dat
     maps = statistics.filter(F.col("feature").isin(*columns)).agg(*[
         F.map_from_entries(F.collect_list(F.struct("feature", n))).alias(n) for n in names])
     order = F.array(*[F.lit(c) for c in columns])
-    return maps.select(*[F.transform(order, lambda c, n=n: F.try_element_at(F.col(n), c)).alias(f"{n}_of")
-                         for n in names])
+
+    def in_order(name: str) -> Column:
+        return F.transform(order, lambda c: F.try_element_at(F.col(name), c)).alias(f"{name}_of")
+
+    return maps.select(*[in_order(n) for n in names])
 
 
 def standardise(rows: DataFrame, statistics: DataFrame, columns: Sequence[str] = S.LINEAR_FEATURES) -> DataFrame:

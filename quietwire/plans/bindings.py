@@ -161,7 +161,8 @@ def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("qr"), 53).otherwise(F.col("client_port")).alias("src_port"),
         F.when(F.col("qr"), F.col("client_port")).otherwise(53).alias("dst_port"),
         F.lit(17).alias("protocol"), "transaction_id", "qr", "rcode",
-        "qname", "qtype", "qclass", F.lit("PARSED").alias("status"))
+        F.array(F.struct(F.col("qname").alias("name"), "qtype", "qclass")).alias("questions"),
+        "qname", "qtype", F.lit("PARSED").alias("status"))
 
 
 def hellos(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ TCP_FIN, TCP_SYN, TCP_RST, TCP_PSH, TCP_ACK = 1, 2, 4, 8, 16
 PROTOCOL_NAMES: dict[int, str] = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMPv6"}
 DNS_TYPE_NAMES: dict[int, str] = {
     1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA",
-    33: "SRV", 41: "OPT", 43: "DS", 46: "RRSIG", 48: "DNSKEY", 65: "HTTPS", 255: "ANY",
+    33: "SRV", 41: "OPT", 43: "DS", 46: "RRSIG", 47: "NSEC", 48: "DNSKEY", 65: "HTTPS",
 }
 TLS_GREASE: tuple[int, ...] = tuple(0x0A0A + 0x1010 * i for i in range(16))
 
