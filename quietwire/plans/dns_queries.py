@@ -51,7 +51,7 @@ def _win(scope, pts):
     return f"""
 select {cols}, p.t, count(*) filter (not qr) as query_messages, count(*) filter (qr) as response_messages, count(*) filter (qr and rcode=3) as nxdomain,
  count(*) filter (visibility='PAIRED') as paired, count(*) filter (paired_nx) as paired_nxdomain, count(*) filter (not qr) as questions,
- count(distinct qname) filter (not qr) as unique_domains, count(distinct parent) filter (not qr) as unique_parents,
+ count(distinct qname) filter (not qr) as unique_domains, count(distinct m.parent) filter (not qr) as unique_parents,
  count(*) filter (not qr and high)/greatest(count(*) filter (not qr),1) as high_entropy_ratio, count(*) filter (not qr and longest_label>=40)/greatest(count(*) filter (not qr),1) as long_label_ratio,
  count(*) filter (not qr and qname_length>=60)/greatest(count(*) filter (not qr),1) as long_query_ratio, count(*) filter (not qr and qtype=16)/greatest(count(*) filter (not qr),1) as txt_ratio,
  sum(qname_length) filter (not qr)/nullif(count(*) filter (not qr),0) as mean_query_length, count(*) filter (qr and rcode=3)/nullif(count(*) filter (qr),0) as nxdomain_ratio,
