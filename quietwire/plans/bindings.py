@@ -33,8 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets_of(table(spark, sf_dir, "events"))
+
+
+def packets_of(e: DataFrame) -> DataFrame:
     """Packets from ``events``: one packet per row, ``event_id`` is the arrival number."""
-    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     cli = F.concat(F.lit("10.0.0."), (F.col("user_id") % 25).cast("string"))
     srv = F.concat(F.lit("192.0.2."), (k % 5).cast("string"))
