@@ -336,10 +336,10 @@ def probes(statistics: DataFrame, copies: int = 10) -> DataFrame:
     one = as_arrays(statistics, S.FEATURES, "mean", "std")
 
     def base(c: str) -> Column:
-        return F.coalesce(F.try_element_at(F.col("mean_of"), F.lit(c)), F.lit(0.0))
+        return F.coalesce(F.get("mean_of", F.lit(S.FEATURES.index(c))), F.lit(0.0))
 
     def spread(c: str) -> Column:
-        return F.coalesce(F.try_element_at(F.col("std_of"), F.lit(c)), F.lit(1.0))
+        return F.coalesce(F.get("std_of", F.lit(S.FEATURES.index(c))), F.lit(1.0))
 
     kinds = {
         "extreme_packet_sizes": {c: base(c) + spread(c) * 5 for c in SIZE_FEATURES},
