@@ -251,7 +251,7 @@ def gap_sessions(packets: DataFrame, idle_sec: float) -> DataFrame:
     """
     when = F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("long"))
     return (packets.select(K.direction_key().alias("direction_key"), "ts", when.alias("event_time"))
-            .groupBy("direction_key", F.session_window("event_time", f"{idle_sec} seconds"))
+            .groupBy("direction_key", F.session_window("event_time", f"{round(idle_sec * 1e6) - 1} microseconds"))
             .agg(F.count("*").alias("packet_count"), F.min("ts").alias("start_time"),
                  F.max("ts").alias("end_time"))
             .drop("session_window"))

@@ -33,7 +33,7 @@ def packet_stream(spark: SparkSession, path: str, schema: T.StructType, pattern:
 def session_flows(packets: DataFrame, idle_sec: float) -> DataFrame:
     """Flows by silence alone.  ``packets`` has a watermark."""
     return (packets.withColumn("direction_key", K.direction_key())
-            .groupBy("direction_key", F.session_window("event_time", f"{idle_sec} seconds"))
+            .groupBy("direction_key", F.session_window("event_time", f"{round(idle_sec * 1e6) - 1} microseconds"))
             .agg(F.count("*").alias("packet_count"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
             .drop("session_window"))
 
