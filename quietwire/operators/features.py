@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quietwire import schema as S
 from quietwire.functions import keys as K
 from quietwire.functions.numbers import safe_ratio
-from quietwire.operators.clock import tick
-from quietwire.operators.flows import (SEGMENT, border_gaps, counter_columns, finish_counters,
-                                       flow_packets)
+from quietwire.operators.clock import exact_quantiles, tick
+from quietwire.operators.flows import (SEGMENT, border_gaps, busy_conversations, counter_columns,
+                                       finish_counters, flow_packets, inter_arrivals)
 from quietwire.schema import FlowParams
 
 SIZE_QUANTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9}
@@ -31,7 +31,7 @@ def _gap_columns() -> list[Column]:
     """Gap statistics over both orientations and for each of them."""
     out = [F.avg("iat").alias("iat_mean"), F.stddev_pop("iat").alias("iat_std"),
            F.min("iat").alias("iat_min"), F.max("iat").alias("iat_max"),
-           F.percentile(F.col("iat"), F.lit(0.5)).alias("iat_median")]
+           F.percentile(F.when(~F.coalesce("busy", F.lit(False)), F.col("iat")), F.lit(0.5)).alias("iat_median")]
     for side, mask in (("lo", F.col("lo_to_hi")), ("hi", ~F.col("lo_to_hi"))):
         x = F.when(mask, F.col("iat"))
         out += [F.avg(x).alias(f"{side}_iat_mean"), F.stddev_pop(x).alias(f"{side}_iat_std"),
@@ -61,6 +61,8 @@ def flow_features(packets: DataFrame, params: FlowParams = FlowParams(),
     inner = rows.withColumn("iat", F.col("ts") - F.lag("ts").over(local))
     fed = inner.unionByName(border_gaps(rows, group), allowMissingColumns=True)
     grouped = fed.groupBy(*SEGMENT).agg(*counter_columns(), *_size_columns(), *_gap_columns())
+    grouped = grouped.join(_busy_medians(packets, params, in_order), SEGMENT, "left").withColumn(
+        "iat_median", F.coalesce("busy_median", "iat_median")).drop("busy_median")
     zero = F.lit(0.0)
     sizes = [F.col("size_q")[i].alias(f"pkt_size_{n}") for i, n in enumerate(SIZE_QUANTILES)]
     stats = ("mean", "std", "min", "max")
@@ -71,6 +73,17 @@ def flow_features(packets: DataFrame, params: FlowParams = FlowParams(),
     return with_features(flow)
 
 
+def _busy_medians(packets: DataFrame, params: FlowParams, in_order: bool) -> DataFrame:
+    """Gap medians of the flows of very large conversations, by value buckets.
+
+    An exact percentile keeps every distinct gap of a flow in one buffer; these
+    flows have too many.  Without such conversations the branch is empty.
+    """
+    rows = flow_packets(packets, params, in_order, only=busy_conversations(packets))
+    gaps = inter_arrivals(rows, params, in_order)
+    return exact_quantiles(gaps, SEGMENT, "iat", {"busy_median": 0.5})
+
+
 def with_features(flow: DataFrame) -> DataFrame:
     """Adds the derived features to a flow row that already has its statistics."""
     d = F.col

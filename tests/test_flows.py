@@ -140,3 +140,14 @@ def test_gaps_cross_tiles(packet_frame):
 def test_gap_sessions(packet_frame):
     got = gap_sessions(packet_frame(tcp(0.0), tcp(5.0), tcp(15.0), tcp(15.5)), 10.0).orderBy("start_time").collect()
     assert [(r.packet_count, r.start_time) for r in got] == [(2, 0.0), (2, 15.0)]
+
+
+@pytest.mark.parametrize("late,in_order", [(0, True), (2, False)])
+def test_busy_conversations_give_the_same_features(spark, packet_frame, monkeypatch, late, in_order):
+    from quietwire.operators import flows as module
+
+    frame = packet_frame(*noisy_capture(600, 3, late)).cache()
+    plain = {r.flow_id: r.iat_median for r in flow_features(frame, FlowParams(), in_order).select("flow_id", "iat_median").collect()}
+    monkeypatch.setattr(module, "BUSY_ROWS", 45)
+    busy = {r.flow_id: r.iat_median for r in flow_features(frame, FlowParams(), in_order).select("flow_id", "iat_median").collect()}
+    assert plain == pytest.approx(busy) and len(plain) > 50
