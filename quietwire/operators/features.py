@@ -61,8 +61,10 @@ def flow_features(packets: DataFrame, params: FlowParams = FlowParams(),
     inner = rows.withColumn("iat", F.col("ts") - F.lag("ts").over(local))
     fed = inner.unionByName(border_gaps(rows, group), allowMissingColumns=True)
     grouped = fed.groupBy(*SEGMENT).agg(*counter_columns(), *_size_columns(), *_gap_columns())
-    grouped = grouped.join(_busy_medians(packets, params, in_order), SEGMENT, "left").withColumn(
-        "iat_median", F.coalesce("busy_median", "iat_median")).drop("busy_median")
+    busy = busy_conversations(packets)
+    if not busy.isEmpty():  # one counting job decides whether the second path is needed at all
+        grouped = grouped.join(_busy_medians(packets, params, in_order, busy), SEGMENT, "left").withColumn(
+            "iat_median", F.coalesce("busy_median", "iat_median")).drop("busy_median")
     zero = F.lit(0.0)
     sizes = [F.col("size_q")[i].alias(f"pkt_size_{n}") for i, n in enumerate(SIZE_QUANTILES)]
     stats = ("mean", "std", "min", "max")
@@ -73,13 +75,13 @@ def flow_features(packets: DataFrame, params: FlowParams = FlowParams(),
     return with_features(flow)
 
 
-def _busy_medians(packets: DataFrame, params: FlowParams, in_order: bool) -> DataFrame:
+def _busy_medians(packets: DataFrame, params: FlowParams, in_order: bool, busy: DataFrame) -> DataFrame:
     """Gap medians of the flows of very large conversations, by value buckets.
 
     An exact percentile keeps every distinct gap of a flow in one buffer; these
-    flows have too many.  Without such conversations the branch is empty.
+    flows have too many.
     """
-    rows = flow_packets(packets, params, in_order, only=busy_conversations(packets))
+    rows = flow_packets(packets, params, in_order, only=busy)
     gaps = inter_arrivals(rows, params, in_order)
     return exact_quantiles(gaps, SEGMENT, "iat", {"busy_median": 0.5})
 
