@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quietwire.llm import decontaminate, exact_dedup, token_counts
+from quietwire.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, token_counts
 
 #: Fixed value: the vocabulary whose counts op5 gives.
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels that are not held out."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold benchmark windows, and how many of their words are covered."""
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
@@ -32,11 +38,30 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of op4 and the pipeline's last stage.
+TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+
+
+def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of op4: the language of the documents that ``labels`` covers."""
+    return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")), "doc_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and copies of all documents for the target weights."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), language_labels(spark, sf_dir), TARGETS)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of whole texts."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies and the number of links of each document."""
+    return ngram_join.near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -62,7 +87,10 @@ from n window g as (partition by text_sha256 order by chars desc, doc_id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_join": op6_ngram_join,
 }
