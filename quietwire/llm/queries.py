@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwire.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, token_counts
+from quietwire.llm import chat_format, decontaminate, exact_dedup, mixing, ngram_join, quality, token_counts, url_filter
+from quietwire.llm.tables import literal_rows
 
 #: Fixed value: the vocabulary whose counts op5 gives.
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +63,22 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+#: Fixed value: what both turns of the added conversation say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from the formatted conversations, and from one whose texts are control strings."""
+    added = literal_rows(spark, ("conv_id", "turn", "role", "text"), [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)])
+    held = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.round_trip_report(held.unionByName(added))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -85,6 +102,15 @@ select doc_id, first_value(doc_id) over g as keep_id, count(*) over (partition b
  row_number() over g = 1 as kept, text_sha256
 from n window g as (partition by text_sha256 order by chars desc, doc_id)""",
 }
+SQL["op7_chat_format"] = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -7, 0, 'user', '{CONTROL_TEXT}' union all select -7, 1, 'assistant', '{CONTROL_TEXT}'),
+e as (select *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) as t,
+ length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) as r from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ sum(t + r + 8 + 1 + 7)::bigint as formatted_chars from e group by conv_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -93,4 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_join": op6_ngram_join,
+    "op7_chat_format": op7_chat_format,
+    "op8_url_filter": op8_url_filter,
 }
