@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwire.llm import chat_format, decontaminate, exact_dedup, mixing, ngram_join, quality, token_counts, url_filter
+from quietwire.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, secret_scan, token_counts, url_filter
 from quietwire.llm.tables import literal_rows
 
 #: Fixed value: the vocabulary whose counts op5 gives.
@@ -79,6 +79,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: base patterns and random tokens."""
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that repeat, exactly or nearly, what stands first elsewhere."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -121,4 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
