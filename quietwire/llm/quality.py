@@ -211,7 +211,7 @@ def training_rows(features: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut)
     rows = features.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("features").alias("features"), F.first("label").alias("label")).toPandas()
     rows = rows.sort_values("doc_id")
-    return np.array(rows["features"].tolist(), np.float64).reshape(len(rows), -1), rows["label"].to_numpy(np.float64)
+    return np.array(rows["features"].tolist(), np.float64).reshape(len(rows), 2 * DIMENSIONS + 2), rows["label"].to_numpy(np.float64)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -34,6 +34,7 @@ LIMIT = 1024
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank before white space or at the end may stand inside or at the end of a run of white space.
 _RUN = re.compile(r" (?:\s|$)")
+_LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Marks that the pattern always cuts off the letters before them.
 _ENDS = (",", ".", ";", ":", "!", "?")
 CACHED_PIECES = 700_000
@@ -177,7 +178,7 @@ class PrefixCounts:
                 run_base, run_at = base, len(counts) - 1
             by_byte = self.of_piece(piece.encode())
             own = [by_byte[i] for i in accumulate(len(c.encode()) for c in piece)]
-            if len(piece) == 3 and piece[0] == "'":  # a cut contraction is a mark and a letter
+            if piece in _LONG_CONTRACTIONS:  # a cut contraction is a mark and a letter
                 own[1] = 2
             at = len(counts) - 1
             counts += [base + n for n in own]
