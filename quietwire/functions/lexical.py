@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def text_entropy(text: Column) -> Column:
@@ -19,6 +22,19 @@ def text_entropy(text: Column) -> Column:
     return F.when(n > 0, total).otherwise(0.0)
 
 
+@F.pandas_udf(DoubleType())
+def long_text_entropy(texts: pd.Series) -> pd.Series:
+    """B20 for texts of any length: one counting pass over the code points of each."""
+    def entropy(text: str | None) -> float | None:
+        if text is None:
+            return None
+        counts = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)[1]
+        shares = counts / max(1, counts.sum())
+        return float(-(shares * np.log2(shares)).sum()) + 0.0
+
+    return texts.map(entropy)
+
+
 def labels_of(name: Column) -> Column:
     return F.when(F.length(name) > 0, F.split(name, "[.]")).otherwise(F.expr("cast(array() as array<string>)"))
 

@@ -277,9 +277,9 @@ def failure_counts(failures: DataFrame) -> DataFrame:
 
 # -- perturbations -------------------------------------------------------------
 def _uniform(identity: str, name: str, seed: int) -> Column:
-    """A number in (0, 1) fixed by row, column and seed, so that a retried task repeats it."""
-    h = F.pmod(F.xxhash64(F.col(identity), F.lit(name), F.lit(seed)), F.lit(1 << 52).cast("long"))
-    return (h + 0.5) / float(1 << 52)
+    """A number in (0, 1) fixed by row, column and seed (13 digits of an MD5), so that a retried task, or another engine, repeats it."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(identity), F.lit(name), F.lit(str(seed))).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def _normal(identity: str, name: str, seed: int) -> Column:

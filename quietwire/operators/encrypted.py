@@ -118,22 +118,23 @@ def connection_packets(packets: DataFrame, p: EncryptedParams = EncryptedParams(
 CONNECTION = ["direction_key", "conn_seq"]
 
 
-def connection_timing(rows: DataFrame, samples: int = 64) -> DataFrame:
-    """Size and gap statistics of the newest samples of every connection.
+def connection_timing(rows: DataFrame, width: float = EncryptedParams().ttl_sec) -> DataFrame:
+    """Size and gap statistics of all packets of every connection.
 
-    The cut to the newest samples happens before the shuffle, totals are combined
-    before it; no connection is ever gathered whole.
+    Gaps are formed inside slices of ``width`` seconds; the gap between two slices
+    joins their ends, so no connection is ever ordered or gathered whole.
     """
-    newest = Window.partitionBy(*CONNECTION).orderBy(F.col("pkt_seq").desc())
-    kept = rows.withColumn("_place", F.row_number().over(newest)).filter(F.col("_place") <= samples)
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy(*CONNECTION).orderBy("ts", "pkt_seq"))
-    size = F.col("ip_total_length")
-    stats = kept.withColumn("gap", gap).groupBy(*CONNECTION).agg(
-        F.count("*").alias("sample_count"), F.min(size).alias("packet_size_min"), F.max(size).alias("packet_size_max"),
-        F.avg(size).alias("packet_size_mean"), F.avg("gap").alias("gap_mean"), F.min("gap").alias("gap_min"),
-        F.max("gap").alias("gap_max"), F.count_distinct("lo_to_hi").alias("direction_count"))
-    totals = rows.groupBy(*CONNECTION).agg(F.count("*").alias("packets"), F.min("ts").alias("started"), F.max("ts").alias("last"))
-    return totals.join(stats, CONNECTION).withColumn("samples_capped", F.col("packets") > samples)
+    size, key = F.col("ip_total_length"), [*CONNECTION, "slice"]
+    sliced = rows.withColumn("slice", tick(F.col("ts"), width))
+    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy(*key).orderBy("ts", "pkt_seq"))
+    ends = sliced.groupBy(*key).agg(F.min("ts").alias("head"), F.max("ts").alias("tail"))
+    border = ends.select(*CONNECTION, (F.col("head") - F.lag("tail").over(Window.partitionBy(*CONNECTION).orderBy("slice"))).alias("gap")).filter("gap is not null")
+    fed = sliced.withColumn("gap", gap).select(*CONNECTION, "ts", "gap", "lo_to_hi", size.alias("size")).unionByName(border, allowMissingColumns=True)
+    both = F.bool_or("lo_to_hi").cast("int") + F.bool_or(~F.col("lo_to_hi")).cast("int")
+    return fed.groupBy(*CONNECTION).agg(
+        F.count("size").alias("packets"), F.min("ts").alias("started"), F.max("ts").alias("last"), F.min("size").alias("packet_size_min"),
+        F.max("size").alias("packet_size_max"), F.avg("size").alias("packet_size_mean"), F.avg("gap").alias("gap_mean"), F.min("gap").alias("gap_min"),
+        F.max("gap").alias("gap_max"), both.cast("long").alias("direction_count")).withColumn("sample_count", F.col("packets"))
 
 
 def contained(flow: DataFrame, connections: DataFrame, width: float) -> DataFrame:

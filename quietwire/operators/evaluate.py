@@ -88,11 +88,11 @@ def missed_by_class(pairs: DataFrame, benign: str) -> DataFrame:
             .withColumn("miss_rate", safe_ratio(F.col("false_negatives"), F.col("total_samples"))))
 
 
-def missed_samples(rows: DataFrame, benign: str, per_label: int = 10, recorded: int = 100) -> DataFrame:
-    """Up to ten examples per class among the first hundred misses."""
-    first = rows.filter((F.col("y") != benign) & (F.col("pred") == benign)).orderBy("row_id").limit(recorded)
+def missed_samples(rows: DataFrame, benign: str, per_label: int = 10) -> DataFrame:
+    """The first ``per_label`` misses of every class; the cut is made before the shuffle."""
+    missed = rows.filter((F.col("y") != benign) & (F.col("pred") == benign))
     place = Window.partitionBy("y").orderBy("row_id")
-    return first.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_label)
+    return missed.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_label)
 
 
 def false_alarm_classes(pairs: DataFrame, benign: str) -> DataFrame:

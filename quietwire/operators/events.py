@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quietwire.functions.numbers import is_number
 from quietwire.operators.clock import prefix_sums, ranked, tick, with_scalars
 
-EVENT_ID = r"^[A-Za-z0-9_.:-]{1,128}$"
+EVENT_ID = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,127}$"
 MAX_EVENTS = 32
 HORIZON_SEC = 300.0
 

@@ -9,9 +9,9 @@ from quietwire import schema as S
 from quietwire.functions import keys as K
 from quietwire.functions.numbers import safe_ratio
 from quietwire.operators.clock import exact_quantiles, tick
-from quietwire.operators.flows import (SEGMENT, border_gaps, busy_conversations, counter_columns,
-                                       finish_counters, flow_packets, inter_arrivals)
+from quietwire.operators.flows import SEGMENT, border_gaps, counter_columns, finish_counters, flow_packets
 from quietwire.schema import FlowParams
+from quietwire.session import cut_lineage
 
 SIZE_QUANTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9}
 
@@ -30,8 +30,7 @@ def _size_columns() -> list[Column]:
 def _gap_columns() -> list[Column]:
     """Gap statistics over both orientations and for each of them."""
     out = [F.avg("iat").alias("iat_mean"), F.stddev_pop("iat").alias("iat_std"),
-           F.min("iat").alias("iat_min"), F.max("iat").alias("iat_max"),
-           F.percentile(F.when(~F.coalesce("busy", F.lit(False)), F.col("iat")), F.lit(0.5)).alias("iat_median")]
+           F.min("iat").alias("iat_min"), F.max("iat").alias("iat_max")]
     for side, mask in (("lo", F.col("lo_to_hi")), ("hi", ~F.col("lo_to_hi"))):
         x = F.when(mask, F.col("iat"))
         out += [F.avg(x).alias(f"{side}_iat_mean"), F.stddev_pop(x).alias(f"{side}_iat_std"),
@@ -50,8 +49,9 @@ def flow_features(packets: DataFrame, params: FlowParams = FlowParams(),
     """One row per flow with its counters and the 52 features.
 
     Packet rows (with their gap inside the time tile) and the gaps between tiles
-    are fed to one aggregation, so the flow table is built by a single shuffle
-    on the flow key after the packets were cut into flows.
+    are written once and fed to one aggregation on the flow key.  The median of the
+    gaps comes from value buckets of the same rows: a buffer of all distinct gaps
+    of a flow could be as large as the flow.
     """
     rows = flow_packets(packets, params, in_order)
     group = [*SEGMENT, "lo_to_hi", "time_tile"]
@@ -59,12 +59,9 @@ def flow_features(packets: DataFrame, params: FlowParams = FlowParams(),
                            F.col("tile") if in_order else tick(F.col("ts"), params.idle_sec))
     local = Window.partitionBy(*group).orderBy("ts", "pkt_seq")
     inner = rows.withColumn("iat", F.col("ts") - F.lag("ts").over(local))
-    fed = inner.unionByName(border_gaps(rows, group), allowMissingColumns=True)
-    grouped = fed.groupBy(*SEGMENT).agg(*counter_columns(), *_size_columns(), *_gap_columns())
-    busy = busy_conversations(packets)
-    if not busy.isEmpty():  # one counting job decides whether the second path is needed at all
-        grouped = grouped.join(_busy_medians(packets, params, in_order, busy), SEGMENT, "left").withColumn(
-            "iat_median", F.coalesce("busy_median", "iat_median")).drop("busy_median")
+    fed = cut_lineage(inner.unionByName(border_gaps(rows, group), allowMissingColumns=True))
+    medians = exact_quantiles(fed, SEGMENT, "iat", {"iat_median": 0.5})
+    grouped = fed.groupBy(*SEGMENT).agg(*counter_columns(), *_size_columns(), *_gap_columns()).join(medians, SEGMENT, "left")
     zero = F.lit(0.0)
     sizes = [F.col("size_q")[i].alias(f"pkt_size_{n}") for i, n in enumerate(SIZE_QUANTILES)]
     stats = ("mean", "std", "min", "max")
@@ -75,17 +72,6 @@ def flow_features(packets: DataFrame, params: FlowParams = FlowParams(),
     return with_features(flow)
 
 
-def _busy_medians(packets: DataFrame, params: FlowParams, in_order: bool, busy: DataFrame) -> DataFrame:
-    """Gap medians of the flows of very large conversations, by value buckets.
-
-    An exact percentile keeps every distinct gap of a flow in one buffer; these
-    flows have too many.
-    """
-    rows = flow_packets(packets, params, in_order, only=busy)
-    gaps = inter_arrivals(rows, params, in_order)
-    return exact_quantiles(gaps, SEGMENT, "iat", {"busy_median": 0.5})
-
-
 def with_features(flow: DataFrame) -> DataFrame:
     """Adds the derived features to a flow row that already has its statistics."""
     d = F.col

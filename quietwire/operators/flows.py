@@ -26,8 +26,6 @@ from quietwire.schema import FlowParams
 SEGMENT = ["direction_key", "epoch", "rst_no", "fin_no"]
 _COARSE = ["direction_key", "epoch", "rst_no"]
 _TILE = ["direction_key", "tile"]
-# conversations with more packets than this may hold flows too large for one exact percentile buffer
-BUSY_ROWS = 2_000_000
 
 
 def keyed_packets(packets: DataFrame, params: FlowParams, in_order: bool) -> DataFrame:
@@ -46,9 +44,7 @@ def _silences(rows: DataFrame, params: FlowParams, in_order: bool) -> tuple[Data
     """Per-tile ``epoch``/``rst`` carry, and the rows (with ``epoch`` when out of order)."""
     summary = rows.groupBy(*_TILE).agg(
         F.min("wm").alias("first_wm"), F.max("ts").alias("top_ts"),
-        F.count_if("closes").alias("n_close"), F.count("*").alias("n_rows"))
-    summary = summary.withColumn(
-        "busy", F.sum("n_rows").over(Window.partitionBy("direction_key")) > BUSY_ROWS)
+        F.count_if("closes").alias("n_close"))
     state = with_carry(summary, ["direction_key"], "tile",
                        {"prior_ts": F.max("top_ts"), "rst_before": F.sum("n_close")})
     idle, none = F.lit(params.idle_sec), F.lit(0).cast("long")
@@ -67,15 +63,13 @@ def _silences(rows: DataFrame, params: FlowParams, in_order: bool) -> tuple[Data
         rows = rows.join(state.select(*_TILE, "prior_ts"), _TILE)
         rows = rows.withColumn("opens", F.coalesce(F.col("wm") - seen >= idle, F.lit(False)))
         per_tile = rows.groupBy(*_TILE).agg(F.count_if("opens").alias("n_open"),
-                                            F.count_if("closes").alias("n_close"), F.count("*").alias("n_rows"))
-        per_tile = per_tile.withColumn(
-            "busy", F.sum("n_rows").over(Window.partitionBy("direction_key")) > BUSY_ROWS)
+                                            F.count_if("closes").alias("n_close"))
         state = with_carry(per_tile, ["direction_key"], "tile",
                            {"epoch_before": F.sum("n_open"), "rst_before": F.sum("n_close")})
         state = state.withColumn("epoch_before", F.coalesce("epoch_before", none))
         rows = rows.withColumn("opened", F.count_if("opens").over(through)).drop("prior_ts", "opens")
     state = state.withColumn("rst_before", F.coalesce("rst_before", none))
-    columns = [*_TILE, "busy", "epoch_before", "rst_before", *(["epoch"] if in_order else [])]
+    columns = [*_TILE, "epoch_before", "rst_before", *(["epoch"] if in_order else [])]
     return state.select(*columns), rows
 
 
@@ -134,7 +128,7 @@ def _with_fin_carry(state: DataFrame, deadlines: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     timeline = timeline.withColumn("fin_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     is_state = F.col("epoch_before").isNotNull()
-    carried = ["busy", "epoch_before", "rst_before", *(["tile_epoch"] if "epoch" in state.columns else [])]
+    carried = ["epoch_before", "rst_before", *(["tile_epoch"] if "epoch" in state.columns else [])]
     merged = timeline.groupBy(*_TILE).agg(
         *[F.max(c).alias(c) for c in carried],
         F.max(F.when(is_state, F.col("fin_before"))).alias("fin_before"),
@@ -142,24 +136,13 @@ def _with_fin_carry(state: DataFrame, deadlines: DataFrame) -> DataFrame:
     return merged.withColumnsRenamed({"tile_epoch": "epoch"}).filter("epoch_before is not null")
 
 
-def busy_conversations(packets: DataFrame) -> DataFrame:
-    """Keys of the conversations marked ``busy`` by ``flow_packets``."""
-    counts = packets.groupBy(K.direction_key().alias("direction_key")).agg(F.count("*").alias("n"))
-    return counts.filter(F.col("n") > BUSY_ROWS).select("direction_key")
-
-
-def flow_packets(packets: DataFrame, params: FlowParams = FlowParams(), in_order: bool = False,
-                 only: DataFrame | None = None) -> DataFrame:
+def flow_packets(packets: DataFrame, params: FlowParams = FlowParams(), in_order: bool = False) -> DataFrame:
     """Every packet with the flow it belongs to (columns ``SEGMENT``).
 
-    ``only`` restricts the work to some conversations (a table of direction keys).
-
     ``in_order=True`` states that ``ts`` never falls along ``pkt_seq``; it saves
     the watermark pass.  Otherwise the arrival watermark is the clock.
     """
     rows = keyed_packets(packets, params, in_order)
-    if only is not None:
-        rows = rows.join(only, "direction_key", "left_semi")
     state, rows = _silences(rows, params, in_order)
     if params.fin_grace_sec > 0:
         state = _with_fin_carry(state, _fin_deadlines(rows, state, params))

@@ -125,9 +125,9 @@ def vectors(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(rows)
 
 
-def logistic(n_rows: int, penalty: float = 1.0, max_iter: int = 1000) -> LogisticRegression:
-    """K8: multinomial regression; the penalty weight is per training set, hence 1/n."""
-    return LogisticRegression(family="multinomial", regParam=1.0 / (penalty * max(n_rows, 1)), elasticNetParam=0.0,
+def logistic(penalty: float = 1.0, max_iter: int = 1000) -> LogisticRegression:
+    """K8: multinomial regression; the penalty weight is per training set, so ``fit_classifier`` divides it by the number of rows."""
+    return LogisticRegression(family="multinomial", regParam=1.0 / penalty, elasticNetParam=0.0,
                               standardization=False, maxIter=max_iter, labelCol="label_index")
 
 
@@ -146,6 +146,8 @@ def fit_classifier(rows: DataFrame, label: str, estimator) -> PipelineModel:
     """``rows`` carries ``features``; class names travel with the model."""
     index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep")
     fitted = index.fit(rows)
+    if isinstance(estimator, LogisticRegression):
+        estimator = estimator.copy({estimator.regParam: estimator.getRegParam() / max(rows.count(), 1)})
     names = IndexToString(inputCol="prediction", outputCol="pred", labels=fitted.labels)
     return PipelineModel(stages=[fitted, Pipeline(stages=[estimator, names]).fit(fitted.transform(rows))])
 
@@ -235,9 +237,16 @@ def group_ablation(train: DataFrame, test: DataFrame, groups: dict[str, Sequence
     return with_scalars(out, base).select("feature_group", *metrics, *[(F.col(m) - F.col(f"full_{m}")).alias(f"delta_{m}") for m in metrics])
 
 
-def scenario_holdout(rows: DataFrame, scenarios: Sequence[str], make: Callable[[], object], label: str = "y",
-                     scenario: str = "scenario") -> DataFrame:
-    """Fit without a scenario and judge on it, for each scenario of the list."""
+def scenarios_of(rows: DataFrame, label: str = "y", scenario: str = "scenario") -> list[str]:
+    """The scenarios found in the rows that can be held out: the rest still has two classes or more."""
+    pairs = [(r[scenario], r[label]) for r in rows.select(scenario, label).distinct().collect()]  # scenarios x classes
+    names = sorted({s for s, _ in pairs if s is not None})
+    return [s for s in names if len({y for other, y in pairs if other != s}) >= 2]
+
+
+def scenario_holdout(rows: DataFrame, make: Callable[[], object], label: str = "y", scenario: str = "scenario") -> DataFrame:
+    """Fit without a scenario and judge on it, for each scenario that the rows hold; those that leave one class are skipped."""
+    scenarios = scenarios_of(rows, label, scenario)
     return _tagged([(s, train_and_judge(rows.filter(F.col(scenario) != s), rows.filter(F.col(scenario) == s), make(), label))
                     for s in scenarios], "held_out")
 

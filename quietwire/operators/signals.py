@@ -45,8 +45,8 @@ def behaviour_signals(windows: DataFrame, p: WindowParams) -> DataFrame:
                {"sessions": c("sessions"), "distinct_destinations": c("host_distinct")}),
         signal("C2_PERIODICITY_EVIDENCE", "stream_c2", c("gap_cv"), p.periodicity_cv,
                "coefficient of variation",
-               (F.size("times") >= p.min_sessions) & (c("gap_cv") <= p.periodicity_cv) & focused,
-               {"sessions": F.size("times"), "interval_mean_sec": c("gap_mean"),
+               (c("n_times") >= p.min_sessions) & (c("gap_cv") <= p.periodicity_cv) & focused,
+               {"sessions": c("n_times"), "interval_mean_sec": c("gap_mean"),
                 "interval_stddev_sec": c("gap_std")}, "<="),
         signal("PORT_FANOUT", "stream_recon", c("port_distinct"), p.port_fanout,
                "distinct observed values", c("port_distinct") >= p.port_fanout,

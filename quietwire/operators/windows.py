@@ -167,27 +167,35 @@ def _null_safe(frame: DataFrame) -> DataFrame:
     return frame.withColumn("dst_port", F.coalesce("dst_port", F.lit(-1)))
 
 
-def pair_windows(flow: DataFrame, points: DataFrame, params: WindowParams) -> DataFrame:
-    """D17, D19 at (PAIR, tick) points: newest session times and directional bytes.
+GAP_SUMS = ["n_times", "gaps", "gap_us", "gap_us_sq"]
+
 
-    Only the newest ``max_sessions`` sessions can be in a history, so each
-    (pair, tick) is cut to that many rows before it is shuffled.
+def session_gap_changes(flow: DataFrame, width: float, span: int) -> DataFrame:
+    """Changes of the number of sessions, of gaps, and of their sum and sum of squares per (PAIR, tick).
+
+    A gap counts while both of its sessions are in the window: from the later one's
+    tick until the earlier one leaves.  Sums are whole microseconds in decimals, so what
+    leaves cancels exactly.  Gaps are formed inside a tick; the gap between two
+    ticks joins their ends, so no pair is ordered session by session.
     """
-    width, span, newest = params.bucket_sec, params.span, params.max_sessions
-    ranked = Window.partitionBy(*PAIR, "tick").orderBy(F.col("start_time").desc(), F.col("first_seq").desc())
-    sessions = (flow.select(*PAIR, "start_time", "first_seq", tick(F.col("start_time"), width).alias("tick"))
-                .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= newest)
-                .select(*PAIR, "tick", "start_time"))
-    asked = points.select(*PAIR, "tick").distinct().withColumn("asked", F.lit(True))
-    ordered = Window.partitionBy(*PAIR).orderBy("tick", F.col("asked").asc_nulls_first(), "start_time")
-    through = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    history = sessions.withColumn("times", F.collect_list("start_time").over(
-        Window.partitionBy(*PAIR).orderBy("tick", "start_time").rowsBetween(1 - newest, 0)))
-    merged = history.unionByName(asked, allowMissingColumns=True)
-    times = (merged.withColumn("times", F.last("times", ignorenulls=True).over(through))
-             .filter("asked").select(*PAIR, "tick", F.filter(
-                 F.coalesce("times", F.expr("cast(array() as array<double>)")),
-                 lambda t: tick(t, width) > F.col("tick") - span).alias("times")))
+    sessions = flow.select(*PAIR, "start_time", "first_seq", tick(F.col("start_time"), width).alias("tick"))
+    local = Window.partitionBy(*PAIR, "tick").orderBy("start_time", "first_seq")
+    inner = sessions.select(*PAIR, "tick", F.col("tick").alias("from_tick"), (F.col("start_time") - F.lag("start_time").over(local)).alias("gap"))
+    ends = sessions.groupBy(*PAIR, "tick").agg(F.min("start_time").alias("head"), F.max("start_time").alias("tail"), F.count("*").alias("n"))
+    before = Window.partitionBy(*PAIR).orderBy("tick")
+    border = ends.select(*PAIR, "tick", F.lag("tick").over(before).alias("from_tick"), (F.col("head") - F.lag("tail").over(before)).alias("gap"))
+    us = F.round(F.col("gap") * 1_000_000).cast("decimal(19,0)")
+    gaps = inner.unionByName(border).filter(F.col("gap").isNotNull() & (F.col("tick") - F.col("from_tick") < span)).select(
+        *PAIR, "tick", "from_tick", F.lit(1).cast("long").alias("gaps"), us.cast("decimal(38,0)").alias("gap_us"), (us * us).cast("decimal(38,0)").alias("gap_us_sq"))
+    enter = gaps.drop("from_tick")
+    leave = gaps.select(*PAIR, (F.col("from_tick") + span).alias("tick"), *[(-F.col(n)).alias(n) for n in GAP_SUMS[1:]])
+    counts = changes(ends.withColumnRenamed("n", "n_times"), PAIR, ["n_times"], span)
+    return counts.unionByName(enter.unionByName(leave), allowMissingColumns=True)
+
+
+def pair_windows(flow: DataFrame, points: DataFrame, params: WindowParams) -> DataFrame:
+    """D17, D19 at (PAIR, tick) points: sessions with the statistics of their gaps, and directional bytes."""
+    width, span = params.bucket_sec, params.span
     heavy = (F.greatest("forward_bytes", "reverse_bytes").cast("double")
              / F.greatest(F.least("forward_bytes", "reverse_bytes"), F.lit(1))) >= params.directional_ratio
     forward = F.col("forward_bytes") >= F.col("reverse_bytes")
@@ -199,20 +207,18 @@ def pair_windows(flow: DataFrame, points: DataFrame, params: WindowParams) -> Da
         (heavy & ~forward).cast("long").alias("heavy_reverse"))
     enter = bytes_of.withColumnRenamed("eval_tick", "tick").drop("gone")
     leave = bytes_of.select(*PAIR, F.col("gone").alias("tick"), *[(-F.col(n)).alias(n) for n in names])
-    totals = values_at(enter.unionByName(leave), points, PAIR, names)
-    return totals.join(times, [*PAIR, "tick"])
-
-
-def gap_statistics(times: Column) -> dict[str, Column]:
-    """Mean, population deviation and coefficient of variation of the gaps of a sorted array."""
-    n = F.size(times)
-    gaps = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                                      lambda i: F.get(times, i) - F.get(times, i - 1)))
-    total = F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g)
-    mean = total / F.size(gaps)
-    spread = F.aggregate(F.transform(gaps, lambda g: (g - mean) * (g - mean)), F.lit(0.0),
-                         lambda a, g: a + g)
-    deviation = F.sqrt(spread / F.size(gaps))
+    every = enter.unionByName(leave).unionByName(session_gap_changes(flow, width, span), allowMissingColumns=True)
+    return values_at(every, points, PAIR, [*names, *GAP_SUMS])
+
+
+def gap_statistics() -> dict[str, Column]:
+    """Mean, population deviation and coefficient of variation of the gaps, from their sums."""
+    n, total = F.when(F.col("gaps") > 0, F.col("gaps").cast("double")), F.col("gap_us").cast("double")
+    mean = total / n / 1_000_000
+    # n * sum of squares - square of the sum, before anything is rounded
+    spread = (F.col("gaps").cast("decimal(10,0)") * F.col("gap_us_sq").cast("decimal(27,0)")
+              - F.col("gap_us").cast("decimal(19,0)") * F.col("gap_us").cast("decimal(19,0)"))
+    deviation = F.sqrt(F.greatest(spread.cast("double"), F.lit(0.0))) / n / 1_000_000
     return {"gap_mean": mean, "gap_std": deviation,
             "gap_cv": F.when(mean > 0, F.try_divide(deviation, mean))}
 
@@ -229,6 +235,6 @@ def flow_windows(packets: DataFrame, flow: DataFrame, flow_params: FlowParams,
             .join(concentration_windows(flow, judged, params), ["src_ip", "dst_ip", "tick"])
             .join(pair_windows(flow, judged, params), [*PAIR, "tick"])
             .withColumn("concentration", safe_ratio(F.col("to_destination"), F.col("sessions")))
-            .withColumns(gap_statistics(F.col("times")))
+            .withColumns(gap_statistics())
             .withColumn("window_start", (F.col("tick") - params.span + 1) * params.bucket_sec)
             .withColumn("window_end", (F.col("tick") + 1) * params.bucket_sec))

@@ -137,10 +137,10 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DNS messages from ``pages``: queries of even pages and most of their responses."""
-    p = table(spark, sf_dir, "pages").filter("page_id % 2 = 0")
+    """DNS messages from ``pages``: a query of every page and most of the responses."""
+    p = table(spark, sf_dir, "pages")
     pid = F.col("page_id").cast("long")
-    txid = F.floor(pid / 2).cast("long")
+    txid = pid
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
     name = F.when(pid % 3 == 0, F.concat(
         F.md5("url"), F.substring(F.md5(pid.cast("string")), 1, 16), F.lit("."), host)).otherwise(host)
@@ -201,14 +201,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multi-class truth and prediction from ``embeddings``."""
+    """Multi-class truth and prediction from ``embeddings``: the place of the largest entry, modulo ten classes."""
     e = table(spark, sf_dir, "embeddings")
-    head = F.slice("embedding", 1, 10)
-    best = F.array_max(head)
+    best = F.array_max("embedding")
     return e.select(
         F.col("vec_id").cast("long").alias("row_id"),
         F.concat(F.lit("c"), F.col("label").cast("string")).alias("y"),
-        F.concat(F.lit("c"), (F.array_position(head, best) - 1).cast("string")).alias("pred"),
+        F.concat(F.lit("c"), ((F.array_position("embedding", best) - 1) % 10).cast("string")).alias("pred"),
         best.cast("double").alias("confidence"),
         F.concat(F.lit("s"), (F.col("vec_id") % 8).cast("string")).alias("scenario"))
 
@@ -339,11 +338,11 @@ select 'evt-'||first_seq||'-'||stage as event_id, case when stage=1 then end_tim
   case when first_seq%2<>0 then 'file'||(first_seq%4) end as replay_file_identifier
 from (select *, unnest(case when packet_count>=3 then [0,1] else [1] end) as stage from flows)"""),
     "dns_base": ((), """
-select page_id::bigint as pid, (page_id//2)::bigint as transaction_id, '10.0.1.'||((page_id//2)%7) as client,
-  '192.0.2.53' as server, (42000+(page_id//2)%7)::int as client_port,
+select page_id::bigint as pid, page_id::bigint as transaction_id, '10.0.1.'||(page_id%7) as client,
+  '192.0.2.53' as server, (42000+page_id%7)::int as client_port,
   case when page_id%3=0 then md5(url)||substr(md5(page_id::varchar),1,16)||'.' else '' end
     || lower(regexp_extract(url,'^[a-zA-Z]+://([^/:?#]+)',1)) as qname,
-  case when (page_id//2)%4=0 then 16 else 1 end as qtype, 1 as qclass from pages where page_id%2=0"""),
+  case when page_id%4=0 then 16 else 1 end as qtype, 1 as qclass from pages"""),
     "dns": (("dns_base",), """
 select pid*2 as pkt_seq, pid*2.0::double as ts, client as src_ip, server as dst_ip, client_port as src_port, 53 as dst_port,
   17 as protocol, transaction_id, false as qr, 0 as rcode, qname, qtype, qclass, client, server, client_port from dns_base
@@ -364,9 +363,8 @@ select doc_id::bigint as row_id, toxic::int as y, source as scenario, ((doc_id::
   ((doc_id::bigint*104729)%1000)/1000.0::double as confidence, """ + _PICK + """[doc_id::bigint%5+1] as pred
 from labels join documents using (doc_id)"""),
     "multi": ((), """
-select vec_id::bigint as row_id, 'c'||label as y, 'c'||(list_position(h, list_max(h))-1) as pred,
-  list_max(h)::double as confidence, 's'||(vec_id%8) as scenario
-from (select *, embedding[1:10] as h from embeddings)"""),
+select vec_id::bigint as row_id, 'c'||label as y, 'c'||((list_position(embedding, list_max(embedding))-1)%10) as pred,
+  list_max(embedding)::double as confidence, 's'||(vec_id%8) as scenario from embeddings"""),
 }
 
 

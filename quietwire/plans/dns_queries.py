@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quietwire.functions import lexical as X
+from quietwire.functions.lexical import long_text_entropy
 from quietwire.operators import dns as N
 from quietwire.operators.clock import tick
 from quietwire.operators.flows import flows
@@ -185,8 +186,6 @@ def dns_techniques(spark, sf):
 select doc_id, round(-sum(n/tot*log2(n/tot)),5)+0.0 as entropy from (select doc_id, n, sum(n) over (partition by doc_id) as tot from (
  select doc_id, c, count(*) as n from (select doc_id, unnest(string_split(text,'')) as c from documents) group by all)) group by doc_id""")
 def document_entropy(spark, sf):
-    """B20 for long texts: characters are counted by an aggregation, not per row."""
-    d = B.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "")).alias("c")).filter("c <> ''")
-    counted = d.groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    per = counted.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    return rounded(per.select("doc_id", (F.log2(F.col("t").cast("double")) - F.col("s") / F.col("t")).alias("entropy")), 5)
+    """B20 for long texts: characters are counted inside the row, nothing is shuffled."""
+    d = B.table(spark, sf, "documents").filter("text <> ''")
+    return rounded(d.select("doc_id", long_text_entropy(F.col("text")).alias("entropy")), 5)

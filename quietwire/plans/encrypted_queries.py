@@ -10,7 +10,7 @@ from quietwire.plans import bindings as B
 from quietwire.plans.registry import query, rounded
 from quietwire.schema import EncryptedParams
 
-P = EncryptedParams(ttl_sec=43200.0, timing_samples=8)
+P = EncryptedParams(ttl_sec=43200.0)
 
 V = B.SQL_VIEWS
 V["canon"] = (("hellos",), """
@@ -28,8 +28,7 @@ select *, coalesce(max(case when restart then pkt_seq end) over (partition by di
 V["ctime"] = (("conn",), """
 select direction_key, conn_seq, count(*) as sample_count, min(ip_total_length) as packet_size_min, max(ip_total_length) as packet_size_max, avg(ip_total_length) as packet_size_mean,
  avg(gap) as gap_mean, max(gap) as gap_max, count(distinct lo) as direction_count from (
- select *, ts - lag(ts) over (partition by direction_key, conn_seq order by ts, pkt_seq) as gap from (
-  select *, row_number() over (partition by direction_key, conn_seq order by pkt_seq desc) as rn from conn) where rn <= 8) group by all""")
+ select *, ts - lag(ts) over (partition by direction_key, conn_seq order by ts, pkt_seq) as gap from conn) group by all""")
 V["conns"] = (("conn",), "select direction_key, conn_seq, count(*) as packets, min(ts) as started, max(ts) as last from conn group by all")
 
 
@@ -90,13 +89,13 @@ def connection_epochs(spark, sf):
 
 @query("connection_timing", B.with_views("""
 select direction_key, conn_seq, packets, sample_count, packet_size_min, packet_size_max, round(packet_size_mean,6)+0.0 as packet_size_mean, round(gap_mean,4)+0.0 as gap_mean,
- round(gap_max,6)+0.0 as gap_max, direction_count, packets > 8 as samples_capped from ctime join conns using (direction_key, conn_seq)""", "ctime", "conns"))
+ round(gap_max,6)+0.0 as gap_max, direction_count from ctime join conns using (direction_key, conn_seq)""", "ctime", "conns"))
 def connection_timing(spark, sf):
     """D10, E6."""
-    t = T.connection_timing(connections(spark, sf), P.timing_samples)
+    t = T.connection_timing(connections(spark, sf), P.ttl_sec)
     return t.select("direction_key", "conn_seq", "packets", "sample_count", "packet_size_min", "packet_size_max",
                     F.round("packet_size_mean", 6).alias("packet_size_mean"), F.round("gap_mean", 4).alias("gap_mean"),
-                    F.round("gap_max", 6).alias("gap_max"), "direction_count", "samples_capped")
+                    F.round("gap_max", 6).alias("gap_max"), "direction_count")
 
 
 @query("connections_in_flows", B.with_views("""
@@ -104,7 +103,7 @@ select flow_id, conn_seq, packets from (select f.flow_id, c.conn_seq, c.packets,
  from flows f join conns c on c.direction_key=f.direction_key and c.started>=f.start_time and c.last<=f.end_time) where rn=1""", "flows", "conns"))
 def connections_in_flows(spark, sf):
     """C9."""
-    t = T.connection_timing(connections(spark, sf), P.timing_samples)
+    t = T.connection_timing(connections(spark, sf), P.ttl_sec)
     return T.contained(B.stored_flows(spark, sf), t, B.FLOW_PARAMS.idle_sec).select("flow_id", "conn_seq", "packets")
 
 
@@ -114,5 +113,5 @@ select signal_type, count(*) as connections, sum(sample_count)::bigint as sample
 def session_timing_signals(spark, sf):
     """Connections in which a SYN was seen stand for those with a recognised handshake."""
     rows = connections(spark, sf)
-    out = T.timing_signals(T.connection_timing(rows, P.timing_samples), rows.filter("is_syn or is_syn_ack"), "tls")
+    out = T.timing_signals(T.connection_timing(rows, P.ttl_sec), rows.filter("is_syn or is_syn_ack"), "tls")
     return out.groupBy("signal_type").agg(F.count("*").alias("connections"), F.sum("observed_value").cast("long").alias("samples"))

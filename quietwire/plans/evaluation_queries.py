@@ -42,9 +42,8 @@ V["curve"] = (("scored",), """
 select score, pos, neg, sum(pos) over w as tp, sum(neg) over w as fp, (select sum(y) from scored) as P, (select count(*)-sum(y) from scored) as N
 from (select score, sum(y) as pos, count(*)-sum(y) as neg from scored group by score) window w as (order by score desc)""")
 V["multi2"] = ((), """
-select vec_id::bigint as row_id, 'c'||label as y, 'c'||(list_position(h, list_max(h))-1) as pred, list_max(h)::double as confidence,
- 'c'||(list_position(g, list_max(g))-1) as pred_after, list_max(g)::double as confidence_after
-from (select *, embedding[1:10] as h, embedding[11:20] as g from embeddings)""")
+select vec_id::bigint as row_id, 'c'||label as y, 'c'||((list_position(embedding, list_max(embedding))-1)%10) as pred, list_max(embedding)::double as confidence,
+ 'c'||((list_position(embedding, list_min(embedding))-1)%10) as pred_after, -list_min(embedding)::double as confidence_after from embeddings""")
 V["fused_in"] = (("scored",), "select *, case when y=0 then 'benign' else (['ddos','c2','reconnaissance','dns_tunneling'])[(row_id//5)%4+1] end as y_true from scored")
 V["taus"] = (("fused_in",), f"""
 select (select t from (select t, count(*) filter (confidence>=t and pred=y_true and y_true<>'benign') as good, count(*) filter (confidence>=t) as ab, count(*) as al
@@ -66,13 +65,12 @@ def fused_rows(spark, sf):
 
 
 def after(spark, sf):
-    """A second prediction of the same rows, from the next ten dimensions."""
+    """A second prediction of the same rows: the place of the smallest entry, modulo ten classes."""
     e = B.table(spark, sf, "embeddings")
-    part = F.slice("embedding", 11, 10)
-    best = F.array_max(part)
+    least = F.array_min("embedding")
     return e.select(F.col("vec_id").cast("long").alias("row_id"),
-                    F.concat(F.lit("c"), (F.array_position(part, best) - 1).cast("string")).alias("pred"),
-                    best.cast("double").alias("confidence"))
+                    F.concat(F.lit("c"), ((F.array_position("embedding", least) - 1) % 10).cast("string")).alias("pred"),
+                    (-least).cast("double").alias("confidence"))
 
 
 def family_rows(spark, sf):
@@ -151,14 +149,20 @@ def curve_areas(spark, sf):
     return rounded(A.curve_areas(A.score_curve(B.scored(spark, sf))))
 
 
+def _of_class(i):
+    """Which places of a vector speak for class ``i``."""
+    return lambda x, k: k % 10 == i
+
+
 @query("one_vs_rest_areas", """
 select label, round((sum(case when y then rk else 0 end) - p*(p+1)/2.0)/(p*n),6)+0.0 as roc_auc from (
  select label, y, sum(y::int) over (partition by label) as p, sum((not y)::int) over (partition by label) as n,
   rank() over (partition by label order by s) + (count(*) over (partition by label, s) - 1)/2.0 as rk
- from (select 'c'||g.i as label, label=g.i as y, embedding[g.i+1]::double as s from embeddings, (select unnest(range(10)) as i) g)) group by label, p, n""")
+ from (select 'c'||g.i as label, label=g.i as y, list_max(list_filter(embedding, lambda x, k: (k-1)%10=g.i))::double as s from embeddings, (select unnest(range(10)) as i) g)) group by label, p, n""")
 def one_vs_rest_areas(spark, sf):
     """Area per class against the rest, all classes in one pass."""
-    e = B.table(spark, sf, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 10)).alias("i", "score"))
+    best = F.array(*[F.array_max(F.filter("embedding", _of_class(i))) for i in range(10)])
+    e = B.table(spark, sf, "embeddings").select("label", F.posexplode(best).alias("i", "score"))
     rows = e.select(F.concat(F.lit("c"), F.col("i").cast("string")).alias("class"),
                     (F.col("label") == F.col("i")).cast("int").alias("y"), F.col("score").cast("double").alias("score"))
     out = A.curve_areas(A.score_curve(rows, keys=["class"]), ["class"])
@@ -281,7 +285,7 @@ def missed_by_class(spark, sf):
 
 
 @query("missed_samples", B.with_views("""
-select y, row_id, rn as place from (select *, row_number() over (partition by y order by row_id) as rn from (select * from multi where y<>'c0' and pred='c0' order by row_id limit 100)) where rn <= 10""", "multi"))
+select y, row_id, rn as place from (select *, row_number() over (partition by y order by row_id) as rn from multi where y<>'c0' and pred='c0') where rn <= 10""", "multi"))
 def missed_samples(spark, sf):
     """D44."""
     return A.missed_samples(B.multi(spark, sf), BENIGN).select("y", "row_id", "place")

@@ -53,11 +53,13 @@ def event_assembly(spark, sf):
 
 @query("event_validity", B.with_views("""
 select reason as reject_reason, reason is null as is_valid, count(*) as events from (
- select case when first_seq%17=0 then 'identity' when first_seq%11=0 then 'endpoint' end as reason from evts) group by all""", "evts"))
+ select case when first_seq%17=0 or first_seq%19=0 or first_seq%23=0 then 'identity' when first_seq%11=0 then 'endpoint' end as reason from evts) group by all""", "evts"))
 def event_validity(spark, sf):
     """Rows with a spoiled id or port are set aside with a reason."""
     spoiled = B.events(spark, sf).withColumns({
         "event_id": F.when(F.col("first_seq") % 17 == 0, F.concat(F.lit("bad id "), F.col("event_id")))
+                     .when(F.col("first_seq") % 19 == 0, F.concat(F.lit("-"), F.col("event_id")))
+                     .when(F.col("first_seq") % 23 == 0, F.concat(F.col("event_id"), F.lit(".1")))
                      .otherwise(F.col("event_id")),
         "src_port": F.when(F.col("first_seq") % 11 == 0, 70000).otherwise(F.col("src_port"))})
     return E.validity(spoiled).groupBy("reject_reason", "is_valid").agg(F.count("*").alias("events"))

@@ -101,11 +101,11 @@ def explanations(spark, sf):
 
 @query("false_positive_deviations", B.with_views("""
 select flow_id, string_agg(feature, ';' order by round(z,9) desc, feature) as top from (select *, row_number() over (partition by flow_id order by round(z,9) desc, feature) as rn from zs
- where flow_id in (select flow_id from pred_rows where label='benign' and pred<>'benign' order by first_seq limit 100)) where rn <= 5 group by flow_id""", "zs", "pred_rows"))
+ where flow_id in (select flow_id from pred_rows where label='benign' and pred<>'benign')) where rn <= 5 group by flow_id""", "zs", "pred_rows"))
 def false_positive_deviations(spark, sf):
-    """The first hundred false alarms and the five features that stand out most."""
+    """Every false alarm and the five features that stand out most."""
     rows = predicted(spark, sf)
-    alarms = rows.filter((F.col("label") == "benign") & (F.col("pred") != "benign")).orderBy("first_seq").limit(100)
+    alarms = rows.filter((F.col("label") == "benign") & (F.col("pred") != "benign"))
     return D.top_deviations(alarms, D.training_statistics(rows)).select(
         "flow_id", F.array_join(F.transform("top", lambda e: e.feature_name), ";").alias("top"))
 
@@ -184,12 +184,21 @@ def missing_as_zero(spark, sf):
     return D.missing_as_zero(rows, SOME).groupBy("label").agg(F.round(F.sum(GAPPY), 2).alias("total"), F.count_if("was_missing").alias("filled"))
 
 
-@query("noisy_features")
+def _noisy_sql(column: str) -> str:
+    """What ``noisy_features`` does to a column, in SQL."""
+    u = lambda seed: f"((('0x'||substr(md5(flow_id||':{column}:{seed}'),1,13))::bigint + 0.5::double) / 4503599627370496.0::double)"
+    normal = f"sqrt(-2.0*ln({u(42)}))*cos({u(42 + 7919)}*6.283185307179586::double)*0.1::double"
+    value = (f"{column} + {normal}" if column in D.IAT_FEATURES else f"greatest({column} + {normal}, 0.0)" if column in D.SIZE_FEATURES
+             else f"{column}*(1+({u(42)}*2-1)*0.2::double)" if column == "duration_sec" else column)
+    return f"round(avg(case when {u(42)} < 0.1::double then 0.0 else {value} end),4)+0.0 as {column}"
+
+
+@query("noisy_features", B.with_views("select label, " + ", ".join(_noisy_sql(c) for c in SOME) + " from features group by label", "features"))
 def noisy_features(spark, sf):
     """Perturbed rows; the noise is fixed by row and seed."""
     rows = B.stored_features(spark, sf)
     noisy = D.random_drop(D.duration_scaling(D.size_noise(D.timing_jitter(rows, "flow_id"), "flow_id"), "flow_id"), "flow_id", 0.1)
-    return noisy.groupBy("label").agg(*[F.avg(c).alias(c) for c in SOME])
+    return rounded(noisy.groupBy("label").agg(*[F.avg(c).alias(c) for c in SOME]), 4)
 
 
 def _as_cic(flows):

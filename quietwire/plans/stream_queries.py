@@ -45,18 +45,22 @@ def stream_trailing_counts(spark, sf):
     return R.trailing_from_buckets(out.join(last, "batch_id"), 24, 3600, "protocol")
 
 
-@query("stream_flows")
+@query("stream_flows", B.with_views("select direction, count(*) as flows, sum(packet_count)::bigint as packets from flows group by all", "flows"))
 def stream_flows(spark, sf):
-    """Flows the stream has closed by the end of the file (open ones stay in state)."""
-    flows = R.flow_stream(R.event_time(_packets(spark, sf), "0 seconds"), B.FLOW_PARAMS)
-    out = _collected(spark, flows, key="flow_id")
+    """Flows of a finite stream: those it has closed, and what was still open at its end."""
+    stream = R.flow_stream(R.event_time(_packets(spark, sf), "0 seconds"), B.FLOW_PARAMS)
+    out = R.drained_flows(_collected(spark, stream, key="flow_id"), B.packets(spark, sf), B.FLOW_PARAMS, in_order=True)
     return out.groupBy("direction").agg(F.count("*").alias("flows"), F.sum("packet_count").alias("packets"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", B.with_views("""
+select direction_key, count(*) as sessions, sum(n)::bigint as packets from (select direction_key, seg, count(*) as n from (
+  select *, sum(case when lag_ts is null or ts-lag_ts >= 43200 then 1 else 0 end) over (partition by direction_key order by pkt_seq) as seg
+  from (select *, lag(ts) over (partition by direction_key order by pkt_seq) as lag_ts from keyed)) group by all) group by direction_key""", "keyed"))
 def stream_sessions(spark, sf):
-    """Gap sessions closed by the watermark."""
-    out = _collected(spark, R.session_flows(R.event_time(_packets(spark, sf), "0 seconds"), B.FLOW_PARAMS.idle_sec))
+    """Gap sessions of a finite stream, with those that were open at its end."""
+    closed = _collected(spark, R.session_flows(R.event_time(_packets(spark, sf), "0 seconds"), B.FLOW_PARAMS.idle_sec))
+    out = R.drained_sessions(closed, B.packets(spark, sf), B.FLOW_PARAMS.idle_sec)
     return out.groupBy("direction_key").agg(F.count("*").alias("sessions"), F.sum("packet_count").alias("packets"))
 
 

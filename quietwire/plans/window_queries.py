@@ -49,9 +49,9 @@ from (select distinct src_ip, dst_ip, eval_tick as t from judged) d join flows f
     "pair_times": (("pair_pts", "flows"), """
 select src_ip, dst_ip, protocol, dst_port, t, count(*) as n_times, avg(gap) as gap_mean, stddev_pop(gap) as gap_std
 from (select *, start_time - lag(start_time) over (partition by src_ip,dst_ip,protocol,dst_port,t order by start_time) as gap from (
-  select d.*, f.start_time, row_number() over (partition by d.src_ip,d.dst_ip,d.protocol,d.dst_port,d.t order by f.start_time desc) as rn
+  select d.*, f.start_time
   from pair_pts d join flows f using (src_ip,dst_ip,protocol,dst_port)
-  where floor(f.start_time/3600) between d.t-23 and d.t) where rn <= 32) group by all"""),
+  where floor(f.start_time/3600) between d.t-23 and d.t)) group by all"""),
     "pair_bytes": (("pair_pts", "judged"), """
 select d.src_ip, d.dst_ip, d.protocol, d.dst_port, d.t, sum(j.forward_bytes)::bigint as fwd_bytes, sum(j.reverse_bytes)::bigint as rev_bytes,
   count(*) filter (greatest(forward_bytes,reverse_bytes)/greatest(least(forward_bytes,reverse_bytes),1) >= 1.2 and forward_bytes>=reverse_bytes) as heavy_forward,
@@ -219,7 +219,7 @@ def windows_of_flows(spark, sf):
     return wide(spark, sf).select(
         "flow_id", "eval_tick", "packets", "syn", "udp", "flows", "udp_flows", "source_distinct",
         F.round("source_entropy", 4).alias("source_entropy"), "sessions", "host_distinct", "port_distinct",
-        F.round("concentration", 6).alias("concentration"), F.size("times").cast("long").alias("n_times"),
+        F.round("concentration", 6).alias("concentration"), "n_times",
         F.round("gap_mean", 4).alias("gap_mean"), F.round("gap_cv", 6).alias("gap_cv"), "fwd_bytes", "rev_bytes",
         "heavy_forward", "heavy_reverse", "window_start", "window_end")
 

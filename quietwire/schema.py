@@ -176,7 +176,6 @@ class WindowParams:
     window_sec: int = 60
     bucket_sec: int = 1
     min_sessions: int = 6
-    max_sessions: int = 32
     syn_rate: float = 1000.0
     udp_rate: float = 1000.0
     udp_flow_rate: float = 100.0
@@ -229,4 +228,3 @@ class EncryptedParams:
     ttl_sec: float = 60.0
     reassembly_bytes: int = 32768
     deadline_sec: float = 10.0
-    timing_samples: int = 64

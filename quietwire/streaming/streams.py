@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quietwire.functions import keys as K
 from quietwire.operators.clock import tick
 from quietwire.operators.dns import oriented
-from quietwire.operators.flows import finish_counters
+from quietwire.operators.flows import finish_counters, flows, gap_sessions
 from quietwire.schema import FlowParams
 
 
@@ -161,6 +161,29 @@ def flow_stream(packets: DataFrame, params: FlowParams = FlowParams()) -> DataFr
     return finish_counters(closed.withColumns({"epoch": zero, "rst_no": zero, "fin_no": zero})).drop("epoch", "rst_no", "fin_no")
 
 
+# -- draining finite streams (J10) ---------------------------------------------------
+def drained_flows(closed: DataFrame, packets: DataFrame, params: FlowParams = FlowParams(), in_order: bool = False) -> DataFrame:
+    """The stored flows of a stream that has ended, and those that were still open in its state.
+
+    What a stream holds open in a conversation are the packets after its last closed flow, so the
+    batch operator cuts just those from the stored packets.
+    """
+    last = closed.groupBy("direction_key").agg(F.max("last_seq").alias("closed_seq"))
+    keyed = packets.withColumn("direction_key", K.direction_key()).join(last, "direction_key", "left")
+    rest = flows(keyed.filter("closed_seq is null or pkt_seq > closed_seq").drop("direction_key", "closed_seq"), params, in_order)
+    shared = [c for c in closed.columns if c in rest.columns]
+    return closed.select(*shared).unionByName(rest.select(*shared))
+
+
+def drained_sessions(closed: DataFrame, packets: DataFrame, idle_sec: float) -> DataFrame:
+    """The stored sessions of a stream that has ended, and those that the watermark had not passed."""
+    last = closed.groupBy("direction_key").agg(F.max("end_time").alias("closed_end"))
+    keyed = packets.withColumn("direction_key", K.direction_key()).join(last, "direction_key", "left")
+    rest = gap_sessions(keyed.filter("closed_end is null or ts > closed_end").drop("direction_key", "closed_end"), idle_sec)
+    shared = ["direction_key", "packet_count", "start_time", "end_time"]
+    return closed.select(*shared).unionByName(rest.select(*shared))
+
+
 # -- sinks ------------------------------------------------------------------------
 def store_batches(path: str, key: str | None = None, extra: Callable[[DataFrame, int], None] | None = None) -> Callable:
     """A ``foreachBatch`` writer.

@@ -26,7 +26,7 @@ def test_average_path():
 
 def test_classifier_round_trip(spark, tmp_path):
     rows = M.vectors(cloud(spark), ["x"])
-    model = M.fit_classifier(rows, "y", M.logistic(300, max_iter=50))
+    model = M.fit_classifier(rows, "y", M.logistic(max_iter=50))
     out = M.predict(model, rows)
     assert out.filter("y = pred").count() > 280
     first = out.first()
