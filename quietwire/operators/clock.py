@@ -80,6 +80,27 @@ def ranked(rows: DataFrame, ts: str, tie: str, width: float, keys: Sequence[str]
     return prefix_sums(bucketed, "_bucket", [ts, tie], {"rank": F.lit(1).cast("long")}, keys).drop("_bucket")
 
 
+def rows_at_ranks(rows: DataFrame, bucket: Column, order: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
+    """One row: for each name the (struct of ``order``) of the row with that rank, null if there is none.
+
+    ``ranks`` are expressions of the total ``n``.  Counts per bucket tell which bucket holds a rank; only the order
+    columns of those buckets are sorted, everything else is left where it is, to be compared with the result.
+    ``bucket`` must not decrease along ``order``.
+    """
+    narrow = rows.select(bucket.alias("_bucket"), *order)
+    summary = narrow.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
+    placed = with_carry(summary, ["_all"], "_bucket", {"_before": F.sum("_n")}).withColumns(
+        {"_before": F.coalesce("_before", F.lit(0)), "n": F.sum("_n").over(Window.partitionBy("_all"))})
+    placed = placed.withColumns({f"_r_{k}": r for k, r in ranks.items()})
+    holds = F.lit(False)
+    for k in ranks:
+        holds = holds | ((F.col(f"_r_{k}") > F.col("_before")) & (F.col(f"_r_{k}") <= F.col("_before") + F.col("_n")))
+    wanted = placed.filter(holds).drop("_all", "_n", "n")  # one bucket for each rank at most
+    local = Window.partitionBy("_bucket").orderBy(*order)
+    near = narrow.join(F.broadcast(wanted), "_bucket").withColumn("_rank", F.col("_before") + F.row_number().over(local))
+    return near.agg(*[F.max(F.when(F.col("_rank") == F.col(f"_r_{k}"), F.struct(*order))).alias(k) for k in ranks])
+
+
 def with_scalars(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row table (totals, thresholds) to every row."""
     keyed = one_row.withColumn("_one", F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietwire.functions.numbers import is_number
-from quietwire.operators.clock import prefix_sums, ranked, tick, with_scalars
+from quietwire.operators.clock import prefix_sums, rows_at_ranks, tick, with_scalars
 
 EVENT_ID = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,127}$"
 MAX_EVENTS = 32
@@ -121,13 +121,11 @@ def live_feed(events: DataFrame, size: int = 100) -> DataFrame:
 def oldest_beyond(events: DataFrame, max_count: int, bucket_sec: float = 3600.0) -> DataFrame:
     """the oldest rows in excess of ``max_count``.
 
-    Row counts per time bucket find the bucket where the cut falls; rows are
-    ranked inside their bucket only.
+    Row counts per time bucket find the bucket where the cut falls; only that one
+    is ordered, all other rows are compared with the cut.
     """
-    total = events.agg(F.count("*").alias("total"))
-    rows = ranked(events, "timestamp", "event_id", bucket_sec)
-    return (with_scalars(rows, total)
-            .filter(F.col("rank") <= F.col("total") - F.lit(max_count)).drop("rank", "total"))
+    cut = rows_at_ranks(events, tick(F.col("timestamp"), bucket_sec), ["timestamp", "event_id"], {"_cut": F.col("n") - F.lit(max_count)})
+    return with_scalars(events, cut).filter(F.struct("timestamp", "event_id") <= F.col("_cut")).drop("_cut")
 
 
 def older_than(events: DataFrame, cutoff: float) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietwire.operators.clock import prefix_sums, ranked, with_scalars
+from quietwire.operators.clock import rows_at_ranks, tick, with_scalars
 
 
 def shuffled(identity: Column, seed: int) -> Column:
@@ -65,12 +65,12 @@ def split_overlap(rows: DataFrame, identity: str, split: str = "split") -> DataF
 
 def temporal_split(rows: DataFrame, ts: str, tie: str, bucket_sec: float, train: float = 0.7,
                    val: float = 0.15) -> DataFrame:
-    """L3: the earliest rows train, the latest test."""
-    placed = with_scalars(ranked(rows, ts, tie, bucket_sec), rows.agg(F.count("*").alias("n")))
+    """L3: the earliest rows train, the latest test.  Only the two buckets with the cuts are ordered."""
     n_train, n_val = F.floor(F.col("n") * train), F.floor(F.col("n") * val)
-    split = (F.when(F.col("rank") <= n_train, "train").when(F.col("rank") <= n_train + n_val, "validation")
-              .otherwise("test"))
-    return placed.withColumn("split", split).drop("rank", "n")
+    cuts = rows_at_ranks(rows, tick(F.col(ts), bucket_sec), [ts, tie], {"_cut_train": n_train, "_cut_val": n_train + n_val})
+    place = F.struct(ts, tie)
+    split = F.when(place <= F.col("_cut_train"), "train").when(place <= F.col("_cut_val"), "validation").otherwise("test")
+    return with_scalars(rows, cuts).withColumn("split", split).drop("_cut_train", "_cut_val")
 
 
 def provenance(rows: DataFrame, split: str = "split", scenario: str = "scenario") -> DataFrame:
@@ -83,14 +83,13 @@ def provenance(rows: DataFrame, split: str = "split", scenario: str = "scenario"
 def uniform_sample(rows: DataFrame, identity: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement.
 
-    The hash prefix cuts the order into 65,536 even buckets, so the cut is found
-    without sorting the table.
+    The hash prefix cuts the order into 65,536 even buckets; only the one with the
+    cut is ordered, all other rows are compared with it.
     """
-    key = shuffled(F.col(identity), seed)
-    marked = rows.withColumn("_hash", key).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
-    placed = prefix_sums(marked, "_bucket", ["_hash", identity], {"_place": F.lit(1).cast("long")})
-    return placed.filter(F.col("_place") <= n).drop("_hash", "_bucket", "_place")
+    marked = rows.withColumn("_hash", shuffled(F.col(identity), seed))
+    bucket = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
+    cut = rows_at_ranks(marked, bucket, ["_hash", identity], {"_cut": F.least(F.lit(n), F.col("n"))})
+    return with_scalars(marked, cut).filter(F.struct("_hash", identity) <= F.col("_cut")).drop("_hash", "_cut")
 
 
 def stratified_sample(rows: DataFrame, label: str, identity: str, n: int, seed: int = 42) -> DataFrame:

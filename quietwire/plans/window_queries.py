@@ -162,16 +162,14 @@ def source_sessions(spark, sf):
 
 
 @query("destination_frequencies", B.with_views("""
-select src_ip, string_agg(dst_ip||'='||n, ',' order by dst_ip) as frequencies, sum(n)::bigint as sessions,
-  round(max(n)/sum(n),6)+0.0 as concentration from (select src_ip, dst_ip, count(*) as n from flows group by all) group by src_ip""", "flows"))
+select src_ip, dst_ip, n as sessions, round(n/sum(n) over (partition by src_ip),6)+0.0 as frequency, round(max(n) over (partition by src_ip)/sum(n) over (partition by src_ip),6)+0.0 as concentration
+from (select src_ip, dst_ip, count(*) as n from flows group by all)""", "flows"))
 def destination_frequencies(spark, sf):
-    """How often each source chose each destination, as a map in text form."""
-    counted = B.stored_flows(spark, sf).groupBy("src_ip", "dst_ip").agg(F.count("*").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.struct("dst_ip", "n")))
-    return rounded(counted.groupBy("src_ip").agg(
-        F.array_join(F.transform(pairs, lambda x: F.concat(x.dst_ip, F.lit("="), x.n.cast("string"))), ",")
-         .alias("frequencies"),
-        F.sum("n").alias("sessions"), (F.max("n") / F.sum("n")).alias("concentration")))
+    """How often each source chose each destination, one row for each pair."""
+    counted = B.stored_flows(spark, sf).groupBy("src_ip", "dst_ip").agg(F.count("*").alias("sessions"))
+    whole = counted.groupBy("src_ip").agg(F.sum("sessions").alias("all"), F.max("sessions").alias("top"))
+    return rounded(counted.join(whole, "src_ip").select(
+        "src_ip", "dst_ip", "sessions", (F.col("sessions") / F.col("all")).alias("frequency"), (F.col("top") / F.col("all")).alias("concentration")))
 
 
 @query("session_periodicity", B.with_views("""
