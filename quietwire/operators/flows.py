@@ -90,13 +90,24 @@ def _fin_deadlines(rows: DataFrame, state: DataFrame, params: FlowParams) -> Dat
     Only FIN (and RST) packets take part.  A FIN counts when no period is open
     at its arrival; the position ``(at, after_seq)`` is the point on the arrival
     clock from which packets belong to the next flow.
+
+    A FIN that arrives when the periods of all earlier FINs would be over opens one
+    in any case.  Such FINs cut the FINs of a flow into islands, numbered with tile
+    carry, and only the FINs of one island are gathered.
     """
     grace = F.lit(params.fin_grace_sec)
     marked = _numbered(rows.filter(F.col("is_fin") | F.col("closes")), state)
-    fins = marked.filter("is_fin and not closes")
-    kept = fins.groupBy(*_COARSE).agg(F.aggregate(
-        F.array_sort(F.collect_list(F.struct(
-            "pkt_seq", "wm", (F.col("ts") + grace).alias("due")))),
+    place = [*_COARSE, "tile"]
+    fins = marked.filter("is_fin and not closes").select(*place, "pkt_seq", "wm", (F.col("ts") + grace).alias("due"))
+    local = Window.partitionBy(*place).orderBy("pkt_seq")
+    latest = with_carry(fins.groupBy(*place).agg(F.max("due").alias("top")), _COARSE, "tile", {"due_before": F.max("top")}).drop("top")
+    open_until = F.greatest(F.max("due").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.col("due_before"))
+    fins = fins.join(latest, place).withColumn("starts", F.coalesce(F.col("wm") >= open_until, F.lit(True)).cast("long")).drop("due_before")
+    numbers = with_carry(fins.groupBy(*place).agg(F.sum("starts").alias("n")), _COARSE, "tile", {"n_before": F.sum("n")}).drop("n")
+    through = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fins = fins.join(numbers, place).withColumn("island", F.coalesce("n_before", F.lit(0)) + F.sum("starts").over(through))
+    kept = fins.groupBy(*_COARSE, "island").agg(F.aggregate(
+        F.array_sort(F.collect_list(F.struct("pkt_seq", "wm", "due"))),
         F.expr("cast(array() as array<struct<pkt_seq:bigint,wm:double,due:double>>)"),
         lambda acc, f: F.when(
             (F.size(acc) == 0) | (f.wm >= F.coalesce(F.try_element_at(acc, F.lit(-1)).due, f.wm)),

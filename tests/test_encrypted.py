@@ -86,6 +86,15 @@ def test_hellos_of_packets(spark, packet_frame):
     assert (timing.packets, timing.direction_count, timing.gap_max) == (5, 2, pytest.approx(0.1))
 
 
+def test_timing_covers_all_packets_of_a_long_connection(spark, packet_frame):
+    times = [round(i * 0.7 + (i % 7) * 0.05, 3) for i in range(300)]
+    rows = T.connection_packets(packet_frame(*[(t, "10.0.0.1", "192.0.2.1", 5000, 443, 6, 60 + i % 9, 0, 16) for i, t in enumerate(times)]), EncryptedParams())
+    gaps = [b - a for a, b in zip(times, times[1:])]
+    r = T.connection_timing(rows, 60.0).first()
+    assert (r.packets, r.sample_count, r.packet_size_max, r.direction_count) == (300, 300, 68, 1)
+    assert (r.gap_mean, r.gap_min, r.gap_max) == (pytest.approx(sum(gaps) / 299), pytest.approx(min(gaps)), pytest.approx(max(gaps)))
+
+
 def test_new_syn_starts_a_connection(spark, packet_frame):
     def p(ts, flags):
         return (ts, "10.0.0.1", "192.0.2.1", 5000, 443, 6, 60, 0, flags)

@@ -59,6 +59,20 @@ def test_cut_equals_state_machine(spark, packet_frame, late, grace, in_order):
         assert back.setdefault(expected[r[0]], tuple(r[1:])) == tuple(r[1:])
 
 
+@pytest.mark.parametrize("late,in_order", [(0, True), (2, False)])
+def test_hot_conversation_with_many_fins(spark, packet_frame, late, in_order):
+    """One conversation holds a third of all packets, most of them FINs, some within and some beyond the grace of one another."""
+    rnd, t, rows = random.Random(21), 1000.0, []
+    for i in range(9000):
+        t += rnd.choice([0.1, 0.3, 0.6, 1.5])
+        hot = i % 3 == 0
+        rows.append((round(t - rnd.random() * late, 3), "10.0.0.1" if hot else f"10.1.{i % 50}.2", "192.0.2.1", 5000, 80, 6, 60, 10, 17 if hot and rnd.random() < 0.9 else 16))
+    expected = cut_by_state(rows, 120.0, 1.0)
+    got = flow_packets(packet_frame(*rows), FlowParams(120.0, 1.0), in_order).select("pkt_seq", *SEGMENT).collect()
+    pairs = {(expected[r[0]], tuple(r[1:])) for r in got}
+    assert len(got) == len(rows) and len(pairs) == len(set(expected)) == len({p[1] for p in pairs})
+
+
 def counted(frame, params=FlowParams(120.0, 1.0)):
     return flows(frame, params).orderBy("first_seq").collect()
 
@@ -143,11 +157,11 @@ def test_gap_sessions(packet_frame):
 
 
 @pytest.mark.parametrize("late,in_order", [(0, True), (2, False)])
-def test_busy_conversations_give_the_same_features(spark, packet_frame, monkeypatch, late, in_order):
-    from quietwire.operators import flows as module
-
-    frame = packet_frame(*noisy_capture(600, 3, late)).cache()
-    plain = {r.flow_id: r.iat_median for r in flow_features(frame, FlowParams(), in_order).select("flow_id", "iat_median").collect()}
-    monkeypatch.setattr(module, "BUSY_ROWS", 45)
-    busy = {r.flow_id: r.iat_median for r in flow_features(frame, FlowParams(), in_order).select("flow_id", "iat_median").collect()}
-    assert plain == pytest.approx(busy) and len(plain) > 50
+def test_gap_medians_equal_plain_medians(spark, packet_frame, late, in_order):
+    frame, params = packet_frame(*noisy_capture(600, 3, late)), FlowParams()
+    key = lambda r: (r.direction_key, r.epoch, r.rst_no, r.fin_no)
+    gaps = {}
+    for r in inter_arrivals(flow_packets(frame, params, in_order), params, in_order).collect():
+        gaps.setdefault(key(r), []).append(r.iat)
+    got = {key(r): r.iat_median for r in flow_features(frame, params, in_order).select(*SEGMENT, "iat_median").collect()}
+    assert len(got) > 50 and got == pytest.approx({k: float(np.median(gaps[k])) if k in gaps else 0.0 for k in got})

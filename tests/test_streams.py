@@ -40,6 +40,19 @@ def test_stream_flows_equal_batch_flows(spark, tmp_path):
     assert batch.exceptAll(got).count() == 0
 
 
+def test_drained_streams_are_complete(spark, tmp_path):
+    frame = write_parts(spark, str(tmp_path / "in"), capture()[:-2], 150)
+    stream = lambda: R.event_time(R.packet_stream(spark, str(tmp_path / "in"), PACKET), "0 seconds")
+    R.run_to_end(R.flow_stream(stream(), PARAMS), R.store_batches(str(tmp_path / "flows"), "flow_id"), str(tmp_path / "a"))
+    R.run_to_end(R.session_flows(stream(), 20.0), R.store_batches(str(tmp_path / "sessions")), str(tmp_path / "b"))
+    columns = ["src_ip", "start_time", "end_time", "packet_count", "forward_bytes", "fin_count", "direction"]
+    closed = spark.read.parquet(str(tmp_path / "flows"))
+    got, batch = R.drained_flows(closed, frame, PARAMS).select(*columns), flows(frame, PARAMS).select(*columns)
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0 and closed.count() < batch.count()
+    drained = R.drained_sessions(spark.read.parquet(str(tmp_path / "sessions")), frame, 20.0)
+    assert drained.agg(F.sum("packet_count")).first()[0] == 400
+
+
 def test_repeated_batches_do_not_double_rows(spark, tmp_path):
     seen = []
     write = R.store_batches(str(tmp_path), "id", lambda rows, n: seen.append((n, rows.count())))

@@ -35,6 +35,18 @@ def test_periodic_sessions(packet_frame, times, expected):
     assert any(k == "C2_PERIODICITY_EVIDENCE" for k, _ in got) is expected
 
 
+@pytest.mark.parametrize("head", [[], [0.0, 0.1, 4.0, 4.1, 9.0, 9.1, 13.0, 13.3]])
+def test_gaps_of_all_sessions_in_the_window_count(packet_frame, head):
+    """40 sessions and more of one pair: the newest are regular, the first ones may not be."""
+    times = head + [15.0 + i for i in range(40)]
+    packets = packet_frame(*[(1000.0 + t, "10.0.0.1", "192.0.2.1", 5000 + i, 443, 6, 60, 0, 4) for i, t in enumerate(times)])
+    rows = W.flow_windows(packets, flows(packets, QUICK), QUICK, LOW).orderBy(F.desc("eval_tick")).first()
+    gaps = [b - a for a, b in zip(times, times[1:])]
+    mean = sum(gaps) / len(gaps)
+    std = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5
+    assert rows.n_times == len(times) and (rows.gap_mean, rows.gap_std) == (pytest.approx(mean), pytest.approx(std, abs=1e-6))
+
+
 def test_equal_times_are_not_periodic(packet_frame):
     rows = [(1000.0, "10.0.0.1", "192.0.2.1", 5000 + i, 443, 6, 60, 0, 4) for i in range(6)]
     assert not any(k == "C2_PERIODICITY_EVIDENCE" for k, _ in kinds(packet_frame(*rows)))
