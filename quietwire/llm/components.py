@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from quietwire.llm.tables import written
 
 
+SALTS = 32
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with ``m``, the smallest b of each a.
+
+    A hub's edges are dealt out by a salt of b; its minimum goes to each salt that it has, so no task gets them all.
+    """
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return dealt.join(least.select("a", "m", F.explode("salts").alias("salt")), ["a", "salt"]).drop("salt")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Ties neighbours of each node to the smallest one around it: the larger neighbours, or the node and its smaller ones."""
     if large:
         around = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))  # here a > b
-    return edges.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a > b")
+        return _with_least(around).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    return _with_least(edges).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a > b")  # here a > b
 
 
 def components(edges: DataFrame) -> DataFrame:
