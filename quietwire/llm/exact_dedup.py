@@ -96,9 +96,10 @@ def keep_first(docs: DataFrame, cell_bits: int = CELL_BITS) -> DataFrame:
 
     Unique rows pass without a shuffle. Of possibly repeated ones each task keeps its best row of a text before anything moves.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text).cast("binary"), 256)))
-    rows = _twice(keyed, _filters(written(keyed.select("_digest"), "digests"), cell_bits), cell_bits)
-    order = F.struct(F.char_length(text).alias("chars"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("id"), text.alias("text"))
-    best = rows.where("_maybe").groupBy("_digest").agg(F.max_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
-    return rows.where("not _maybe").select(*docs.columns).unionByName(best)
+    digest = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("_digest")
+    keyed = docs.select(F.struct("*").alias("_row"), digest)  # whatever the columns are called
+    rows = _twice(keyed, _filters(written(docs.select(digest), "digests"), cell_bits), cell_bits)
+    text, doc_id = F.coalesce(F.col("_row.text"), F.lit("")), F.col("_row.doc_id")
+    order = F.struct(F.char_length(text).alias("chars"), doc_id.isNotNull().alias("known"), (-doc_id).alias("id"), text.alias("text"))
+    best = rows.where("_maybe").groupBy("_digest").agg(F.max_by("_row", order).alias("_row")).select("_row.*")
+    return rows.where("not _maybe").select("_row.*").unionByName(best)

@@ -154,5 +154,5 @@ def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str,
     decided = mixed(docs, labelled, targets, budget).groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("tokens").alias("_tokens"), F.avg("rate").alias("_rate"), F.max("copies").alias("_copies")).where("_copies > 0")
     kept = docs.join(decided, docs["doc_id"].cast("long").eqNullSafe(decided["_id"]))
-    named = {"tokens": "_tokens", "rate": "_rate", "copies": "_copies"}
-    return kept.select(*[docs[c] for c in docs.columns if c not in named], *[F.col(v).alias(k) for k, v in named.items()])
+    named = ("tokens", "rate", "copies")
+    return kept.select(*[docs[c] for c in docs.columns if c not in named], *[decided[f"_{n}"].alias(n) for n in named])

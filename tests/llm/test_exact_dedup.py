@@ -46,7 +46,7 @@ def test_filters_clear_most_unique_rows(docs_frame):
 
 
 def test_keep_first_keeps_whole_rows(docs_frame):
-    docs = docs_frame(*ROWS, more="digest _row")
+    docs = docs_frame(*ROWS, more="digest _row _digest _maybe _bits")
     kept = X.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [
