@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietwire.llm.tables import written
-
-
-SALTS = 32
+from quietwire.llm.tables import with_group, written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b) with ``m``, the smallest b of each a.
-
-    A hub's edges are dealt out by a salt of b; its minimum goes to each salt that it has, so no task gets them all.
-    """
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
-    return dealt.join(least.select("a", "m", F.explode("salts").alias("salt")), ["a", "salt"]).drop("salt")
+    """``edges`` (a, b) with ``m``, the smallest b of each a; a hub's edges are dealt out."""
+    return with_group(edges, "a", "b", m=(F.min("b"), F.min))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietwire.llm.components import components
-from quietwire.llm.tables import documents_of, written
+from quietwire.llm.tables import documents_of, with_group, written
 from quietwire.llm.word_hashes import buffers, groups, mix, per_text, shingles, words
 
 SHINGLE = 5
@@ -269,8 +269,8 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     ties = member.join(shared, "key").where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     grouped = components(ties)
     # a component of several blocks is compared block by block: a text of block m takes part in the units of (m, k) for every k
-    sizes = grouped.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = (grouped.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sized = with_group(grouped, "root", "node", n=(F.count("*"), F.sum)).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    dealt = (sized.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .join(nodes.select("node", F.col("best.doc_id").alias("doc_id"), F.col("best.h").alias("h")), "node"))
     same = plain["doc_id"].eqNullSafe(dealt["doc_id"]) & (plain["h"] == dealt["h"])
     placed = plain.join(dealt, same).select("node", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "text")
@@ -279,8 +279,7 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     found = written(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(size, threshold, tolerance), "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = components(found.where("node > root").select(F.col("node").alias("a"), F.col("root").alias("b"))).join(nodes.select("node", "best"), "node")
-    first = linked.groupBy("root").agg(F.min("best").alias("first"))
-    classes = linked.join(first, "root").select("node", "first")
+    classes = with_group(linked, "root", "node", first=(F.min("best"), F.min)).select("node", "first")
     per_class = (nodes.join(links, "node", "left").join(classes, "node", "left")
                  .select(*text_class, "best", F.coalesce("first", "best").alias("first"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return sketch.drop("keys").join(per_class, text_class).select(
