@@ -1,5 +1,7 @@
 """Expected totals meet the targets; the steps equal a plain projected gradient; edge cases."""
 
+from itertools import combinations
+
 import numpy as np
 
 from quietwire.llm import mixing as M
@@ -58,3 +60,44 @@ def test_edge_cases(docs_frame, spark):
     assert [r.tokens for r in only_empty] == [0, 0] and all(r.rate == 1 for r in only_empty)
     kept = M.mixed_documents(docs, labelled, TARGETS)
     assert set(kept.columns) == set(docs.columns) | {"tokens", "rate"} and all(r.copies > 0 for r in kept.collect())
+
+
+def _table(spark, confidence, n=400):
+    """Four domains of documents whose posterior of their own domain is ``confidence``."""
+    rng = np.random.default_rng(7)
+    p = np.full((n, 4), (1 - confidence) / 3)
+    p[np.arange(n), np.arange(n) % 4] = confidence
+    return spark.createDataFrame([(int(t), q) for t, q in zip(rng.integers(1, 300, n), p.tolist())], "tokens long, posterior array<double>")
+
+
+def _least_distance(directions, goal):
+    """The distance of ``goal`` from all nonnegative mixes of a few directions, by every choice of those in use."""
+    best = np.linalg.norm(goal)
+    for size in range(1, len(directions) + 1):
+        for used in combinations(directions, size):
+            amount = np.linalg.lstsq(np.array(used).T, goal, rcond=None)[0]
+            if amount.min() >= -1e-12:
+                best = min(best, np.linalg.norm(np.array(used).T @ amount - goal))
+    return best
+
+
+def test_soft_posteriors_reach_what_can_be_reached(spark):
+    share = np.array([0.55, 0.15, 0.15, 0.15])
+    for confidence in (0.95, 0.7, 0.6, 0.5, 0.4):
+        table = _table(spark, confidence)
+        start, moves, residual = M.fit(table, share.tolist())
+        rows = table.select("tokens", "posterior", M.rate_expression(start, moves).alias("rate")).toPandas()
+        t, p, rate = rows["tokens"].to_numpy(float), np.array(rows["posterior"].tolist()), rows["rate"].to_numpy()
+        budget = ((t @ p) / share).max()
+        least = _least_distance(np.unique(p, axis=0), share)
+        reached = np.linalg.norm((rate * t) @ p / budget - share)
+        assert reached <= least + 1e-5 and rate.min() >= 0 and rate.max() < 20, confidence
+        assert abs(residual - np.abs((rate * t) @ p / budget - share).max()) < 1e-9
+        assert (least < 1e-9) == (residual < 1e-5)
+
+
+def test_uninformative_posteriors_keep_the_common_rate(spark):
+    table = _table(spark, 0.25)
+    start, moves, residual = M.fit(table, [0.55, 0.15, 0.15, 0.15])
+    rates = [r.rate for r in table.select(M.rate_expression(start, moves).alias("rate")).collect()]
+    assert np.allclose(rates, start, rtol=1e-4) and start >= 1 and residual > 0.1
