@@ -2,8 +2,10 @@
 
 *Base patterns* (password-like assignments, access keys, long hexadecimal numbers) are always reported.
 
-*Random tokens.* Runs of 20 or more of ``A-Z a-z 0-9 + / _ = -`` with letters and digits or of mixed case are tested. The smallest alphabet that holds all of its characters
-(decimal, hexadecimal, lower or upper case with digits, base 62, base 64) is inferred, and three tests ask whether the token could be a uniform draw from it:
+*Random tokens.* Runs of 20 or more of ``A-Z a-z 0-9 + / _ = -`` with letters and digits or of mixed case are tested, and so are their parts of that length
+between ``=``, between ``=`` and ``/``, and so on for ``_`` and ``-``: a name or path before a value does not hide it. Dashes between groups of hexadecimal digits (as in a UUID), or of
+digits and letters of one case where two groups or more mix both, are not part of the token's alphabet. Of discoveries in one run that overlap, the one with the highest level stays, the longest of equal ones. The smallest alphabet that holds all of its characters
+(decimal, hexadecimal, lower or upper case with digits, base 62, base 64) is inferred for each of them, and three tests ask whether the token could be a uniform draw from it:
 chi-squared of its character groups, the number of runs (above and below the middle of the alphabet), and the correlation of neighbouring
 characters. Under the opposite hypothesis, text, the likelihood ratio against letter frequencies is an e-value: the chance that text reaches it is at most its inverse.
 A token that passes all three tests at ``FIT`` is a discovery if its p-value is within the Benjamini-Hochberg bound at ``FALSE_RATE`` among all tokens of its
@@ -33,6 +35,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Parts of such runs: at each separator in order the characters that remain; a part is new if that separator stands before or after it.
+PARTS = tuple(rf"(?<={mark})[{rest}]{{20,}}+|(?<![{rest}])[{rest}]{{20,}}+(?={mark})"
+              for mark, rest in (("=", "A-Za-z0-9+/_-"), ("/", "A-Za-z0-9+_-"), ("_", "A-Za-z0-9+-"), ("-", "A-Za-z0-9+")))
 FIT = 0.001
 FALSE_RATE = 0.01
 #: Length classes: from so many characters on.
@@ -57,7 +62,7 @@ def placed_matches(docs: DataFrame) -> DataFrame:
 
     The running position needs the matches of one document and kind together, nothing else.
     """
-    patterns = (ASSIGN, rf"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", rf"[0-9a-f]{{{LEAST['hex']},}}", TOKEN)
+    patterns = (ASSIGN, rf"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", rf"[0-9a-f]{{{LEAST['hex']},}}", TOKEN, *PARTS)
     found = F.concat(*[matches(F.col("text"), p, k) for k, p in enumerate(patterns)])
     none = F.array(F.struct(F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("gap"),
                             F.lit(None).cast("int").alias("size"), F.lit(None).cast("string").alias("value")))
@@ -68,8 +73,8 @@ def placed_matches(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.col("size"))
     long_enough = F.char_length(F.regexp_extract("value", ASSIGN, 1)) >= LEAST["assign"]
     mixed = (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")) | (F.col("value").rlike("[a-z]") & F.col("value").rlike(".[A-Z]"))
-    counts = F.col("kind").isNull() | F.col("kind").isin(1, 2) | ((F.col("kind") == 0) & long_enough) | ((F.col("kind") == 3) & mixed)
-    return rows.where(counts).select("uid", "doc_id", "kind", "start", "end", F.when(F.col("kind") == 3, F.col("value")).alias("value"))
+    counts = F.col("kind").isNull() | F.col("kind").isin(1, 2) | ((F.col("kind") == 0) & long_enough) | ((F.col("kind") >= 3) & mixed)
+    return rows.where(counts).select("uid", "doc_id", F.when(F.col("kind") > 3, 3).otherwise(F.col("kind")).alias("kind"), "start", "end", F.when(F.col("kind") >= 3, F.col("value")).alias("value"))
 
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -98,7 +103,12 @@ def _text_odds() -> Column:
 
 def tested(tokens: DataFrame) -> DataFrame:
     """``tokens`` (value) with length_class, level (hundredths of a decimal place of the p-value against text) and fits (all three tests)."""
-    plain = F.translate(F.regexp_replace("value", "=+$", ""), "-_=", "+/+")
+    bare = F.regexp_replace("value", "=+$", "")
+    both = F.size(F.filter(F.split(bare, "-"), lambda g: g.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]")))
+    grouped = bare.rlike("[A-Za-z]") & (bare.rlike("^(?:[0-9a-f]+(?:-[0-9a-f]+)+|[0-9A-F]+(?:-[0-9A-F]+)+)$")
+                                        | ((both >= 2) & bare.rlike("^(?:[0-9a-z]+(?:-[0-9a-z]+)+|[0-9A-Z]+(?:-[0-9A-Z]+)+)$")))
+    grouped = grouped & (F.char_length(F.translate(bare, "-", "")) >= CLASSES[0])
+    plain = F.when(grouped, F.translate(bare, "-", "")).otherwise(F.translate(bare, "-_=", "+/+"))
     rows = tokens.withColumn("_token", plain).withColumn("_alphabet", alphabet(F.col("_token")))
     rows = rows.withColumn("_signs", F.slice(F.split("_token", "", -1), 1, F.char_length("_token")))
     rows = rows.withColumn("_codes", F.transform("_signs", lambda c: F.position(c, F.col("_alphabet")).cast("double") - 1))
@@ -142,6 +152,19 @@ def level_bounds(levels: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     return ranked.where(accepted).groupBy("length_class").agg(F.min("level").alias("bound"))
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """The rows (uid, doc_id, kind, start, end, level) that remain if of those that overlap the one with the highest level, then the longest, is taken first."""
+    order = Window.partitionBy("uid").orderBy("start", F.desc("end"))
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    heads = found.withColumn("_head", F.when(F.coalesce(reached <= F.col("start"), F.lit(True)), F.col("start")))
+    runs = heads.withColumn("_run", F.max("_head").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    span = F.struct("level", (F.col("end") - F.col("start")).alias("size"), "start", "end")
+    listed = runs.groupBy("uid", "_run").agg(F.first("doc_id").alias("doc_id"), F.first("kind").alias("kind"), F.sort_array(F.collect_list(span), False).alias("_spans"))
+    free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    taken = F.aggregate("_spans", F.slice("_spans", 1, 0), lambda taken, s: F.when(free(taken, s), F.concat(taken, F.array(s))).otherwise(taken))
+    return listed.select("uid", "doc_id", "kind", F.inline(taken)).select("uid", "doc_id", "kind", "start", "end", "level")
+
+
 def secret_spans(docs: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     rows = placed_matches(docs)
@@ -156,6 +179,8 @@ def secret_spans(docs: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     kept = known.withColumn("_before", before).withColumn("_after", after).where(
         F.col("kind").isNull() | base | (F.coalesce(F.col("_before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_after") >= F.col("end"), F.lit(True))))
+    kept = written(kept.select("uid", "doc_id", "kind", "start", "end", "level"), "discoveries")
+    kept = kept.where("kind is null or kind < 3").unionByName(apart(kept.where("kind = 3")))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     span = F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("said"))
     joined = lambda flag: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(flag, span))), lambda s: s["said"]), ",")

@@ -65,3 +65,26 @@ def test_overlaps_with_base_spans_go(docs_frame):
     token = _random_tokens(random.Random(11))[2]
     row = S.secret_spans(docs_frame((1, f"token={token} {token}"))).first()
     assert row.spans == f"assign:0:{6 + len(token)},random:{7 + len(token)}:{7 + 2 * len(token)}"
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def _draw(rng, signs, n):
+    return "".join(rng.choice(signs) for _ in range(n))
+
+
+def test_values_behind_names_paths_and_dashes_are_found(docs_frame):
+    rng = random.Random(14)
+    cases = [("session_id=", LOWER + DIGITS, 32), ("client_session_key=", DIGITS + "ABCDEF", 32), ("/services/incoming/webhook/", LOWER + UPPER + DIGITS, 24),
+             ("customer-access-", LOWER + UPPER + DIGITS, 32)]
+    rows = [(i, f"x {cases[i % 4][0]}{_draw(rng, *cases[i % 4][1:])} y") for i in range(160)]
+    for i in range(160, 200):
+        h = _draw(rng, DIGITS + "abcdef", 32)
+        rows.append((i, f"x {h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]} y"))
+    got = {r.doc_id: r.spans for r in S.secret_spans(docs_frame(*rows, (900, "x session_identifier=get_user_account_by_identifier_2024 y"))).collect()}
+    for case in range(4):
+        mine = [(t, got[i]) for i, t in rows[:160] if i % 4 == case]
+        assert sum(any(int(s.split(":")[2]) == len(t) - 2 for s in said.split(",") if s) for t, said in mine) >= 36, cases[case]
+        assert all(said.count("random") <= 1 for _, said in mine)
+    assert sum(got[i] == "random:2:38" for i in range(160, 200)) >= 36 and got[900] == ""
