@@ -2,12 +2,13 @@
 
 *Base patterns* (password-like assignments, access keys, long hexadecimal numbers) are always reported.
 
-*Random tokens.* Runs of 20 or more of ``A-Z a-z 0-9 + / _ = -`` with letters and digits or of mixed case are tested, and so are their parts of that length
+*Random tokens.* Runs of 16 or more of ``A-Z a-z 0-9 + / _ = -`` are tested, and so are their parts of that length
 between ``=``, between ``=`` and ``/``, and so on for ``_`` and ``-``: a name or path before a value does not hide it. Dashes between groups of hexadecimal digits (as in a UUID), or of
 digits and letters of one case where two groups or more mix both, are not part of the token's alphabet. Of discoveries in one run that overlap, the one with the highest level stays, the longest of equal ones. The smallest alphabet that holds all of its characters
-(decimal, hexadecimal, lower or upper case with digits, base 62, base 64) is inferred for each of them, and three tests ask whether the token could be a uniform draw from it:
+(decimal, hexadecimal, lower or upper case without or with digits, letters, base 62, base 64) is inferred for each of them, and three tests ask whether the token could be a uniform draw from it:
 chi-squared of its character groups, the number of runs (above and below the middle of the alphabet), and the correlation of neighbouring
-characters. Under the opposite hypothesis, text, the likelihood ratio against letter frequencies is an e-value: the chance that text reaches it is at most its inverse.
+characters. Under the opposite hypothesis, text, the likelihood ratio against letter frequencies is an e-value: the chance that text reaches it is at most its inverse. Tokens without a lower-case
+letter are held against text in capitals. Runs of digits are rare in text, so that long numbers which look like uniform draws (such as card numbers) are discoveries.
 A token that passes all three tests at ``FIT`` is a discovery if its p-value is within the Benjamini-Hochberg bound at ``FALSE_RATE`` among all tokens of its
 length class in the corpus, so that many short tokens cannot use up the allowance of long ones.
 
@@ -34,14 +35,14 @@ ASSIGN = (r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 #: Parts of such runs: at each separator in order the characters that remain; a part is new if that separator stands before or after it.
-PARTS = tuple(rf"(?<={mark})[{rest}]{{20,}}+|(?<![{rest}])[{rest}]{{20,}}+(?={mark})"
+PARTS = tuple(rf"(?<={mark})[{rest}]{{16,}}+|(?<![{rest}])[{rest}]{{16,}}+(?={mark})"
               for mark, rest in (("=", "A-Za-z0-9+/_-"), ("/", "A-Za-z0-9+_-"), ("_", "A-Za-z0-9+-"), ("-", "A-Za-z0-9+")))
 FIT = 0.001
 FALSE_RATE = 0.01
 #: Length classes: from so many characters on.
-CLASSES = (20, 24, 32, 48)
+CLASSES = (16, 20, 24, 32, 48)
 #: Relative frequencies of letters in running text, in per mille (rounded, English; other languages that use Latin letters are close enough for a bound).
 LETTERS = {"e": 127, "t": 91, "a": 82, "o": 75, "i": 70, "n": 67, "s": 63, "h": 61, "r": 60, "d": 43, "l": 40, "c": 28, "u": 28, "m": 24, "w": 24, "f": 22,
            "g": 20, "y": 20, "p": 19, "b": 15, "v": 10, "k": 8, "j": 2, "x": 2, "q": 1, "z": 1}
@@ -72,8 +73,8 @@ def placed_matches(docs: DataFrame) -> DataFrame:
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
     rows = rows.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.col("size"))
     long_enough = F.char_length(F.regexp_extract("value", ASSIGN, 1)) >= LEAST["assign"]
-    mixed = (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")) | (F.col("value").rlike("[a-z]") & F.col("value").rlike(".[A-Z]"))
-    counts = F.col("kind").isNull() | F.col("kind").isin(1, 2) | ((F.col("kind") == 0) & long_enough) | ((F.col("kind") >= 3) & mixed)
+    testable = F.col("value").rlike("[A-Za-z0-9]") & (F.char_length(F.regexp_replace("value", "=+$", "")) >= CLASSES[0])
+    counts = F.col("kind").isNull() | F.col("kind").isin(1, 2) | ((F.col("kind") == 0) & long_enough) | ((F.col("kind") >= 3) & testable)
     return rows.where(counts).select("uid", "doc_id", F.when(F.col("kind") > 3, 3).otherwise(F.col("kind")).alias("kind"), "start", "end", F.when(F.col("kind") >= 3, F.col("value")).alias("value"))
 
 
@@ -83,6 +84,7 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 def alphabet(token: Column) -> Column:
     """The smallest alphabet that holds a token (``-`` and ``_`` read as ``+`` and ``/``)."""
     return (F.when(token.rlike("^[0-9]+$"), _DIGITS).when(token.rlike("^[0-9a-f]+$"), _DIGITS + "abcdef").when(token.rlike("^[0-9A-F]+$"), _DIGITS + "ABCDEF")
+            .when(token.rlike("^[a-z]+$"), _LOWER).when(token.rlike("^[A-Z]+$"), _UPPER).when(token.rlike("^[A-Za-z]+$"), _UPPER + _LOWER)
             .when(token.rlike("^[0-9a-z]+$"), _DIGITS + _LOWER).when(token.rlike("^[0-9A-Z]+$"), _DIGITS + _UPPER)
             .when(token.rlike("^[0-9A-Za-z]+$"), _DIGITS + _UPPER + _LOWER).otherwise(_DIGITS + _UPPER + _LOWER + "+/"))
 
@@ -135,7 +137,9 @@ def tested(tokens: DataFrame) -> DataFrame:
     serial = total(F.transform(pairs, lambda q: (q["a"] - middle) * (q["b"] - middle))) / variance
     fits = (uniform >= FIT) & (two_sided((runs - product / n - 1) / spread) >= FIT) & (two_sided(serial * F.sqrt(n)) >= FIT)
     odds = _text_odds()
-    ratio = total(F.transform("_signs", lambda c: -F.log(size) - odds[c]))  # of uniform against text, in natural logarithms
+    # text may be in capitals throughout
+    letters = F.slice(F.split(F.when(F.col("_token").rlike("[a-z]"), F.col("_token")).otherwise(F.lower("_token")), "", -1), 1, F.char_length("_token"))
+    ratio = total(F.transform(letters, lambda c: -F.log(size) - odds[c]))  # of uniform against text, in natural logarithms
     level = F.least(F.lit(9999), F.greatest(F.lit(0), F.floor(ratio * (100 / math.log(10))))).cast("int")
     classes = F.lit(CLASSES[0])
     for c in CLASSES[1:]:

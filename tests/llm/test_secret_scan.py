@@ -88,3 +88,15 @@ def test_values_behind_names_paths_and_dashes_are_found(docs_frame):
         assert sum(any(int(s.split(":")[2]) == len(t) - 2 for s in said.split(",") if s) for t, said in mine) >= 36, cases[case]
         assert all(said.count("random") <= 1 for _, said in mine)
     assert sum(got[i] == "random:2:38" for i in range(160, 200)) >= 36 and got[900] == ""
+
+
+def test_short_and_single_case_tokens_are_found(docs_frame):
+    rng = random.Random(15)
+    kinds = ((LOWER + UPPER + DIGITS, 16), (LOWER + UPPER + DIGITS, 19), (LOWER, 40), (UPPER, 32), (DIGITS, 20), (LOWER + UPPER, 24))
+    tokens = [_draw(rng, *kinds[i % 6]) for i in range(180)]
+    words = ["internationalization", "Straßenverkehrsordnung", "Bundesverfassungsgericht", "Rechtsschutzversicherungsgesellschaften", "otorhinolaryngologist",
+             "anticonstitutionnellement", "DONAUDAMPFSCHIFFFAHRT", "----------------------", "================", "a===================", "-------------------a", "0000000000000000", "1111111122222222"]
+    got = {r.doc_id: r.spans for r in S.secret_spans(docs_frame(*[(i, f"x {t} y") for i, t in enumerate(tokens)], *[(500 + i, f"x {w} y") for i, w in enumerate(words)])).collect()}
+    for case, kind in enumerate(kinds):
+        assert sum(got[i] == f"random:2:{2 + len(tokens[i])}" for i in range(case, 180, 6)) >= 27, kind
+    assert [w for i, w in enumerate(words) if got[500 + i]] == []
