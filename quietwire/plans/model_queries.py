@@ -49,9 +49,9 @@ def logistic_predictions(spark, sf):
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    """Three kinds of model on the same rows; the boosted one with few rounds, as it is one ensemble per class."""
+    """Three kinds of model on the same rows, each with its defaults (the boosted one is one ensemble per class)."""
     train, test = (M.vectors(h, ["x"]) for h in halves(spark, sf))
-    kinds = {"logistic": _linear(), "forest": M.random_forest(depth=8), "boosted": M.boosted(3, 3)}
+    kinds = {"logistic": _linear(), "forest": M.random_forest(), "boosted": M.boosted()}
     return M.compare_models(train, test, kinds)
 
 
@@ -83,7 +83,7 @@ def scenario_holdout(spark, sf):
 def seed_stability(spark, sf):
     """K21, D51."""
     train, test = (M.vectors(h, ["x"]) for h in halves(spark, sf))
-    return M.seed_stability(train, test, lambda s: M.random_forest(depth=5, seed=s))
+    return M.seed_stability(train, test, lambda s: M.random_forest(seed=s))
 
 
 @query("known_against_unseen")
