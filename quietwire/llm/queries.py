@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietwire.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, secret_scan, token_counts, url_filter
+from quietwire.llm import (
+    chat_format, conversation_repair, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, secret_scan, token_counts, url_filter, whitening)
 from quietwire.llm.tables import literal_rows
 
 #: Fixed value: the vocabulary whose counts op5 gives.
@@ -89,6 +90,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their eight leading principal components, scaled to unit variance."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations after damage."""
+    return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences of at most 1024 tokens."""
+    return packing.packing_report(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -122,6 +138,50 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
  sum(t + r + 8 + 1 + 7)::bigint as formatted_chars from e group by conv_id"""
 
+_BLANK = r"[\x20\x09-\x0D]"
+#: crc32 of the bytes of ``k``: the table is made by eight halvings of each byte, the rest is a fold.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::bigint)),
+ lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295)"""
+SQL["op12_conversation_repair"] = rf"""
+with recursive crc_steps as (select b, b::bigint as c, 0 as i from range(256) t(b)
+ union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from crc_steps where i < 8),
+crc_table as (select b, c from crc_steps where i = 8),
+spaced as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+ coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+kinds as (select *, {_CRC} % 20 as kind from spaced, (select list(c order by b) as crcs from crc_table)),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+ case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+ unnest(case when kind = 3 then [0, 1] else [0] end) as time from kinds where kind <> 0),
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+faults as (select *, not regexp_matches(text, '[^ 	-
+]') as blank,
+ row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
+ not regexp_matches(text, '[.!?]{_BLANK}*$') as open_end,
+ lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as two from ordered),
+turns as (select conv_id, i, role, text, blank or seen as must_go, case when open_end then 5 else 0 end as extra from faults),
+summary as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank)::bigint as blank,
+ count(*) filter (seen and not blank)::bigint as duplicate, count(*) filter (open_end and not blank and not seen)::bigint as truncated,
+ count(*) filter (two is not null and two not in ('su', 'ua', 'au'))::bigint as illegal, max(i) as last from faults group by conv_id),
+-- states: 0 nothing, 1 after s, 2 after u, 3 after a; insertions lead from one to others
+inserts(src, dst, n, added) as (values (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 1, chr(10) || 'user:'), (1, 2, 1, chr(10) || 'user:'),
+ (3, 2, 1, chr(10) || 'user:'), (2, 3, 1, chr(10) || 'assistant:'), (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:')),
+moves(src, dst, r, name) as (values (0, 1, 's', null), (0, 2, 'u', 'user'), (1, 2, 'u', 'user'), (3, 2, 'u', 'user'), (2, 3, 'a', 'assistant')),
+walk as (select distinct conv_id, 0::bigint as i, dst as state, 5 * n as cost, repeat('I', n) as audit, added as said from conversations, inserts where src = 0
+ union all
+ select conv_id, i, state, cost, audit, said from (
+  select w.conv_id, q.i, x.dst as state, w.cost + e.cost + 5 * x.n as cost, w.audit || e.edit || repeat('I', x.n) as audit, w.said || e.said || x.added as said
+  from walk w join turns q on w.conv_id is not distinct from q.conv_id and q.i = w.i + 1,
+  lateral (select 'D' as edit, 2 as cost, w.state as state, '' as said
+   union all select 'K', q.extra, m.dst, chr(10) || q.role || ':' || q.text from moves m where m.src = w.state and m.r = left(q.role, 1) and not q.must_go
+   union all select 'R', 1 + q.extra, m.dst, chr(10) || m.name || ':' || q.text from moves m where m.src = w.state and m.name is not null and not q.must_go) e,
+  inserts x where x.src = e.state)
+ qualify row_number() over (partition by conv_id, i, state order by cost, audit) = 1),
+ended as (select w.* from walk w left join summary s on w.conv_id is not distinct from s.conv_id where w.i = coalesce(s.last, 0) and w.state in (0, 3)
+ qualify row_number() over (partition by w.conv_id order by cost, audit) = 1)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+ coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, cost::bigint as cost, audit, sha256(substr(said, 2)) as repaired_sha256
+from ended e left join summary s on e.conv_id is not distinct from s.conv_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -133,4 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_packing": op13_packing,
 }
