@@ -94,25 +94,8 @@ def with_features(flow: DataFrame) -> DataFrame:
 
 def feature_catalogue(spark) -> DataFrame:
     """Name, category and caveat status of every feature."""
-    name = F.col("feature")
-    frame = spark.createDataFrame([(i, f) for i, f in enumerate(S.FEATURES)],
-                                  "position int, feature string")
-    payload = name.isin("payload_bytes_total", "forward_payload_bytes", "reverse_payload_bytes",
-                        "payload_ratio")
-
-    def starts(*prefixes: str) -> Column:
-        return name.rlike("^(" + "|".join(prefixes) + ")")
-
-    category = (F.when(starts("pkt_size_"), "packet_size_stats")
-                 .when(starts("iat_", "fwd_iat_", "rev_iat_"), "inter_arrival_time")
-                 .when(starts("syn_", "ack_", "fin_", "rst_", "psh_"), "tcp_flags")
-                 .when(name.isin("protocol", "ip_version", "is_tcp", "is_udp", "is_icmp"), "protocol")
-                 .when(payload, "payload_metadata")
-                 .when(starts("forward_", "reverse_", "fwd_rev_"), "directional")
-                 .otherwise("basic"))
-    caveat = name.isin("fwd_rev_packet_ratio", "fwd_rev_byte_ratio", "protocol", "ip_version")
-    return frame.select("position", "feature", category.alias("category"),
-                        F.when(caveat, "caveat").otherwise("safe").alias("status"))
+    rows = [(i, *row) for i, row in enumerate(S.FEATURE_CATALOGUE)]
+    return spark.createDataFrame(rows, "position int, feature string, category string, status string")
 
 
 def features_valid(names: str = "names", values: str = "values", table: str = "features") -> Column:

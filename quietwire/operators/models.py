@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietwire.operators import evaluate as A
+from quietwire.operators.boosting import BoostedModel, Boosting, fit_boosted
 from quietwire.operators.splits import uniform_sample
 
 FOREST = T.StructType([
@@ -136,14 +137,15 @@ def random_forest(trees: int = 100, depth: int = 16, seed: int = 42) -> RandomFo
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label_index")
 
 
-def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42) -> OneVsRest:
-    """One boosted ensemble per class, as the built-in ensemble is binary."""
-    base = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, labelCol="label_index")
-    return OneVsRest(classifier=base, labelCol="label_index", rawPredictionCol="rawPrediction")
+def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.1) -> Boosting:
+    """Multiclass boosting over histograms."""
+    return Boosting(rounds, depth, rate)
 
 
-def fit_classifier(rows: DataFrame, label: str, estimator) -> PipelineModel:
+def fit_classifier(rows: DataFrame, label: str, estimator) -> PipelineModel | BoostedModel:
     """``rows`` carries ``features``; class names travel with the model."""
+    if isinstance(estimator, Boosting):
+        return fit_boosted(rows, label, estimator)
     index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep")
     fitted = index.fit(rows)
     if isinstance(estimator, LogisticRegression):
@@ -156,16 +158,13 @@ def class_names(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | BoostedModel, rows: DataFrame) -> DataFrame:
     """Adds ``pred``, ``scores`` (class -> score) and ``confidence`` of the chosen class."""
+    if isinstance(model, BoostedModel):
+        return model.predict(rows)
     names = class_names(model)
     out = model.transform(rows)
-    raw = "probability" if "probability" in out.columns else "rawPrediction"
-    values = F.slice(vector_to_array(F.col(raw)), 1, len(names))
-    if raw == "rawPrediction":  # margins of the one-vs-rest members to scores that add up to one
-        squashed = F.transform(values, lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * v)))
-        total = F.aggregate(squashed, F.lit(0.0), lambda a, v: a + v)
-        values = F.transform(squashed, lambda v: v / total)
+    values = F.slice(vector_to_array(F.col("probability")), 1, len(names))
     scores = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), values)
     return out.withColumn("scores", scores).withColumn("confidence", F.try_element_at("scores", F.col("pred")))
 

@@ -29,18 +29,6 @@ def packet_scan(spark, sf):
     return B.packets(spark, sf).select(*[f.name for f in S.PACKET.fields])
 
 
-@query("parse_accounting", B.with_views("""
-select count(*) as total_rows, count(src_ip) as parsed_rows, count(*) - count(src_ip) as skipped_rows,
-  cast(sum(ip_total_length) as bigint) as total_bytes, count(distinct direction_key) as conversations from keyed""", "keyed"))
-def parse_accounting(spark, sf):
-    """A5: how many rows were read, parsed and skipped."""
-    return B.packets(spark, sf).agg(
-        F.count("*").alias("total_rows"), F.count("src_ip").alias("parsed_rows"),
-        F.count_if(F.col("src_ip").isNull()).alias("skipped_rows"),
-        F.sum("ip_total_length").alias("total_bytes"),
-        F.count_distinct(K.direction_key()).alias("conversations"))
-
-
 @query("conversation_keys", B.with_views("""
 select pkt_seq, direction_key, src_ip||':'||coalesce(src_port::varchar,'None')||'-'||dst_ip||':'||coalesce(dst_port::varchar,'None')
   ||'-'||protocol as unidirectional_key from keyed""", "keyed"))

@@ -109,9 +109,15 @@ CIC_LABELS: dict[str, str] = {
     "DDoS": "ddos",
     "Infiltration": "exfiltration",
     # the separator of the web attack labels differs by file encoding
-    **{f"Web Attack {dash} {kind}": "other"
-       for dash in ("-", "–", "�")
-       for kind in ("Brute Force", "XSS", "Sql Injection")},
+    "Web Attack - Brute Force": "other",
+    "Web Attack - XSS": "other",
+    "Web Attack - Sql Injection": "other",
+    "Web Attack – Brute Force": "other",
+    "Web Attack – XSS": "other",
+    "Web Attack – Sql Injection": "other",
+    "Web Attack � Brute Force": "other",
+    "Web Attack � XSS": "other",
+    "Web Attack � Sql Injection": "other",
 }
 UNSW_LABELS: dict[str, str] = {
     "Normal": "benign", "DoS": "ddos", "Exploits": "other", "Fuzzers": "other",
@@ -119,6 +125,64 @@ UNSW_LABELS: dict[str, str] = {
     "Worms": "other", "Backdoor": "c2", "Backdoors": "c2", "Analysis": "reconnaissance",
 }
 
+# --------------------------------------------------------------------------
+# Category and caveat status of every feature.
+# --------------------------------------------------------------------------
+FEATURE_CATALOGUE: tuple[tuple[str, str, str], ...] = (
+    ("duration_sec", "basic", "safe"),
+    ("total_packets", "basic", "safe"),
+    ("total_bytes", "basic", "safe"),
+    ("packets_per_sec", "basic", "safe"),
+    ("bytes_per_sec", "basic", "safe"),
+    ("forward_packets", "directional", "safe"),
+    ("reverse_packets", "directional", "safe"),
+    ("forward_bytes", "directional", "safe"),
+    ("reverse_bytes", "directional", "safe"),
+    ("fwd_rev_packet_ratio", "directional", "caveat"),
+    ("fwd_rev_byte_ratio", "directional", "caveat"),
+    ("pkt_size_mean", "packet_size_stats", "safe"),
+    ("pkt_size_std", "packet_size_stats", "safe"),
+    ("pkt_size_min", "packet_size_stats", "safe"),
+    ("pkt_size_max", "packet_size_stats", "safe"),
+    ("pkt_size_median", "packet_size_stats", "safe"),
+    ("pkt_size_p25", "packet_size_stats", "safe"),
+    ("pkt_size_p75", "packet_size_stats", "safe"),
+    ("pkt_size_p90", "packet_size_stats", "safe"),
+    ("iat_mean", "inter_arrival_time", "safe"),
+    ("iat_std", "inter_arrival_time", "safe"),
+    ("iat_min", "inter_arrival_time", "safe"),
+    ("iat_max", "inter_arrival_time", "safe"),
+    ("iat_median", "inter_arrival_time", "safe"),
+    ("fwd_iat_mean", "inter_arrival_time", "safe"),
+    ("fwd_iat_std", "inter_arrival_time", "safe"),
+    ("fwd_iat_min", "inter_arrival_time", "safe"),
+    ("fwd_iat_max", "inter_arrival_time", "safe"),
+    ("rev_iat_mean", "inter_arrival_time", "safe"),
+    ("rev_iat_std", "inter_arrival_time", "safe"),
+    ("rev_iat_min", "inter_arrival_time", "safe"),
+    ("rev_iat_max", "inter_arrival_time", "safe"),
+    ("syn_count", "tcp_flags", "safe"),
+    ("syn_ack_count", "tcp_flags", "safe"),
+    ("ack_count", "tcp_flags", "safe"),
+    ("fin_count", "tcp_flags", "safe"),
+    ("rst_count", "tcp_flags", "safe"),
+    ("psh_count", "tcp_flags", "safe"),
+    ("syn_ratio", "tcp_flags", "safe"),
+    ("ack_ratio", "tcp_flags", "safe"),
+    ("fin_ratio", "tcp_flags", "safe"),
+    ("rst_ratio", "tcp_flags", "safe"),
+    ("psh_ratio", "tcp_flags", "safe"),
+    ("protocol", "protocol", "caveat"),
+    ("ip_version", "protocol", "caveat"),
+    ("is_tcp", "protocol", "safe"),
+    ("is_udp", "protocol", "safe"),
+    ("is_icmp", "protocol", "safe"),
+    ("payload_bytes_total", "payload_metadata", "safe"),
+    ("forward_payload_bytes", "payload_metadata", "safe"),
+    ("reverse_payload_bytes", "payload_metadata", "safe"),
+    ("payload_ratio", "payload_metadata", "safe"),
+)
+
 # --------------------------------------------------------------------------
 # Failure codes of the error analysis.
 # --------------------------------------------------------------------------
@@ -226,5 +290,6 @@ class DnsParams:
 @dataclass(frozen=True)
 class EncryptedParams:
     ttl_sec: float = 60.0
-    reassembly_bytes: int = 32768
-    deadline_sec: float = 10.0
+    #: Bytes and seconds from a direction's first segment within which its hello must come; None: all that a hello can take, however late.
+    reassembly_bytes: int | None = None
+    deadline_sec: float | None = None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quietwire.functions import lexical as X
 from quietwire.operators import dns as N
 from quietwire.sources import messages as M
+from tests.wire import decoded
 
 COLUMNS = ("pkt_seq long, ts double, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, transaction_id int, qr boolean, "
            "rcode int, status string, questions array<struct<name:string,qtype:int,qclass:int>>")
@@ -66,15 +67,15 @@ def test_name_statistics(spark):
 
 
 def test_reader_statuses():
-    assert M.read_dns(wire())["questions"] == [{"name": "www.example.test", "qtype": 1, "qclass": 1}]
-    assert M.read_dns(wire()[:-3])["status"] == "TRUNCATED"
-    assert M.read_dns(wire() + b"x")["status"] == "MALFORMED"
-    assert M.read_dns(wire(flags=0x0300))["status"] == "TRUNCATED"
-    assert M.read_dns(wire(flags=0x7900))["status"] == "UNSUPPORTED"
+    assert decoded(M.decode_dns, wire())["questions"] == [{"name": "www.example.test", "qtype": 1, "qclass": 1}]
+    assert decoded(M.decode_dns, wire()[:-3])["status"] == "TRUNCATED"
+    assert decoded(M.decode_dns, wire() + b"x")["status"] == "MALFORMED"
+    assert decoded(M.decode_dns, wire(flags=0x0300))["status"] == "TRUNCATED"
+    assert decoded(M.decode_dns, wire(flags=0x7900))["status"] == "UNSUPPORTED"
     loop = struct.pack("!6H", 1, 0x100, 1, 0, 0, 0) + b"\xc0\x0c" + b"\0\1\0\1"
-    assert M.read_dns(loop)["status"] == "MALFORMED"
+    assert decoded(M.decode_dns, loop)["status"] == "MALFORMED"
     opt = b"\0" + struct.pack("!HHIH", 41, 1232, 1 << 24, 0)
-    assert M.read_dns(wire(flags=0x8180, extra=opt, counts=(1, 0, 0, 1)))["rcode"] == 16
+    assert decoded(M.decode_dns, wire(flags=0x8180, extra=opt, counts=(1, 0, 0, 1)))["rcode"] == 16
 
 
 def test_random_bytes_never_crash():
@@ -83,8 +84,8 @@ def test_random_bytes_never_crash():
     rnd = random.Random(9)
     for _ in range(500):
         data = rnd.randbytes(rnd.randrange(80))
-        assert M.read_dns(data)["status"] in ("PARSED", "TRUNCATED", "MALFORMED", "UNSUPPORTED")
-        assert M.read_tls(data)["status"] and M.read_quic(data or b"\0")["status"]
+        assert decoded(M.decode_dns, data)["status"] in ("PARSED", "TRUNCATED", "MALFORMED", "UNSUPPORTED")
+        assert decoded(M.decode_tls, data)["status"] and decoded(M.decode_quic, data or b"\0")["status"]
 
 
 def test_messages_of_packets(spark):

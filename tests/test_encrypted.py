@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quietwire.operators import encrypted as T
 from quietwire.schema import EncryptedParams
 from quietwire.sources import messages as M
+from tests.wire import decoded
 
 
 def vec(n, data):
@@ -31,7 +32,7 @@ def server_hello(cipher=4865):
 
 
 def test_client_hello_fields():
-    h = M.read_tls(client_hello())
+    h = decoded(M.decode_tls, client_hello())
     assert (h["status"], h["handshake_type"], h["legacy_version"], h["sni"]) == ("COMPLETE", 1, 771, "example.test")
     assert (h["ciphers"], h["groups"], h["point_formats"], h["supported_versions"]) == ([2570, 4865, 4866], [29, 23], [0], [772])
     assert (h["extensions"], h["alpn"]) == ([0, 10, 11, 16, 43], ["h2", "http/1.1"])
@@ -42,7 +43,7 @@ def test_client_hello_fields():
     (b"\x14\x03\x03\x00\x01\x02", "MALFORMED"), (b"\x16\x03\x01\x00\x00", "MALFORMED"), (b"GET / HTTP", "INCOMPLETE"),
     (b"\x16\x03\x01\x00\x04\x0b\x00\x00\x00", "UNSUPPORTED")])
 def test_record_statuses(data, status):
-    assert M.read_tls(data)["status"] == status
+    assert decoded(M.decode_tls, data)["status"] == status
 
 
 def test_fingerprint_drops_filler_values(spark):
@@ -60,14 +61,32 @@ def test_published_fingerprint(spark):
     assert T.fingerprints(spark.createDataFrame(rows, schema)).first().digest == "ada70206e40642a3e4461f35503241d5"
 
 
-def test_segments_in_any_order():
+def beginnings(spark, directions, reach=M.HELLO_REACH):
+    """What ``stream_beginnings`` makes of lists of (sequence number, bytes) in arrival order."""
+    rows = [(k, i, seq, bytearray(data)) for k, parts in directions.items() for i, (seq, data) in enumerate(parts)]
+    found = M.stream_beginnings(spark.createDataFrame(rows, "k int, pkt_seq long, seq long, payload binary"), ["k"], reach).collect()
+    return {r.k: (bytes(r.prefix), r.conflict, r.far) for r in found}
+
+
+def test_segments_in_any_order(spark):
+    data, wrap = client_hello(), 2 ** 32
+    cuts = [(0, data[:30]), (20, data[20:70]), (70, data[70:]), (20, data[20:70])]
+    orders = dict(enumerate(itertools.permutations(cuts)))
+    got = beginnings(spark, {k: [((wrap - 40 + at) % wrap, part) for at, part in order] for k, order in orders.items()})
+    assert len(got) == 24 and set(got.values()) == {(data, False, False)}
+
+
+def test_holes_conflicts_and_reach(spark):
+    got = beginnings(spark, {1: [(0, b"abc"), (1, b"xc")], 2: [(0, b"abc"), (200, b"x"), (3, b"d")], 3: [(5, b"b"), (6, b"c"), (4, b"a"), (8, b"e")],
+                             4: [(0, b"ab"), (1, b"bcd"), (0, b"abcdef"), (2, b"XX")], 5: [(10, b"a" * 90), (101, b"y")]}, 100)
+    assert got[1][1] and got[4][1]
+    assert got[2] == (b"abcd", False, True) and got[3] == (b"abc", False, False) and got[5] == (b"a" * 90, False, False)
+
+
+def test_many_retransmissions_of_one_direction(spark):
     data = client_hello()
-    cuts = [(0, data[:30]), (30, data[30:70]), (70, data[70:])]
-    for order in itertools.permutations(cuts):
-        state, prefix = M.stream_prefix([((2 ** 32 - 40 + at) % 2 ** 32, part) for at, part in order], 32768)
-        assert (state, prefix) == ("INCOMPLETE", data)
-    assert M.stream_prefix([(0, b"abc"), (1, b"xc")], 100)[0] == "MALFORMED"
-    assert M.stream_prefix([(0, b"abc"), (200, b"x")], 100)[0] == "TRUNCATED"
+    parts = [(i % 7 * 25, data[i % 7 * 25:i % 7 * 25 + 40]) for i in range(4000)]
+    assert beginnings(spark, {1: parts})[1] == (data[:190][:max(at + len(d) for at, d in parts)], False, False)
 
 
 def test_hellos_of_packets(spark, packet_frame):
@@ -114,15 +133,17 @@ def quic_initial(token=b"tt"):
 
 
 def test_quic_headers(spark):
-    h = M.read_quic(quic_initial())
-    assert (h["status"], h["packet_type"], h["token_length"], h["destination_cid_sha256"]) == (
-        "COMPLETE", "INITIAL", 2, hashlib.sha256(b"dddd").hexdigest())
-    assert M.read_quic(b"\x40abc")["status"] == "UNSUPPORTED"
-    assert M.read_quic(quic_initial()[:-2])["status"] == "TRUNCATED"
-    assert M.read_quic(b"\xc0" + bytes(4) + b"\0\0" + (1).to_bytes(4, "big"))["packet_type"] == "VERSION_NEGOTIATION"
+    h = decoded(M.decode_quic, quic_initial())
+    assert (h["status"], h["packet_type"], h["token_length"], h["destination_cid"]) == (
+        "COMPLETE", "INITIAL", 2, b"dddd")
+    assert decoded(M.decode_quic, b"\x40abc")["status"] == "UNSUPPORTED"
+    assert decoded(M.decode_quic, quic_initial()[:-2])["status"] == "TRUNCATED"
+    assert decoded(M.decode_quic, b"\xc0" + bytes(4) + b"\0\0" + (1).to_bytes(4, "big"))["packet_type"] == "VERSION_NEGOTIATION"
     schema = "pkt_seq long, ts double, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, payload binary"
     rows = [(0, 1.0, "a", "b", 5000, 443, 17, bytearray(quic_initial())), (1, 2.0, "a", "b", 5000, 443, 17, bytearray(b"\x40abc")),
             (2, 3.0, "b", "a", 443, 5000, 17, bytearray(b"\x40abc"))]
+    first = M.quic_headers(spark.createDataFrame(rows, schema)).orderBy("pkt_seq").first()
+    assert (first.destination_cid_sha256, first.source_cid_length, first.source_cid_sha256) == (hashlib.sha256(b"dddd").hexdigest(), 0, None)
     heads = T.latest_headers(M.quic_headers(spark.createDataFrame(rows, schema)), "direction_key", "lo_to_hi")
     got = {r.lo_to_hi: (r.status, r.last_packet_ts) for r in heads.collect()}
     assert got == {True: ("COMPLETE", 2.0), False: ("UNSUPPORTED", 3.0)}

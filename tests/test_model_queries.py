@@ -1,19 +1,24 @@
-"""Registered model queries fit the defaults of the survey."""
+"""The registered comparison, run on a sample folder at its full settings, and the defaults of the survey."""
 
+import numpy as np
+import pandas as pd
+
+from quietwire.operators.boosting import Boosting
 from quietwire.plans import catalogue
 
 Q = catalogue.model_queries
 
 
-def test_comparison_and_stability_use_the_defaults(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(Q, "halves", lambda spark, sf: (None, None))
-    monkeypatch.setattr(Q.M, "vectors", lambda rows, columns: rows)
-    monkeypatch.setattr(Q.M, "compare_models", lambda train, test, kinds: seen.update(kinds))
-    monkeypatch.setattr(Q.M, "seed_stability", lambda train, test, make: seen.update(stability=make(7)))
-    Q.model_comparison(spark, "")
-    Q.seed_stability(spark, "")
-    for name in ("forest", "stability"):
-        assert (seen[name].getNumTrees(), seen[name].getMaxDepth()) == (100, 16)
-    base = seen["boosted"].getClassifier()
-    assert (base.getMaxIter(), base.getMaxDepth(), base.getStepSize()) == (100, 6, 0.1) and seen["stability"].getSeed() == 7
+def test_defaults_of_the_survey():
+    forest = Q.M.random_forest()
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 16) and Q.M.boosted() == Boosting(100, 6, 0.1)
+
+
+def test_comparison_runs_at_full_settings(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    label = np.arange(120) % 3
+    x = rng.standard_normal((120, 64)) * 0.3
+    x[np.arange(120), label] += 2.0
+    pd.DataFrame({"vec_id": np.arange(120), "embedding": list(x.astype(np.float32)), "label": label.astype(np.int32)}).to_parquet(tmp_path / "embeddings.parquet")
+    got = {r.model: r for r in Q.model_comparison(spark, str(tmp_path)).collect()}
+    assert set(got) == {"logistic", "forest", "boosted"} and min(r.accuracy for r in got.values()) > 0.9
