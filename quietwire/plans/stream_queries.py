@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quietwire.plans import bindings as B
 from quietwire.plans.registry import query
-from quietwire.session import shared_folder
+from quietwire.session import cut_lineage, shared_folder
 from quietwire.streaming import streams as R
+from quietwire.streaming.batchlog import BatchLog, store_flows_and_events
 
 
 def _packets(spark, sf):
@@ -45,12 +46,79 @@ def stream_trailing_counts(spark, sf):
     return R.trailing_from_buckets(out.join(last, "batch_id"), 24, 3600, "protocol")
 
 
-@query("stream_flows", B.with_views("select direction, count(*) as flows, sum(packet_count)::bigint as packets from flows group by all", "flows"))
+PARTS = 3
+
+
+def _clocked_log(spark, view, rows):
+    """``rows`` (with arrival numbers) sent through a clocked log in three files by arrival."""
+    folder = shared_folder(spark, "stream")
+    rows = cut_lineage(rows)
+    low, high = rows.agg(F.min("pkt_seq"), F.max("pkt_seq")).first()
+    width = ((high or 0) - (low or 0)) // PARTS + 1
+    for part in range(PARTS):
+        inside = rows.filter(F.floor((F.col("pkt_seq") - F.lit(low or 0)) / width) == part)
+        inside.write.mode("append").parquet(f"{folder}/in/part={part}")
+    log = BatchLog(spark, f"{folder}/{view}")
+    for part in range(PARTS):
+        raw = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part={part}")
+        R.run_to_end(raw, lambda batch, n, part=part: R.clock_batches(log)(batch, part), f"{folder}/clock-{part}")
+    R.use_state_store(spark)
+    return log, rows.schema, folder
+
+
+def _stateful(spark, log, schema, folder, operator):
+    """The results of a stateful operator over the log, stored, and its checkpoint."""
+    stream = operator(R.clocked_stream(log, schema))
+    R.run_to_end(stream, R.store_batches(f"{folder}/out"), f"{folder}/state")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), f"{folder}/state"
+
+
+_FLOW = ("flow_id", "direction_key", "first_seq", "last_seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_count", "byte_count", "payload_byte_count",
+         "forward_packet_count", "reverse_packet_count", "forward_bytes", "reverse_bytes", "syn_count", "syn_ack_count", "ack_count", "fin_count", "rst_count", "psh_count",
+         "direction", "is_complete")
+
+
+@query("stream_flows", B.with_views(f"select {', '.join(_FLOW)}, round(start_time,3)+0.0 as start_time, round(end_time,3)+0.0 as end_time from flows", "flows"))
 def stream_flows(spark, sf):
-    """Flows of a finite stream: those it has closed, and what was still open at its end."""
-    stream = R.flow_stream(R.event_time(_packets(spark, sf), "0 seconds"), B.FLOW_PARAMS)
-    out = R.drained_flows(_collected(spark, stream, key="flow_id"), B.packets(spark, sf), B.FLOW_PARAMS, in_order=True)
-    return out.groupBy("direction").agg(F.count("*").alias("flows"), F.sum("packet_count").alias("packets"))
+    """Flows of a finite stream, row by row: those it has closed, and those open in its state at the end."""
+    log, schema, folder = _clocked_log(spark, "packets", B.packets(spark, sf))
+    closed, state = _stateful(spark, log, schema, folder, lambda s: R.flow_stream(s, B.FLOW_PARAMS))
+    out = R.drained_flows(closed, state)
+    return out.select(*_FLOW, F.round("start_time", 3).alias("start_time"), F.round("end_time", 3).alias("end_time"))
+
+
+@query("stream_late_packets", B.with_views("""
+select count(*) as packets, count(*) filter (floor(ts/60) < floor(wm/60) - 59) as late from (
+ select ts, max(ts) over (order by pkt_seq rows unbounded preceding) as wm from (select pkt_seq, ts - case when pkt_seq % 5 = 0 then 86400.0 else 0.0 end as ts from packets))""", "packets"))
+def stream_late_packets(spark, sf):
+    """Packets of a stream that came when their minute had left the hour's window; every fifth packet is a day late."""
+    late = B.packets(spark, sf).withColumn("ts", F.col("ts") - F.when(F.col("pkt_seq") % 5 == 0, 86400.0).otherwise(0.0))
+    log, _, _ = _clocked_log(spark, "packets", late)
+    return R.late_counts(log, 3600.0, 60.0).agg(F.sum("packets").alias("packets"), F.sum("late").alias("late"))
+
+
+@query("stream_dns_pairing", B.with_views("select pkt_seq, visibility, paired_nx from dpair", "dpair"))
+def stream_dns_pairing(spark, sf):
+    """The visibility of every message of a stream."""
+    log, schema, folder = _clocked_log(spark, "messages", B.dns(spark, sf))
+    out, _ = _stateful(spark, log, schema, folder, R.paired_stream)
+    return out.select("pkt_seq", "visibility", (F.col("nxdomain") & (F.col("visibility") == "PAIRED")).alias("paired_nx"))
+
+
+@query("stream_events_with_flows", B.with_views("""
+select e.event_id, e.severity, f.packet_count, e.flow_id from evts e join flows f using (flow_id)""", "evts"))
+def stream_events_with_flows(spark, sf):
+    """Flows and their events stored in batches under one commit; every batch comes twice, and a third of the flows again in the next one."""
+    log = BatchLog(spark, shared_folder(spark, "events"))
+    flows = B.stored_flows(spark, sf)
+    write = store_flows_and_events(log, B.events_of)
+    part = F.pmod(F.xxhash64("flow_id"), F.lit(3))
+    for n in range(3):
+        batch = flows.filter(part.isin(n, max(n - 1, 0)))
+        write(batch.unionByName(batch), n)
+        write(batch, n)
+    events, kept = log.table("events"), log.table("flows").select("flow_id", "packet_count")
+    return events.join(kept, "flow_id").select("event_id", "severity", "packet_count", "flow_id")
 
 
 @query("stream_sessions", B.with_views("""

@@ -1,20 +1,27 @@
-"""Streaming operators."""
+"""Streaming operators.
+
+Packets reach stateful operators through a log that adds the arrival clock (``clock_batches``, ``clocked_stream``): silences are judged by the
+largest timestamp of the whole stream, as in the batch operators, whatever is late and however the stream is cut into batches.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quietwire.functions import keys as K
-from quietwire.operators.clock import tick
+from quietwire.operators.clock import arrival_watermark, late_rows, tick
 from quietwire.operators.dns import oriented
-from quietwire.operators.flows import finish_counters, flows, gap_sessions
+from quietwire.operators.flows import finish_counters, gap_sessions
 from quietwire.schema import FlowParams
+from quietwire.streaming.batchlog import BatchLog, batch_stream
 
 
 def event_time(packets: DataFrame, lateness: str) -> DataFrame:
@@ -68,25 +75,62 @@ def deduplicated(rows: DataFrame, key: str) -> DataFrame:
     return rows.dropDuplicatesWithinWatermark([key])
 
 
-def paired_stream(messages: DataFrame, ttl_sec: float = 10.0, lateness: str = "30 seconds") -> DataFrame:
-    """Queries joined to the responses within ``ttl_sec``; queries without one keep nulls.
+class _Pairing(StatefulProcessor):
+    """The waiting message of one transaction key: the next one of the other direction within ``ttl`` takes it."""
+
+    def __init__(self, ttl: float):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.waiting = handle, handle.getValueState("waiting", "pkt_seq long, ts double, qr boolean, rcode int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(rows)).sort_values("pkt_seq")
+        held, before, out = (self.waiting.get() if self.waiting.exists() else None), None, []
+        old = held
+        for seq, ts, qr, rcode, wm in zip(*(group[c].tolist() for c in ("pkt_seq", "ts", "qr", "rcode", "wm"))):
+            if held is not None and held[1] < wm - self.ttl:
+                held = None  # expired before this message came
+            if held is not None and bool(held[2]) != qr and abs(ts - held[1]) <= self.ttl:
+                out.append((seq, "PAIRED", int(held[0]), (rcode if qr else int(held[3])) == 3))
+                held = None
+            else:
+                out.append((seq, "RESPONSE_ONLY" if qr else "QUERY_ONLY", None, rcode == 3 if qr else bool(held is not None and int(held[3]) == 3)))
+                if ts >= wm - self.ttl and not key[0].startswith(_ALONE):  # a message that came too late waits for none
+                    held = (seq, ts, qr, rcode)
+        if held is not old:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            if held is None:
+                self.waiting.clear()
+            else:
+                self.waiting.update(tuple(held))
+                self.handle.registerTimer(math.floor((held[1] + self.ttl) * 1000) + 2)
+        yield pd.DataFrame(out, columns=["pkt_seq", "visibility", "partner_seq", "nxdomain"]).astype({"partner_seq": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.waiting.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: Key of messages without a question.
+_ALONE = "alone "
+PAIRED = "pkt_seq long, visibility string, partner_seq long, nxdomain boolean"
+
+
+def paired_stream(clocked: DataFrame, ttl_sec: float = 10.0) -> DataFrame:
+    """Every message of a clocked stream with its ``visibility`` and the message it pairs with; each message counts once.
 
-    Unlike the batch pairing a repeated transaction id can match more than once
-    inside the interval; use the batch operator where each message counts once.
+    State is one waiting message per transaction key, dropped by a timer when the arrival clock has passed its time to live. The message that
+    waits is called QUERY_ONLY or RESPONSE_ONLY, the later one of a pair PAIRED. Messages without a question never wait.
     """
-    m = event_time(oriented(messages), lateness)
-    keys = ["client", "server", "client_port", "server_port", "protocol", "transaction_id"]
-    sig = F.to_json(F.col("questions"))
-    q = m.filter("not qr").select(*[F.col(k).alias(f"q_{k}") for k in keys], sig.alias("q_sig"),
-                                  F.col("event_time").alias("q_time"), F.col("pkt_seq").alias("query_seq"))
-    r = m.filter("qr").select(*[F.col(k).alias(f"r_{k}") for k in keys], sig.alias("r_sig"),
-                              F.col("event_time").alias("r_time"), F.col("pkt_seq").alias("response_seq"), "rcode")
-    same = F.col("q_sig") == F.col("r_sig")
-    for k in keys:
-        same = same & (F.col(f"q_{k}") == F.col(f"r_{k}"))
-    gap = F.expr(f"INTERVAL {int(ttl_sec)} SECONDS")
-    near = (F.col("r_time") >= F.col("q_time") - gap) & (F.col("r_time") <= F.col("q_time") + gap)
-    return q.join(r, same & near, "left_outer").select("query_seq", "q_time", "response_seq", "rcode")
+    m = oriented(clocked.filter("status = 'PARSED'")).withColumn("pair_key", F.when(F.size("questions") > 0, F.sha2(F.to_json(F.struct(
+        "client", "server", "client_port", "server_port", "protocol", "transaction_id", "questions")), 256)).otherwise(F.concat(F.lit(_ALONE), F.col("pkt_seq").cast("string"))))
+    rows = m.select("pair_key", "event_time", "pkt_seq", "ts", "qr", "rcode", "wm")
+    return rows.groupBy("pair_key").transformWithStateInPandas(_Pairing(ttl_sec), PAIRED, "append", "EventTime")
 
 
 # -- J3: flows with FIN, RST and silence as custom state ---------------------------
@@ -99,78 +143,149 @@ FLOW_STATE = T.StructType([
 CLOSED_FLOW = T.StructType([T.StructField("direction_key", T.StringType()), *FLOW_STATE.fields])
 
 
-def _flow_updater(params: FlowParams) -> Callable:
-    idle, grace = params.idle_sec, params.fin_grace_sec
+def _first_true(holds: np.ndarray) -> int:
+    return int(holds.argmax()) if holds.any() else len(holds)
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed: list[tuple] = []
-        flow = dict(zip(FLOW_STATE.names, state.get)) if state.exists else None
-        if state.hasTimedOut:
-            if flow:
+
+class _FlowCutter(StatefulProcessor):
+    """The open flow of one conversation. Packets are cut with arrays, one step for each flow that ends."""
+
+    def __init__(self, params: FlowParams, without_data: bool):
+        self.idle, self.grace, self.without_data = params.idle_sec, params.fin_grace_sec, without_data
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.flow = handle, handle.getValueState("flow", FLOW_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(rows)).sort_values("pkt_seq", ignore_index=True)
+        columns = {c: group[c].to_numpy() for c in group.columns}
+        flow = dict(zip(FLOW_STATE.names, self.flow.get())) if self.flow.exists() else None
+        closed, at = [], 0
+        while at < len(group):
+            if flow is not None and self._over(flow, columns["wm"][at]):
+                closed.append((key[0], *flow.values()))
+                flow = None
+            stop, ends = self._reach(flow, columns, at)
+            flow = self._joined(flow, {c: v[at:stop] for c, v in columns.items()})
+            at = stop
+            if ends:
                 closed.append((key[0], *flow.values()))
-            state.remove()
+                flow = None
+        self._keep(flow, float(columns["wm"][-1]), timerValues)
+        yield pd.DataFrame(closed, columns=CLOSED_FLOW.names)
+
+    def _over(self, flow: dict, clock: float) -> bool:
+        fin = flow["first_fin_ts"]
+        return clock - flow["end_time"] >= self.idle or (fin is not None and clock - fin >= self.grace)
+
+    def _reach(self, flow: dict | None, columns: dict, at: int) -> tuple[int, bool]:
+        """(first row that is not in the flow any more, whether the row before ends it); rows are looked at in blocks that grow."""
+        top = -np.inf if flow is None else flow["end_time"]
+        fin = None if flow is None else flow["first_fin_ts"]
+        size, begin = 64, at
+        while begin < len(columns["ts"]):
+            block = {c: columns[c][begin:begin + size] for c in ("ts", "wm", "is_fin", "is_rst")}
+            tops = np.maximum.accumulate(np.r_[top, block["ts"]])
+            late = block["wm"] - tops[:-1] >= self.idle
+            if flow is None and begin == at:
+                late[0] = False
+            first_fin = _first_true(block["is_fin"]) if fin is None else -1
+            fin_ts = fin if fin is not None else block["ts"][first_fin] if first_fin < len(late) else None
+            if fin_ts is not None:
+                late |= (np.arange(len(late)) > first_fin) & (block["wm"] - fin_ts >= self.grace)
+            ends = block["is_rst"] | (block["is_fin"] & (self.grace == 0))
+            cut, last = _first_true(late), _first_true(ends)
+            if last < cut:
+                return begin + last + 1, True
+            if cut < len(late):
+                return begin + cut, False
+            top, fin, begin, size = tops[-1], fin_ts, begin + len(late), 2 * size
+        return begin, False
+
+    @staticmethod
+    def _joined(flow: dict | None, rows: dict) -> dict:
+        lo = rows["lo_to_hi"].astype(bool)
+        if flow is None:
+            first = int(rows["pkt_seq"][0]) * 2 + (0 if lo[0] else 1)
+            flow = dict.fromkeys(FLOW_STATE.names, 0) | {"first_coded": first, "start_time": np.inf, "end_time": -np.inf, "first_fin_ts": None}
+        flow = dict(flow)
+        flow["last_seq"] = int(rows["pkt_seq"][-1])
+        flow["start_time"] = float(min(flow["start_time"], rows["ts"].min()))
+        flow["end_time"] = float(max(flow["end_time"], rows["ts"].max()))
+        ones = np.ones(len(lo), np.int64)
+        for name, value in (("packets", ones), ("bytes", rows["ip_total_length"]), ("payload", rows["payload_size"])):
+            flow[f"{name}_all"] += int(value.sum())
+            flow[f"{name}_lo"] += int(value[lo].sum())
+        for m in _MARKS:
+            flow[f"{m}_count"] += int(rows[f"is_{m}"].sum())
+        fins = np.flatnonzero(rows["is_fin"])
+        if flow["first_fin_ts"] is None and len(fins):
+            flow["first_fin_ts"] = float(rows["ts"][fins[0]])
+        return flow
+
+    def _keep(self, flow: dict | None, clock: float, timers) -> None:
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if flow is None:
+            if self.flow.exists():
+                self.flow.clear()
+            return
+        self.flow.update(tuple(flow[n] for n in FLOW_STATE.names))
+        due = flow["end_time"] + self.idle
+        if flow["first_fin_ts"] is not None:
+            due = min(due, flow["first_fin_ts"] + self.grace)
+        if self.without_data:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + math.ceil(max(due - clock, 0.0) * 1000) + 1)
         else:
-            rows = pd.concat(list(batches)).sort_values("pkt_seq")
-            for r in rows.itertuples(index=False):
-                if flow and (r.ts - flow["end_time"] >= idle
-                             or (flow["first_fin_ts"] is not None and r.ts - flow["first_fin_ts"] >= grace)):
-                    closed.append((key[0], *flow.values()))
-                    flow = None
-                if flow is None:
-                    flow = dict.fromkeys(FLOW_STATE.names, 0)
-                    flow |= {"first_coded": r.pkt_seq * 2 + (0 if r.lo_to_hi else 1), "start_time": r.ts,
-                             "end_time": r.ts, "first_fin_ts": None}
-                flow["last_seq"] = max(flow["last_seq"], r.pkt_seq)
-                flow["start_time"], flow["end_time"] = min(flow["start_time"], r.ts), max(flow["end_time"], r.ts)
-                for name, value in (("packets", 1), ("bytes", r.ip_total_length), ("payload", r.payload_size)):
-                    flow[f"{name}_all"] += int(value)
-                    flow[f"{name}_lo"] += int(value) if r.lo_to_hi else 0
-                for m in _MARKS:
-                    flow[f"{m}_count"] += int(getattr(r, f"is_{m}"))
-                if r.is_fin and flow["first_fin_ts"] is None:
-                    flow["first_fin_ts"] = r.ts
-                if r.is_rst or (r.is_fin and grace == 0):
-                    closed.append((key[0], *flow.values()))
-                    flow = None
-            if flow is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update(tuple(flow[n] for n in FLOW_STATE.names))
-                due = flow["end_time"] + idle
-                if flow["first_fin_ts"] is not None:
-                    due = min(due, flow["first_fin_ts"] + grace)
-                state.setTimeoutTimestamp(max(int(due * 1000), state.getCurrentWatermarkMs() + 1))
+            self.handle.registerTimer(max(math.ceil(due * 1000), timers.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = [(key[0], *self.flow.get())] if self.flow.exists() else []
+        self.flow.clear()
         yield pd.DataFrame(closed, columns=CLOSED_FLOW.names)
 
-    return update
+    def close(self) -> None:
+        pass
 
 
-def flow_stream(packets: DataFrame, params: FlowParams = FlowParams()) -> DataFrame:
-    """Closed flows of a packet stream with a watermark (columns as in the batch flows).
+#: State of ``transformWithState`` lives in this store; a session needs the setting before such a stream starts.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    State is one open flow per conversation; the watermark closes silent ones (J9),
-    and packets of a conversation are handled in arrival order.
-    """
-    marks = {f"is_{n}": c for n, c in K.flag_marks().items()}
-    rows = packets.withColumn("lo_to_hi", K.low_to_high()).withColumns({"direction_key": K.direction_key(F.col("lo_to_hi")), **marks})
-    rows = rows.select("direction_key", "event_time", "pkt_seq", "ts", "lo_to_hi", "ip_total_length", "payload_size", *marks)
-    closed = rows.groupBy("direction_key").applyInPandasWithState(
-        _flow_updater(params), CLOSED_FLOW, FLOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def use_state_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def _flow_columns(closed: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     return finish_counters(closed.withColumns({"epoch": zero, "rst_no": zero, "fin_no": zero})).drop("epoch", "rst_no", "fin_no")
 
 
-# -- draining finite streams (J10) ---------------------------------------------------
-def drained_flows(closed: DataFrame, packets: DataFrame, params: FlowParams = FlowParams(), in_order: bool = False) -> DataFrame:
-    """The stored flows of a stream that has ended, and those that were still open in its state.
+def flow_stream(clocked: DataFrame, params: FlowParams = FlowParams(), without_data: bool = False) -> DataFrame:
+    """Closed flows of a clocked packet stream (columns as in the batch flows).
 
-    What a stream holds open in a conversation are the packets after its last closed flow, so the
-    batch operator cuts just those from the stored packets.
+    State is one open flow per conversation, and timers on the arrival clock close silent ones. ``without_data`` puts the timers on the time of day
+    instead (J9): a flow is closed when as much time has passed since its last batch as its silence or grace has left, even if no packet comes any more.
     """
-    last = closed.groupBy("direction_key").agg(F.max("last_seq").alias("closed_seq"))
-    keyed = packets.withColumn("direction_key", K.direction_key()).join(last, "direction_key", "left")
-    rest = flows(keyed.filter("closed_seq is null or pkt_seq > closed_seq").drop("direction_key", "closed_seq"), params, in_order)
+    marks = {f"is_{n}": c for n, c in K.flag_marks().items()}
+    rows = clocked.withColumn("lo_to_hi", K.low_to_high()).withColumns({"direction_key": K.direction_key(F.col("lo_to_hi")), **marks})
+    rows = rows.select("direction_key", "event_time", "pkt_seq", "ts", "wm", "lo_to_hi", F.coalesce("ip_total_length", F.lit(0)).alias("ip_total_length"),
+                       F.coalesce("payload_size", F.lit(0)).alias("payload_size"), *[F.coalesce(m, F.lit(False)).alias(m) for m in marks])
+    closed = rows.groupBy("direction_key").transformWithStateInPandas(
+        _FlowCutter(params, without_data), CLOSED_FLOW, "append", "ProcessingTime" if without_data else "EventTime")
+    return _flow_columns(closed)
+
+
+# -- draining finite streams (J10) ---------------------------------------------------
+def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The flows that a stopped stream holds open, read from its state."""
+    state = spark.read.format("statestore").option("stateVarName", "flow").load(checkpoint)
+    return _flow_columns(state.select(F.col("key.direction_key").alias("direction_key"), "value.*"))
+
+
+def drained_flows(closed: DataFrame, checkpoint: str) -> DataFrame:
+    """The stored flows of a stream that has ended, and those still open in its state."""
+    rest = open_flows(closed.sparkSession, checkpoint)
     shared = [c for c in closed.columns if c in rest.columns]
     return closed.select(*shared).unionByName(rest.select(*shared))
 
@@ -184,6 +299,45 @@ def drained_sessions(closed: DataFrame, packets: DataFrame, idle_sec: float) ->
     return closed.select(*shared).unionByName(rest.select(*shared))
 
 
+# -- arrival clock of a stream ------------------------------------------------------
+def clock_batches(log: BatchLog) -> Callable:
+    """A ``foreachBatch`` writer that stores packets with their arrival clock ``wm``, the largest timestamp seen in the whole stream up to a packet.
+
+    A batch orders its own blocks only; what earlier batches saw is one number of their manifest. A stream over the stored packets
+    (``clocked_stream``) has a clock that never falls, so that no packet is too late for it.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = log.facts().where(F.col("batch_id") < batch_id).agg(F.max(F.col("facts")["top"]).alias("top")).first().top
+        clocked = arrival_watermark(batch)
+        if earlier is not None:
+            clocked = clocked.withColumn("wm", F.greatest("wm", F.lit(earlier)))
+        log.commit(batch_id, {"packets": clocked}, top=("packets", F.max("wm")), rows=("packets", F.count("*")))
+
+    return write
+
+
+def clocked_stream(log: BatchLog, schema: T.StructType) -> DataFrame:
+    """The packets that ``clock_batches`` stored (columns ``schema``) as a stream whose event time is the arrival clock."""
+    columns = [*schema.fields, T.StructField("wm", T.DoubleType())]
+    rows = batch_stream(log, "packets", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns))
+    # rows at the watermark itself count as late, and a late packet's clock equals that of the packet before
+    return rows.withColumn("event_time", F.timestamp_micros(F.round(F.col("wm") * 1e6).cast("long"))).withWatermark("event_time", "1 millisecond")
+
+
+# -- late packets (J6) ----------------------------------------------------------------
+def late_counts(log: BatchLog, window_sec: float, bucket_sec: float) -> DataFrame:
+    """Per batch, how many packets came after their bucket had left the window, of how many."""
+    return late_rows(log.table("packets"), window_sec, bucket_sec).groupBy("batch_id").agg(
+        F.count("*").alias("packets"), F.count_if("is_late").alias("late"))
+
+
+def observed(clocked: DataFrame, window_sec: float, bucket_sec: float, name: str = "packets") -> tuple[DataFrame, DataFrame]:
+    """(rows in time, the same rows with a named metric): a stream without its late rows, whose progress reports ``packets`` and ``late`` under ``name``."""
+    marked = late_rows(clocked, window_sec, bucket_sec)
+    counted = marked.observe(name, F.count(F.lit(1)).alias("packets"), F.count_if("is_late").alias("late"))
+    return counted.filter("not is_late").drop("is_late"), counted
+
+
 # -- sinks ------------------------------------------------------------------------
 def store_batches(path: str, key: str | None = None, extra: Callable[[DataFrame, int], None] | None = None) -> Callable:
     """A ``foreachBatch`` writer.
