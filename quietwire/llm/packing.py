@@ -5,8 +5,8 @@
 2. *Plan.* The counts of pieces by length (as many numbers as the limit) are placed by best fit, longest first: a class is a run of sequences with equal
    contents, and a length moves whole classes at a time. The plan is a list of slots (length, first rank, first sequence, pieces per sequence, offset); its
    size depends on the limit alone: a class is split at most twice per length, and the different lengths within one sequence add up to the limit.
-3. *Ranks.* Pieces are dealt out by (length, hash of the row), a frequent length to as many parts as its count asks for; a piece's rank is its place there plus
-   the counts of the parts before. No task gets all pieces of a frequent length. Rank and length name the slot.
+3. *Ranks.* Pieces are dealt out by (length, hash of the row), a length of n pieces to about root n parts of root n pieces; a piece's rank is its place there
+   plus the counts of the parts before. No task gets all pieces of a frequent length. Rank and length name the slot.
 
 Token ids come from the vocabulary file. Where its merges are in the order of its ids, the byte-level library gives the same ids several times as fast and
 is used; texts with special strings, and other vocabularies, go through the file's own library. Texts beyond ``PART_CHARS`` are encoded in parts, cut where
@@ -19,6 +19,7 @@ ordered by their stored row number; an empty table gives an empty result; other
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,8 +39,6 @@ LIMIT = 1024
 END_ID = 2
 GROUP_BYTES = 4 << 20
 PART_CHARS = 1 << 20
-#: Pieces of one length that are ranked together, about.
-TILE_ROWS = 1 << 13
 #: Ranks within a length stay below two to this power.
 RANK_BITS = 44
 #: A blank behind a letter and before a letter starts a piece, whatever stands around it.
@@ -169,14 +168,14 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[Slots]:
     return slots
 
 
-def placed(rows: DataFrame, limit: int = LIMIT, tile_rows: int = TILE_ROWS) -> DataFrame:
+def placed(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``rows`` (with a ``length`` of 1 to ``limit``) and the ``sequence_id`` and ``offset`` of each; the rows are stored once."""
     kept = rows.columns
     stored = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     # at most ``limit`` rows: the histogram, and how many tiles each length is dealt to
     counts = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan(counts, limit)
-    tiles = stored.sparkSession.createDataFrame([(k, -(-n // tile_rows)) for k, n in counts.items()], "length long, _tiles long")
+    tiles = stored.sparkSession.createDataFrame([(k, math.isqrt(n - 1) + 1) for k, n in counts.items()], "length long, _tiles long")
     tiled = stored.join(F.broadcast(tiles), "length").withColumn("_tile", F.pmod(F.xxhash64("_row"), "_tiles")).drop("_tiles")
     counted = tiled.groupBy("length", "_tile").agg(F.count("*").alias("_n"))
     before = counted.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_tile")) - F.col("_n"))

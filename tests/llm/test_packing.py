@@ -99,6 +99,6 @@ def test_packed_documents(spark, docs_frame, encoder):
 
 def test_tiles_of_one_length_do_not_collide(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5 + 1).cast("long").alias("length"))
-    got = P.placed(rows, 16, tile_rows=100).collect()
+    got = P.placed(rows, 16).collect()
     places = {(r.sequence_id, r.offset + k) for r in got for k in range(r.length)}
     assert len(got) == 3000 and len(places) == sum(r.length for r in got) and max(o for _, o in places) < 16
