@@ -101,6 +101,24 @@ def rows_at_ranks(rows: DataFrame, bucket: Column, order: Sequence[str], ranks:
     return near.agg(*[F.max(F.when(F.col("_rank") == F.col(f"_r_{k}"), F.struct(*order))).alias(k) for k in ranks])
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, tie: str, value: Column, width: float, name: str) -> DataFrame:
+    """``left`` with ``name``: the ``value`` of the last row of ``right`` (by ``right_at``, then ``tie``) at or before ``left_at`` under the same keys.
+
+    Both sides are laid one upon the other; a value is carried forward inside a (key, tile of ``width`` seconds), and one row per (key, tile)
+    brings in the last value of earlier tiles. So each row moves once, and a key with a third of all rows is spread over its tiles.
+    """
+    known = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_kind"), F.col(tie).cast("long").alias("_tie"), value.alias("_value"))
+    asked = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_left"))
+    both = known.unionByName(asked, allowMissingColumns=True).withColumn("_tile", tick(F.col("_at"), width))
+    last = both.groupBy(*keys, "_tile").agg(F.max_by(F.when(F.col("_kind") == 0, F.struct("_value")), F.when(F.col("_kind") == 0, F.struct("_at", "_tie"))).alias("_last"))
+    carried = F.last("_last", ignorenulls=True)
+    earlier = with_carry(last, keys, "_tile", {"_carry": carried}).select(*keys, "_tile", "_carry")
+    through = (Window.partitionBy(*keys, "_tile").orderBy("_at", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = F.last(F.when(F.col("_kind") == 0, F.struct("_value")), ignorenulls=True).over(through)
+    found = both.withColumn("_near", near).filter("_kind = 1").join(earlier, [*keys, "_tile"], "left")
+    return found.select("_left.*", F.coalesce("_near", "_carry")["_value"].alias(name))
+
+
 def with_scalars(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row table (totals, thresholds) to every row."""
     keyed = one_row.withColumn("_one", F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quietwire import schema as S
 from quietwire.functions import keys as K
 from quietwire.functions import lexical as X
-from quietwire.operators.clock import tick
+from quietwire.operators.clock import as_of, tick
 from quietwire.operators.signals import signal
 from quietwire.operators.windows import changes, member_changes, values_at
 from quietwire.schema import DnsParams
@@ -153,21 +153,18 @@ def status_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("status").agg(F.count("*").alias("messages"))
 
 
-def latest_in_flow(flow: DataFrame, messages: DataFrame) -> DataFrame:
+def latest_in_flow(flow: DataFrame, messages: DataFrame, enabled: bool = True, width: float = 3600.0) -> DataFrame:
     """Each flow with the newest message of its conversation inside the flow.
 
-    Later arrivals win ties.  A conversation's messages are matched to its flows
-    by time tile: a flow spans few tiles, and only the newest message of each
-    (flow, tile) is kept before the flows are compared.
+    That is the last message up to the flow's end, if it does not lie before its start; later arrivals win ties. ``enabled=False`` says that
+    messages are not looked at.
     """
+    if not enabled:
+        return flow.withColumn("dns_status", F.lit("disabled"))
     m = messages.withColumn("direction_key", K.direction_key())
     whole = F.struct(*[c for c in m.columns if c != "direction_key"])
-    spans = flow.select("flow_id", "direction_key", "start_time", "end_time",
-                        F.explode(F.sequence(tick(F.col("start_time"), 60), tick(F.col("end_time"), 60))).alias("tile"))
-    m = m.select("direction_key", tick(F.col("ts"), 60).alias("tile"), whole.alias("m"))
-    hit = spans.join(m, ["direction_key", "tile"]).filter(F.col("m.ts").between(F.col("start_time"), F.col("end_time")))
-    newest = hit.groupBy("flow_id").agg(F.max_by("m", F.struct("m.ts", "m.pkt_seq")).alias("m"))
-    out = flow.join(newest, "flow_id", "left")
+    out = as_of(flow, m, ["direction_key"], "end_time", "ts", "pkt_seq", whole, width, "m")
+    out = out.withColumn("m", F.when(F.col("m.ts") >= F.col("start_time"), F.col("m")))
     return out.withColumn("dns_status", F.coalesce(F.col("m.status"), F.lit("unavailable_or_not_observed")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietwire import schema as S
 from quietwire.functions.keys import has_flag
-from quietwire.operators.clock import tick, with_carry
+from quietwire.operators.clock import as_of, tick, with_carry
 from quietwire.operators.flows import flow_packets
 from quietwire.schema import EncryptedParams, FlowParams
 
@@ -140,18 +140,11 @@ def connection_timing(rows: DataFrame, width: float = EncryptedParams().ttl_sec)
 def contained(flow: DataFrame, connections: DataFrame, width: float) -> DataFrame:
     """Flows with the newest connection of their conversation that lies inside them.
 
-    Matched by the time tile in which a connection starts, not by all pairs of a
-    conversation; ``width`` should be about the idle timeout of the flows.
+    That is the last one that ended up to the flow's end, if it does not start before the flow: the connections of a conversation follow one another.
     """
-    c = connections.select("direction_key", tick(F.col("started"), width).alias("tile"),
-                           F.struct("last", "conn_seq", "started", "packets").alias("c"))
-    spans = flow.select("flow_id", "direction_key", "start_time", "end_time", F.explode(F.sequence(
-        tick(F.col("start_time"), width), tick(F.col("end_time"), width))).alias("tile"))
-    inside = spans.join(c, ["direction_key", "tile"]).filter(
-        (F.col("c.started") >= F.col("start_time")) & (F.col("c.last") <= F.col("end_time")))
-    return inside.groupBy("flow_id").agg(F.max("c").alias("c")).select(
-        "flow_id", F.col("c.conn_seq").alias("conn_seq"), F.col("c.started").alias("started"),
-        F.col("c.last").alias("last"), F.col("c.packets").alias("packets"))
+    value = F.struct("conn_seq", "started", "last", "packets")
+    found = as_of(flow.select("flow_id", "direction_key", "start_time", "end_time"), connections, ["direction_key"], "end_time", "last", "conn_seq", value, width, "c")
+    return found.filter(F.col("c.started") >= F.col("start_time")).select("flow_id", "c.*")
 
 
 # -- QUIC -----------------------------------------------------------------------

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,42 +159,47 @@ def retention_batch(events: DataFrame, flow: DataFrame, max_count: int, cutoff:
     return victims, gone
 
 
+def ranges(rows: DataFrame, keys: list[str], horizon: float, sums: Mapping[str, Column]) -> DataFrame:
+    """``rows`` with ``position`` along (timestamp, event_id) of their key, ``low`` and ``high``, the positions before and of the last row within ``horizon``
+    seconds around them, and of every sum its total within that range.
+
+    Each row and two narrow probes are ordered inside tiles of the horizon; what earlier tiles hold is carried in.
+    """
+    narrow = rows.select(*keys, "event_id", "timestamp", *[c.cast("long").alias(n) for n, c in sums.items()])
+    probe = F.inline(F.array(*[F.struct((F.col("timestamp") + shift).alias("at"), F.lit(kind).alias("kind")) for shift, kind in ((-horizon, 0), (0.0, 1), (horizon, 2))]))
+    both = narrow.select("*", probe).withColumn("tile", tick(F.col("at"), horizon))
+    counted = {n: F.when(F.col("kind") == 1, c).otherwise(F.lit(0)) for n, c in {"_position": F.lit(1).cast("long"), **{f"_{n}": F.col(n) for n in sums}}.items()}
+    placed = prefix_sums(both, "tile", ["at", "kind", "event_id"], counted, keys)
+    at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return placed.groupBy(*keys, "event_id", "timestamp").agg(
+        at(1, "_position").alias("position"), at(0, "_position").alias("low"), at(2, "_position").alias("high"),
+        *[(at(2, f"_{n}") - at(0, f"_{n}")).alias(n) for n in sums])
+
+
 def neighbourhoods(events: DataFrame, horizon: float = HORIZON_SEC, limit: int = MAX_EVENTS) -> DataFrame:
     """For every event the events of its flow within ``horizon`` seconds.
 
-    The anchor comes first, then its neighbours in (timestamp, id) order up to
-    ``limit`` rows; ``truncated`` tells whether there were more.  Neighbours are
-    found by position: a probe at ``timestamp - horizon`` counts the events
-    before it, and the next ``limit`` positions are looked up by equality, so a
-    flow with very many events costs ``limit`` rows per event, not all pairs.
+    The anchor comes first, then its neighbours in (timestamp, id) order up to ``limit`` rows; ``found`` counts all of them and ``truncated`` tells whether
+    there were more. Events are filed in blocks of ``limit`` neighbouring positions, and what an anchor lists stands in two blocks at most, so that two
+    rows move for each event, however many events a flow has.
     """
-    rows = events.select("flow_id", "event_id", "timestamp")
-    points = rows.select("flow_id", "event_id", F.col("timestamp").alias("at"), F.lit(1).alias("kind"),
-                         "timestamp")
-    probes = rows.select("flow_id", "event_id", (F.col("timestamp") - horizon).alias("at"),
-                         F.lit(0).alias("kind"), "timestamp")
-    both = points.unionByName(probes).withColumn("tile", tick(F.col("at"), horizon))
-    placed = prefix_sums(both, "tile", ["at", "kind", "event_id"],
-                         {"position": F.col("kind").cast("long")}, ["flow_id"])
-    at_position = placed.filter("kind = 1").select(
-        "flow_id", "position", F.col("event_id").alias("other_id"), F.col("timestamp").alias("other_ts"))
-    anchors = placed.filter("kind = 0").select(
-        "flow_id", F.col("event_id").alias("anchor_id"), F.col("timestamp").alias("anchor_ts"),
-        F.explode(F.sequence(F.col("position") + 1, F.col("position") + limit + 1)).alias("position"))
-    near = (anchors.join(at_position, ["flow_id", "position"])
-            .filter(F.col("other_ts") <= F.col("anchor_ts") + horizon))
-    # the anchor can lie beyond the looked-up positions, so it is added by itself
-    others = near.filter("other_id <> anchor_id").select(
-        "anchor_id", "anchor_ts", "flow_id", "other_id", "other_ts", F.lit(1).alias("place"))
-    own = rows.select(F.col("event_id").alias("anchor_id"), F.col("timestamp").alias("anchor_ts"), "flow_id",
-                      F.col("event_id").alias("other_id"), F.col("timestamp").alias("other_ts"),
-                      F.lit(0).alias("place"))
-    per_anchor = Window.partitionBy("anchor_id").orderBy("place", "other_ts", "other_id")
-    out = own.unionByName(others).withColumns({
-        "place": F.row_number().over(per_anchor),
-        "found": F.count("*").over(Window.partitionBy("anchor_id"))})
-    return (out.withColumn("truncated", F.col("found") > limit).filter(F.col("place") <= limit)
-            .drop("found"))
+    placed = ranges(events, ["flow_id"], horizon, {})
+    block = F.floor(F.col("position") / limit)
+    blocks = placed.groupBy("flow_id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("position", "event_id", "timestamp"))).alias("held"))
+    wanted = placed.withColumn("block", F.explode(F.sequence(F.floor((F.col("low") + 1) / limit), F.floor(F.least(F.col("low") + limit, F.col("high")) / limit))))
+    inside = F.filter("held", lambda h: (h["position"] > F.col("low")) & (h["position"] <= F.least(F.col("low") + limit, F.col("high"))))
+    near = wanted.join(blocks, ["flow_id", "block"]).groupBy("flow_id", "event_id", "timestamp", "position", "low", "high").agg(
+        F.array_sort(F.flatten(F.collect_list(inside))).alias("near"))
+    others = F.filter("near", lambda h: h["position"] != F.col("position"))
+    own = F.array(F.struct("position", "event_id", "timestamp"))
+    listed = near.select("flow_id", F.col("event_id").alias("anchor_id"), F.col("timestamp").alias("anchor_ts"), (F.col("high") - F.col("low")).alias("found"),
+                         F.posexplode(F.slice(F.concat(own, others), 1, limit)).alias("place", "other"))
+    # an event without a flow has no neighbours
+    alone = events.filter("flow_id is null").select("flow_id", F.col("event_id").alias("anchor_id"), F.col("timestamp").alias("anchor_ts"), F.lit(1).cast("long").alias("found"),
+                                                    F.lit(0).alias("place"), F.struct(F.lit(1).cast("long").alias("position"), "event_id", "timestamp").alias("other"))
+    listed = listed.unionByName(alone)
+    return listed.select("anchor_id", "anchor_ts", "flow_id", F.col("other.event_id").alias("other_id"), F.col("other.timestamp").alias("other_ts"),
+                         (F.col("place") + 1).alias("place"), "found", (F.col("found") > limit).alias("truncated"))
 
 
 def technique_rollup(events: DataFrame, techniques: DataFrame, newest: int = 50) -> DataFrame:

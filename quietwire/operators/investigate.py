@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietwire.functions.numbers import is_number
-from quietwire.operators.events import HORIZON_SEC, MAX_EVENTS, neighbourhoods
+from quietwire.operators.events import HORIZON_SEC, MAX_EVENTS, neighbourhoods, ranges
 
 LINK_KEYS = ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "source_mode")
 
@@ -61,19 +61,35 @@ def timeline(records: DataFrame, signals: DataFrame) -> DataFrame:
             .unionByName(item(signals, "window_end", F.lit("behavioral"), "capture_event_time", path)))
 
 
-def correlations(links: DataFrame, references: DataFrame) -> DataFrame:
-    """One summary row per anchor."""
+#: Fixed value: the kinds of evidence that ``evidence_references`` gives.
+EVIDENCE_KINDS = ("Anomaly score", "BEHAVIORAL evidence", "ML classification")
+
+
+def linked_evidence(records: DataFrame, references: DataFrame, horizon: float = HORIZON_SEC) -> DataFrame:
+    """Per anchor how many events are linked and how many references of each kind they have (``n0``, ...), over all of them, listed or not."""
+    count = {f"n{i}": F.count_if(F.col("signal_type") == kind) for i, kind in enumerate(EVIDENCE_KINDS)}
+    cited = references.groupBy("event_id").agg(*[c.alias(n) for n, c in count.items()])
+    keys = [*LINK_KEYS, "identity"]
+    rows = records.withColumn("identity", source_identity()).select("event_id", "timestamp", *keys).join(cited, "event_id", "left").fillna(0, list(count))
+    linkable = F.coalesce(F.col("identity") != "", F.lit(False))
+    for key in keys:
+        linkable = linkable & F.col(key).isNotNull()
+    rows = rows.withColumn("_linkable", linkable)
+    within = ranges(rows.filter("_linkable"), keys, horizon, {n: F.col(n) for n in count})
+    alone = rows.filter("not _linkable").select("event_id", F.lit(1).cast("long").alias("linked"), *count)
+    return within.select("event_id", (F.col("high") - F.col("low")).alias("linked"), *count).unionByName(alone).withColumnRenamed("event_id", "anchor_id")
+
+
+def correlations(links: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One summary row per anchor; ``links`` may be cut, ``evidence`` (of ``linked_evidence``) counts everything."""
     members = links.groupBy("anchor_id").agg(
-        F.array_sort(F.collect_list(F.struct("other_ts", "other_id"))).alias("members"),  # at most 32
+        F.array_sort(F.collect_list(F.struct("other_ts", "other_id"))).alias("members"),  # at most the list's limit
         F.min("other_ts").alias("first_seen"), F.max("other_ts").alias("last_seen"),
         F.bool_or("truncated").alias("truncated"))
-    # one row per event and kind, so the join below carries counts, not references
-    kinds = references.groupBy("event_id", "signal_type").agg(F.count("*").alias("n"))
-    cited = (links.join(kinds, links.other_id == kinds.event_id, "left").groupBy("anchor_id")
-             .agg(F.count_distinct("signal_type").alias("source_count"),
-                  F.coalesce(F.sum("n"), F.lit(0)).alias("evidence_count"),
-                  F.array_join(F.array_sort(F.collect_set("signal_type")), ";").alias("source_kinds")))
-    return members.join(cited, "anchor_id").withColumn(
+    names = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(kind)) for i, kind in enumerate(EVIDENCE_KINDS)]))
+    total = sum((F.col(f"n{i}") for i in range(len(EVIDENCE_KINDS))), F.lit(0).cast("long"))
+    counted = evidence.select("anchor_id", "linked", F.size(names).cast("long").alias("source_count"), total.alias("evidence_count"), F.array_join(names, ";").alias("source_kinds"))
+    return members.join(counted, "anchor_id").withColumn(
         "label", F.when(F.col("source_count") > 1, "CORRELATED OBSERVATION").otherwise("RECORDED OBSERVATION"))
 
 
@@ -85,7 +101,7 @@ def canonical_digest(*sorted_fields: Column) -> Column:
 def investigations(records: DataFrame, signals: DataFrame, horizon: float = HORIZON_SEC,
                    limit: int = MAX_EVENTS) -> DataFrame:
     """One document row per anchor, for all anchors at once."""
-    summary = correlations(linked(records, horizon, limit), evidence_references(records, signals))
+    summary = correlations(linked(records, horizon, limit), linked_evidence(records, evidence_references(records, signals), horizon))
     ids = F.transform("members", lambda m: m.other_id)
     return summary.select(
         "anchor_id",

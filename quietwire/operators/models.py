@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator, Sequence
 
@@ -35,26 +36,28 @@ def average_path(n: np.ndarray | int) -> np.ndarray:
 
 
 # -- isolation forest ------------------------------------------------------------
-def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[list]:
-    """Node rows of one tree; leaves carry depth plus the expected rest of the path."""
+def draw(seed: int, tree: int, node: int, turn: int) -> float:
+    """A number from 0 up to 1 that belongs to a node: the same wherever and whenever the tree is grown."""
+    return int(hashlib.md5(f"{seed}:{tree}:{node}:{turn}".encode()).hexdigest()[:8], 16) / 2.0 ** 32
+
+
+def _grow(points: np.ndarray, seed: int, tree: int, limit: int) -> list[list]:
+    """Node rows of one tree (children of i: 2i+1, 2i+2); leaves carry depth plus the expected rest of the path."""
     nodes: list[list] = []
-    todo = [(np.arange(len(points)), 0, -1, 0)]
+    todo = [(np.arange(len(points)), 0, 0)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        number = len(nodes)
-        if parent >= 0:
-            nodes[parent][3 + side] = number
+        rows, depth, number = todo.pop()
         x = points[rows]
         low, high = (x.min(axis=0), x.max(axis=0)) if len(rows) else (None, None)
         usable = np.flatnonzero(high > low) if len(rows) > 1 else np.array([], dtype=int)
         if depth >= limit or len(usable) == 0:
             nodes.append([number, -1, 0.0, -1, -1, depth + float(average_path(len(rows)))])
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(low[f], high[f]))
-        nodes.append([number, f, cut, -1, -1, 0.0])
+        f = int(usable[int(draw(seed, tree, number, 0) * len(usable))])
+        cut = float(low[f] + draw(seed, tree, number, 1) * (high[f] - low[f]))
+        nodes.append([number, f, cut, 2 * number + 1, 2 * number + 2, 0.0])
         below = x[:, f] < cut
-        todo += [(rows[~below], depth + 1, number, 1), (rows[below], depth + 1, number, 0)]
+        todo += [(rows[~below], depth + 1, 2 * number + 2), (rows[below], depth + 1, 2 * number + 1)]
     return nodes
 
 
@@ -68,14 +71,15 @@ def fit_isolation_forest(rows: DataFrame, columns: Sequence[str], identity: str,
     values = F.array(*[F.col(c).cast("double") for c in columns]) if len(columns) > 1 else F.col(columns[0]).cast("array<double>")
     pool = uniform_sample(rows.select(F.col(identity).cast("string").alias("_id"), values.alias("_x")), "_id", trees * sample, seed)
     offered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    place = Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id")
+    order = F.md5(F.concat(F.col("tree").cast("string"), F.lit(":"), "_id", F.lit(f"#{seed}")))
+    place = Window.partitionBy("tree").orderBy(order, "_id")
     taken = offered.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= sample).select("tree", "_id", "_x")
 
     def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         points = np.stack(group.sort_values("_id")["_x"].to_numpy())
         n = len(points)
         limit = int(np.ceil(np.log2(max(n, 2))))
-        rows_ = _grow(points, np.random.default_rng([seed, int(key[0])]), limit)
+        rows_ = _grow(points, seed, int(key[0]), limit)
         return pd.DataFrame([[int(key[0]), *r, n] for r in rows_], columns=FOREST.names)
 
     return taken.groupBy("tree").applyInPandas(grow, FOREST)
@@ -89,7 +93,11 @@ def forest_scorer(forest: DataFrame) -> Callable:
     nodes = forest.toPandas()
     psi = float(nodes["sample"].max())
     trees = [g.sort_values("node") for _, g in nodes.groupby("tree")]
-    packed = [tuple(g[c].to_numpy() for c in ("feature", "split", "left", "right", "path")) for g in trees]
+    packed = []
+    for g in trees:  # children by their place in the table
+        feature, split, path = (g[c].to_numpy() for c in ("feature", "split", "path"))
+        left, right = (np.searchsorted(g["node"].to_numpy(), g[c].to_numpy()) for c in ("left", "right"))
+        packed.append((feature, split, left, right, path))
     scale = max(float(average_path(psi)), 1e-12)
 
     @F.pandas_udf(T.DoubleType())

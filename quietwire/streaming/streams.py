@@ -75,6 +75,10 @@ def deduplicated(rows: DataFrame, key: str) -> DataFrame:
     return rows.dropDuplicatesWithinWatermark([key])
 
 
+#: Seconds between the arrival clock and the event time of clocked streams.
+CLOCK_SHIFT = 4_000_000_000
+
+
 class _Pairing(StatefulProcessor):
     """The waiting message of one transaction key: the next one of the other direction within ``ttl`` takes it."""
 
@@ -105,7 +109,7 @@ class _Pairing(StatefulProcessor):
                 self.waiting.clear()
             else:
                 self.waiting.update(tuple(held))
-                self.handle.registerTimer(math.floor((held[1] + self.ttl) * 1000) + 2)
+                self.handle.registerTimer(math.floor((held[1] + self.ttl + CLOCK_SHIFT) * 1000) + 2)
         yield pd.DataFrame(out, columns=["pkt_seq", "visibility", "partner_seq", "nxdomain"]).astype({"partner_seq": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -237,7 +241,7 @@ class _FlowCutter(StatefulProcessor):
         if self.without_data:
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + math.ceil(max(due - clock, 0.0) * 1000) + 1)
         else:
-            self.handle.registerTimer(max(math.ceil(due * 1000), timers.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(math.ceil((due + CLOCK_SHIFT) * 1000), timers.getCurrentWatermarkInMs() + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         closed = [(key[0], *self.flow.get())] if self.flow.exists() else []
@@ -321,7 +325,9 @@ def clocked_stream(log: BatchLog, schema: T.StructType) -> DataFrame:
     columns = [*schema.fields, T.StructField("wm", T.DoubleType())]
     rows = batch_stream(log, "packets", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns))
     # rows at the watermark itself count as late, and a late packet's clock equals that of the packet before
-    return rows.withColumn("event_time", F.timestamp_micros(F.round(F.col("wm") * 1e6).cast("long"))).withWatermark("event_time", "1 millisecond")
+    # (and a watermark is never before 1970, so the clock is shifted: captures may count from zero)
+    at = F.timestamp_micros(F.round((F.col("wm") + CLOCK_SHIFT) * 1e6).cast("long"))
+    return rows.withColumn("event_time", at).withWatermark("event_time", "1 millisecond")
 
 
 # -- late packets (J6) ----------------------------------------------------------------

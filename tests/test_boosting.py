@@ -55,12 +55,13 @@ def test_first_round_against_a_plain_search(spark):
     x, y = np.array([r.x for r in data]), np.array([r.y for r in data])
     for c, name in enumerate(model.classes):
         g, h = 1 / 3 - (y == name), np.full(len(y), 2 / 9)
-        best = max((sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (x[:, f] < cut, x[:, f] >= cut)), f, cut)
-                   for f, cuts in enumerate(model.cuts) for cut in cuts if min(h[x[:, f] < cut].sum(), h[x[:, f] >= cut].sum()) >= 1)
+        gain = lambda f, cut: sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (x[:, f] < cut, x[:, f] >= cut))
+        best = max(gain(f, cut) for f, cuts in enumerate(model.cuts) for cut in cuts if min(h[x[:, f] < cut].sum(), h[x[:, f] >= cut].sum()) >= 1)
         tree = model.rounds[0]
         f = tree.feature[c, 0]
-        assert (f, model.cuts[f][tree.cut[c, 0]]) == best[1:]
-        left = x[:, f] < best[2]
+        cut = model.cuts[f][tree.cut[c, 0]]
+        assert gain(f, cut) == pytest.approx(best)
+        left = x[:, f] < cut
         assert tree.value[c, 1] == pytest.approx(-0.1 * g[left].sum() / (h[left].sum() + 1))
 
 
