@@ -11,6 +11,8 @@ HEADLINE = (
     "flow_counters", "flow_features", "destination_series", "trailing_destination_totals", "trailing_distinct_sources",
     "dns_pairing", "tls_fingerprints", "confusion_matrix", "curve_areas", "threshold_sweep", "stage_latency", "document_entropy",
 )
+#: Timed as well, but not part of the sum, which stays comparable between rounds.
+MORE = ("flow_windows", "dns_signals", "investigations")
 
 
 def main() -> None:
@@ -30,14 +32,14 @@ def main() -> None:
         catalogue.PLANS[name](spark, warm).write.format("noop").mode("overwrite").save()
     packets = bindings.packets(spark, folder).count()
     times: dict[str, float] = {}
-    for name in HEADLINE:
+    for name in HEADLINE + MORE:
         bindings._STORED.clear()  # every query pays for all of its own inputs
         start = time.perf_counter()
         catalogue.PLANS[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps({
-        "metric": "sum of headline query times", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "metric": "sum of headline query times", "value": round(sum(times[n] for n in HEADLINE), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "packets": packets,
         "packets_per_sec": {n: round(packets / times[n], 1) for n in ("flow_counters", "flow_features")}}))
 

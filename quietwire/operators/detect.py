@@ -231,7 +231,7 @@ def explanation(evidence: Column, baseline: Column) -> Column:
 def merged_evidence(first: str, second: str) -> Column:
     """H3: two evidence collections as one: items sorted by strength, available if either is."""
     a, b = F.col(first), F.col(second)
-    none = F.expr(f"filter({first}.items, e -> false)")
+    none = F.slice(F.array(F.get(a["items"], F.lit(0))), 1, 0)
     items = F.concat(F.coalesce(a["items"], none), F.coalesce(b["items"], none))
     either = F.coalesce(a["explanation_available"], F.lit(True)) | F.coalesce(b["explanation_available"], F.lit(True))
     reasons = F.array_join(F.array_compact(F.array(a["unavailable_reason"], b["unavailable_reason"])), "; ")

@@ -221,6 +221,16 @@ def curve_areas(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return curve.groupBy(*keys).agg(*out) if keys else curve.agg(*out)
 
 
+def operating_points(rows: DataFrame, targets: Sequence[float], default: float = 0.5) -> DataFrame:
+    """Threshold, recall and false-positive rate at the default threshold, at the best f1 of the sweep, and nearest to target rates."""
+    sweep = threshold_report(rows, SWEEP)
+    best = with_scalars(sweep, best_threshold(sweep).select(F.col("threshold").alias("_best"))).filter(F.col("threshold") == F.col("_best"))
+    pick = lambda frame, name: frame.select(F.lit(name).alias("point"), "threshold", "recall", "fpr")
+    nearest = recall_at_fpr(score_curve(rows), targets)
+    near = nearest.select(F.concat(F.lit("fpr "), F.col("target_fpr").cast("string")).alias("point"), "threshold", "recall", F.col("actual_fpr").alias("fpr"))
+    return pick(threshold_report(rows, [default]), "default").unionByName(pick(best, "best f1")).unionByName(near)
+
+
 def recall_at_fpr(curve: DataFrame, targets: Sequence[float]) -> DataFrame:
     """The curve point whose false-positive rate is closest to each target.
 

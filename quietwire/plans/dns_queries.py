@@ -11,6 +11,7 @@ from quietwire.operators.clock import tick
 from quietwire.operators.flows import flows
 from quietwire.operators.windows import closing_ticks
 from quietwire.plans import bindings as B
+from quietwire.plans import message_queries  # noqa: F401  (its views)
 from quietwire.plans.registry import query, rounded
 from quietwire.schema import DnsParams, FlowParams, WindowParams
 
@@ -128,10 +129,15 @@ def dns_type_counts(spark, sf):
     return N.type_counts(N.oriented(B.dns(spark, sf)), ["client"])
 
 
-@query("dns_status_counts", B.with_views("select 'PARSED' as status, count(*) as messages from dns", "dns"))
+@query("dns_status_counts", B.with_views("""
+select case when hidden then 'ENCRYPTED_OR_UNAVAILABLE' when cut then 'TRUNCATED' else 'PARSED' end as status, count(*) as messages
+from (select *, unnest(case when framed and not hidden and pid % 9 = 0 then [1, 2] else [1] end) as time from dns_wire) group by all""", "dns_wire"))
 def dns_status_counts(spark, sf):
-    """D59."""
-    return N.status_counts(B.dns(spark, sf))
+    """What became of the messages that were written as bytes."""
+    from quietwire.plans.message_queries import dns_packets
+    from quietwire.sources.messages import dns_messages
+
+    return N.status_counts(dns_messages(dns_packets(spark, sf)))
 
 
 _W = ("query_messages", "response_messages", "nxdomain", "paired", "paired_nxdomain", "questions", "unique_domains")

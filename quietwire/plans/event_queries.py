@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quietwire import schema as S
 from quietwire.functions import numbers as N
 from quietwire.functions import text as X
+from quietwire.operators import documents as D
 from quietwire.operators import events as E
 from quietwire.operators import investigate as V
 from quietwire.plans import bindings as B
@@ -244,12 +245,18 @@ def investigations(spark, sf):
     return V.investigations(E.event_records(B.events(spark, sf)), event_signals(spark, sf), HORIZON)
 
 
-@query("investigation_documents", B.with_views("select count(distinct event_id) as documents, count(distinct event_id) as digests, true as parseable from evts", "evts"))
+@query("investigation_documents", B.with_views("""
+select anchor_id, sha256(document) as digest from (
+ select anchor_id, '{"anchor_id":"'||anchor_id||'","event_ids":"'||string_agg(other_id, ';' order by other_ts, other_id)||'","evidence_count":'||max(n)::bigint||
+  ',"investigation_id":"'||sha256('{"anchor":"'||anchor_id||'","events":['||string_agg('"'||other_id||'"', ',' order by other_ts, other_id)||'],"rules":"1.0.0"}')||
+  '","label":"'||case when max(k) > 1 then 'CORRELATED OBSERVATION' else 'RECORDED OBSERVATION' end||'","source_count":'||max(k)||',"source_kinds":"'||max(kinds)||
+  '","truncated":'||bool_or(truncated)||'}' as document
+ from near join (select anchor_id, count(distinct signal_type) as k, count(*) as n, string_agg(distinct signal_type, ';' order by signal_type) as kinds
+  from near join refs on refs.event_id = near.other_id group by all) using (anchor_id) group by anchor_id)""", "near", "refs"))
 def investigation_documents(spark, sf):
-    """Every investigation as one JSON text with its digest."""
-    docs = V.documents(V.investigations(E.event_records(B.events(spark, sf)), event_signals(spark, sf), HORIZON))
-    return docs.agg(F.count("*").alias("documents"), F.count_distinct("digest").alias("digests"),
-                    F.bool_and(F.get_json_object("document", "$.label").isNotNull()).alias("parseable"))
+    """Every investigation as one JSON text, compared by its digest (times are compared in ``investigations``)."""
+    found = V.investigations(E.event_records(B.events(spark, sf)), event_signals(spark, sf), HORIZON)
+    return V.documents(found.drop("first_seen", "last_seen")).select("anchor_id", "digest")
 
 
 @query("membership_histogram", B.with_views("""
@@ -336,3 +343,44 @@ def run_equality(spark, sf):
     return per_row.agg(F.coalesce(F.sum(F.greatest("surplus", F.lit(0))), F.lit(0)).alias("only_first"),
                        F.coalesce(F.sum(F.greatest(-F.col("surplus"), F.lit(0))), F.lit(0)).alias("only_second"),
                        F.sum("n").alias("rows_compared"))
+
+
+# -- documents with nested parts ---------------------------------------------------
+#: What is added to an event's document, by first_seq % 18, and the reason for which it is set aside.
+_SPOILED = (
+    ('"evidence":{"items":[1]},"dns_evidence":[{"a":1}],"metadata":{"explanation":{"attack_mappings":[]}},"threat_class":null', None),
+    ('"event_id":null', "identity"), ('"created_at":5', "time"), ('"created_at":5.5', "source"),
+    ('"dns_observation":"x","metadata":{"explanation":{"metadata":{"explanation":1}}}', "observation"), ('"tls_evidence":[1]', "evidence"),
+    ('"classification_score":"high"', "number"), ('"capture_interface":7', "text"), ('"evidence":{"items":3}', "model evidence"),
+    ('"tls_observation":{"directions":{}}', "directions"), ('"metadata":[]', "metadata"), ('"metadata":{"attack_mappings":{}}', "techniques"),
+    ('"event_id":"other"', "conflicting identity"), ('"threat_class":"other"', "conflicting class"), ('"src_port":70000', "endpoint"), ('"src_port":', "document"),
+    ('"quic_observation":{"directions":[1,2,3]}', "directions"), ('"dns_observation":{"directions":[]}', "directions"))
+
+
+def event_documents(spark, sf):
+    """Every event as JSON text; seventeen of eighteen break one rule each."""
+    n = (F.col("first_seq") % len(_SPOILED)).cast("int")
+    base = F.to_json(F.struct(
+        F.when(n == 1, "bad id").otherwise(F.col("event_id")).alias("id"), F.when(n != 2, F.col("timestamp")).alias("timestamp"),
+        F.when(n == 3, "TAPE").otherwise("LIVE").alias("source_mode"), "threat_type", "flow_id", "dst_port"))
+    extra = F.element_at(F.array(*[F.lit(text) for text, _ in _SPOILED]), n + 1)
+    return B.events(spark, sf).withColumns({"base": base, "extra": extra}).select(
+        "event_id", F.concat(F.expr("substring(base, 1, length(base) - 1)"), F.lit(","), F.col("extra"), F.lit("}")).alias("document"))
+
+
+@query("event_document_validity", B.with_views(
+    "select event_id, ([" + ", ".join("null" if r is None else f"'{r}'" for _, r in _SPOILED) + "])[first_seq % 18 + 1] as reject_reason, first_seq % 18 = 0 as is_valid from evts", "evts"))
+def event_document_validity(spark, sf):
+    """One document in eighteen is valid, each other kind breaks one rule."""
+    return D.document_validity(event_documents(spark, sf)).select("event_id", "reject_reason", "is_valid")
+
+
+@query("projected_documents", B.with_views("""
+select * from (select 'id' as path, 'STRING' as kind, count(*) filter (n not in (4, 15)) as leaves from d union all select 'threat_type', 'STRING', count(*) filter (n not in (4, 15)) from d
+ union all select 'evidence.items[0]', 'BIGINT', count(*) filter (n = 0) from d union all select 'evidence.items', 'BIGINT', count(*) filter (n = 8) from d
+ union all select '', 'REFUSED', count(*) filter (n = 4) from d) where leaves > 0""".replace("from d", "from (select first_seq % 18 as n from evts)"), "evts"))
+def projected_documents(spark, sf):
+    """Leaves below allowed names; a document nested too deeply is refused."""
+    names = ("id", "threat_type", "evidence", "items", "dns_evidence", "metadata", "explanation")
+    found = D.projected_leaves(event_documents(spark, sf), "event_id", names, D.Bounds(depth=3))
+    return found.groupBy("path", "kind").agg(F.count("*").alias("leaves"))

@@ -280,8 +280,22 @@ def scenario_rows(spark, sf):
     return B.stored_features(spark, sf).groupBy("scenario", "label").agg(F.count("*").alias("n"))
 
 
-@query("leak_free_split", B.with_views("select 'none' as splits, 0::bigint as identities from features group by all having false", "features"))
+B.SQL_VIEWS["feature_split"] = (("features",), """
+select f.flow_id, f.src_ip, split from features f join (
+ select scenario, case when rn <= t then 'train' when rn <= t + (case when t+v >= n then greatest(0,n-t-1) else v end) then 'validation' else 'test' end as split from (
+  select scenario, row_number() over (order by md5(scenario||'#42'), scenario) as rn, count(*) over () as n, greatest(1,floor(count(*) over ()*0.7)) as t, floor(count(*) over ()*0.15) as v
+  from (select distinct scenario from features))) using (scenario)""")
+_SHARED = """select '{0}' as identity, splits, count(*) as identities from (select {0}, string_agg(distinct split, '+' order by split) as splits, count(distinct split) as c
+ from feature_split group by {0}) where c > 1 group by splits"""
+
+
+@query("leak_free_split", B.with_views(
+    "select 'rows' as identity, split as splits, count(*) as identities from feature_split group by split union all " + _SHARED.format("flow_id") + " union all " + _SHARED.format("src_ip"), "feature_split"))
 def leak_free_split(spark, sf):
-    """C11: whole scenarios per split leave no flow in two splits."""
+    """C11: whole scenarios per split: no flow is in two splits, sources are."""
     f = B.stored_features(spark, sf)
-    return L.split_overlap(L.assign(f, L.scenario_split(f)), "flow_id")
+    rows = L.assign(f, L.scenario_split(f))
+    held = rows.groupBy(F.col("split").alias("splits")).agg(F.count("*").alias("identities")).select(F.lit("rows").alias("identity"), "splits", "identities")
+    for identity in ("flow_id", "src_ip"):
+        held = held.unionByName(L.split_overlap(rows, identity).select(F.lit(identity).alias("identity"), "splits", "identities"))
+    return held
