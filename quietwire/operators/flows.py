@@ -42,32 +42,41 @@ def keyed_packets(packets: DataFrame, params: FlowParams, in_order: bool) -> Dat
 
 def _silences(rows: DataFrame, params: FlowParams, in_order: bool) -> tuple[DataFrame, DataFrame]:
     """Per-tile ``epoch``/``rst`` carry, and the rows (with ``epoch`` when out of order)."""
-    summary = rows.groupBy(*_TILE).agg(
-        F.min("wm").alias("first_wm"), F.max("ts").alias("top_ts"),
-        F.count_if("closes").alias("n_close"))
-    state = with_carry(summary, ["direction_key"], "tile",
-                       {"prior_ts": F.max("top_ts"), "rst_before": F.sum("n_close")})
     idle, none = F.lit(params.idle_sec), F.lit(0).cast("long")
     if in_order:
+        summary = rows.groupBy(*_TILE).agg(
+            F.min("wm").alias("first_wm"), F.max("ts").alias("top_ts"),
+            F.count_if("closes").alias("n_close"))
+        state = with_carry(summary, ["direction_key"], "tile",
+                           {"prior_ts": F.max("top_ts"), "rst_before": F.sum("n_close")})
         through = (Window.partitionBy("direction_key").orderBy("tile")
                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         opens = F.coalesce(F.col("first_wm") - F.col("prior_ts") >= idle, F.lit(False))
         state = state.withColumn("epoch", F.count_if(opens).over(through))
         state = state.withColumn("epoch_before", F.col("epoch") - opens.cast("long"))
     else:
-        # late packets can leave a silence inside a tile: test every row
+        # late packets can leave a silence inside a tile: test every row, against the newest timestamp since the last closing packet
         before = (Window.partitionBy(*_TILE).orderBy("pkt_seq")
                   .rowsBetween(Window.unboundedPreceding, -1))
         through = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        seen = F.greatest(F.max("ts").over(before), F.col("prior_ts"))
-        rows = rows.join(state.select(*_TILE, "prior_ts"), _TILE)
+        rows = rows.withColumn("_part", F.count_if("closes").over(before))
+        parts = rows.groupBy(*_TILE).agg(F.count_if("closes").alias("n_close"), F.max(F.struct("_part", "ts")).alias("tail"))
+        parts = parts.withColumn("tail_ts", F.when(F.col("tail._part") == F.col("n_close"), F.col("tail.ts")))
+        along = Window.partitionBy("direction_key").orderBy("tile")
+        # tiles from the last one with a closing packet on share a run; what it has seen goes on to the next tile
+        parts = parts.withColumn("run", F.count_if(F.col("n_close") > 0).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        held = F.max("tail_ts").over(Window.partitionBy("direction_key", "run").orderBy("tile").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        carry = parts.withColumn("held", held).withColumn("prior_ts", F.lag("held").over(along)).select(*_TILE, "prior_ts")
+        rows = rows.join(carry, _TILE)
+        inside = Window.partitionBy(*_TILE, "_part").orderBy("pkt_seq").rowsBetween(Window.unboundedPreceding, -1)
+        seen = F.greatest(F.max("ts").over(inside), F.when(F.col("_part") == 0, F.col("prior_ts")))
         rows = rows.withColumn("opens", F.coalesce(F.col("wm") - seen >= idle, F.lit(False)))
         per_tile = rows.groupBy(*_TILE).agg(F.count_if("opens").alias("n_open"),
                                             F.count_if("closes").alias("n_close"))
         state = with_carry(per_tile, ["direction_key"], "tile",
                            {"epoch_before": F.sum("n_open"), "rst_before": F.sum("n_close")})
         state = state.withColumn("epoch_before", F.coalesce("epoch_before", none))
-        rows = rows.withColumn("opened", F.count_if("opens").over(through)).drop("prior_ts", "opens")
+        rows = rows.withColumn("opened", F.count_if("opens").over(through)).drop("prior_ts", "opens", "_part")
     state = state.withColumn("rst_before", F.coalesce("rst_before", none))
     columns = [*_TILE, "epoch_before", "rst_before", *(["epoch"] if in_order else [])]
     return state.select(*columns), rows

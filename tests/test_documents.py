@@ -37,10 +37,10 @@ def test_texts_that_are_no_documents(spark):
 
 
 def test_projection_keeps_allowed_leaves_within_bounds(spark):
-    docs = {1: {"a": {"b": [1, {"a": "x", "secret": 2}]}, "c": 1, "secret": {"a": 3}}, 2: {"a": {"a": {"a": {"a": 1}}}}, 3: {"a": "x" * 21}, 4: {"b": [0] * 5}, 5: {}, 6: {"b": None}}
+    docs = {1: {"a": {"b": [1, {"a": "x", "secret": 2}]}, "c": 1, "secret": {"a": 3}}, 2: {"a": {"a": {"a": {"a": {"a": 1}}}}}, 3: {"a": "x" * 21}, 4: {"b": [0] * 5}, 5: {}, 6: {"b": None}}
     frame = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()] + [(7, None)], "id int, document string")
     got = {}
-    for r in D.projected_leaves(frame, "id", ["a", "b"], D.Bounds(depth=3, members=3, items=4, characters=20)).collect():
+    for r in D.projected_leaves(frame, "id", ["a", "b"], D.Bounds(depth=4, members=3, items=4, characters=20)).collect():
         got.setdefault(r.id, set()).add((r.path, r.kind, r.value))
     assert got == {1: {("a.b[0]", "BIGINT", "1"), ("a.b[1].a", "STRING", "x")}, 2: {("", "REFUSED", "depth")}, 3: {("", "REFUSED", "text")}, 4: {("", "REFUSED", "size")},
                    6: {("b", "VOID", None)}}

@@ -47,7 +47,7 @@ def cut_by_state(rows, idle, grace):
     return out
 
 
-@pytest.mark.parametrize("late,grace,in_order", [(0, 1.0, True), (0, 0.0, True), (0, 5.0, False), (0.5, 1.0, False), (3, 1.0, False)])
+@pytest.mark.parametrize("late,grace,in_order", [(0, 1.0, True), (0, 0.0, True), (0, 5.0, False), (0.5, 1.0, False), (3, 1.0, False), (150, 0.0, False), (400, 0.0, False)])
 def test_cut_equals_state_machine(spark, packet_frame, late, grace, in_order):
     rows = noisy_capture(1500, 7, late)
     expected = cut_by_state(rows, 120.0, grace)
