@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -281,10 +281,26 @@ def known_against_unseen(train: DataFrame, validation: DataFrame, test: DataFram
     from quietwire.operators.clock import with_scalars
 
     held = with_scalars(scored(test), chosen)
-    hit = (F.col("score") >= F.col("threshold")).cast("int")
-    counts = held.agg(F.sum(hit * F.col("y")).alias("tp"), F.sum(hit * (1 - F.col("y"))).alias("fp"),
-                      F.sum("y").alias("tp_all"), F.sum(1 - F.col("y")).alias("fp_all"), F.first("threshold").alias("threshold"))
-    anomaly = A.rates(counts).select("threshold", F.col("f1").alias("anomaly_f1"), F.col("recall").alias("anomaly_recall"), F.col("fpr").alias("anomaly_fpr"))
+
+    def judged(threshold: Column, prefix: str) -> DataFrame:
+        hit = (F.col("score") >= threshold).cast("int")
+        counts = held.agg(F.sum(hit * F.col("y")).alias("tp"), F.sum(hit * (1 - F.col("y"))).alias("fp"),
+                          F.sum("y").alias("tp_all"), F.sum(1 - F.col("y")).alias("fp_all"), F.first("threshold").alias("threshold"))
+        return A.rates(counts).select(F.col("threshold").alias("_t"), F.col("f1").alias(f"{prefix}_f1"), F.col("recall").alias(f"{prefix}_recall"), F.col("fpr").alias(f"{prefix}_fpr"))
+
+    anomaly = with_scalars(judged(F.col("threshold"), "anomaly").withColumnRenamed("_t", "threshold"), judged(F.lit(0.5), "default").drop("_t"))
     known = train_and_judge(vectors(train, [column]), vectors(test, [column]), make()).select(
         F.col("accuracy").alias("classifier_accuracy"), F.col("f1_macro").alias("classifier_f1_macro"))
     return with_scalars(known, anomaly)
+
+
+def leave_one_scenario_out(rows: DataFrame, column: str, identity: str, make: Callable[[], object], benign: str, trees: int = 100,
+                           scenario: str = "scenario") -> DataFrame:
+    """Both detectors on every scenario in turn; the next one chooses the threshold, the others are learnt from."""
+    names = scenarios_of(rows, scenario=scenario)
+    reports = []
+    for place, held in enumerate(names):
+        chooses = names[(place + 1) % len(names)]
+        rest = rows.filter(~F.col(scenario).isin(held, chooses))
+        reports.append((held, known_against_unseen(rest, rows.filter(F.col(scenario) == chooses), rows.filter(F.col(scenario) == held), column, identity, make, benign, trees)))
+    return _tagged(reports, "held_out")
