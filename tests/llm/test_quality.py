@@ -64,3 +64,45 @@ def test_edge_cases(docs_frame, spark):
     assert {r.score for r in Q.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert Q.quality_scores(docs.limit(0), labels).count() == 0
     assert Q.accepted(docs, labels).columns == docs.columns
+
+
+def test_vectors_and_scores_against_plain_loops(spark, docs_frame):
+    """Word vectors, pooled features and scores of a tiny corpus, word by word."""
+    import re
+
+    rng = np.random.default_rng(11)
+    vocabulary = ["alpha", "beta", "Gamma", "déjà", "12", "!!", "omega", "x"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 30))) for _ in range(60)] + ["", None, "alpha", "!!?beta  12"]
+    docs = docs_frame(*enumerate(texts)).repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, quality int")
+
+    def bucket(word):
+        raw, bounds = W.buffers(pa.array([word]))
+        found, _ = Q.bucketed(raw, bounds)
+        assert len(found) == 1
+        return int(found[0])
+
+    split = [[bucket(w) for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[!-/:-@\[-`{-~]+", t or "")] for t in texts]
+    places, signs = Q.index_vectors()
+    table = np.zeros((Q.BUCKETS, Q.DIMENSIONS))
+    for words in split:
+        for one, other in [*zip(words, words[1:]), *zip(words[1:], words)]:
+            for place, sign in zip(places[other], signs[other]):
+                table[one, place] += sign
+    used = np.abs(table).sum(axis=1) > 0
+    table[used] /= np.linalg.norm(table[used], axis=1, keepdims=True)
+    table[used] -= table[used].mean(axis=0)
+    table[used] /= np.linalg.norm(table[used], axis=1, keepdims=True)
+    assert np.allclose(Q.word_vectors(docs), table, atol=1e-5)
+    features = np.zeros((len(texts), 2 * Q.DIMENSIONS + 2))
+    for row, words in zip(features, split):
+        if words:
+            own = table[words]
+            beside = [a @ b for a, b in zip(own, own[1:])]
+            row[:] = [*own.mean(axis=0), *own.std(axis=0), sum(beside) / max(len(beside), 1), np.log1p(len(words))]
+    known = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    network = Q.fit(features[known].astype(np.float32).astype(np.float64), np.array([float(i % 2) for i in known]))
+    expected = network.probability(features)
+    got = {r.doc_id: r for r in Q.quality_scores(docs, labels).collect()}
+    assert max(abs(got[i].score - expected[i]) for i in range(len(texts))) < 0.02
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == int(got[i].score >= 0.5) for i in got)
