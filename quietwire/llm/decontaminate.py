@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietwire.llm.tables import documents_of, written
+from quietwire.llm.tables import documents_of, quoted, written
 
 WINDOW = 13
 ITEM_BYTES = 16 << 20
@@ -207,7 +207,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    inner = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return scan(inner, benchmark, ("_row",)).where(~contaminated()).select("_row.*")
 
 

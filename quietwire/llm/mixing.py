@@ -2,16 +2,19 @@
 
 1. *Posteriors.* A softmax classifier over pooled index vectors of words, fitted to a labelled table (doc_id, domain), gives each
    document the probabilities of the domains; short texts stay close to the shares of the labelled table.
-2. *Rates.* A document of t tokens and posteriors p adds rate * t * p[k] tokens to domain k in expectation. Nonnegative rates are those with the least
-   squared distance between these totals and the targets and, among these, the nearest to one common starting rate (weighted by tokens). They have the
-   form max(0, start + p . move) with one number of ``move`` for each domain, so a step is one aggregation to as many sums as there are pairs of domains, and
-   nothing is stored between steps. Steps are Newton steps on ``move`` with the matrix of the documents whose rate is above zero, halved until the
-   objective falls. It is convex, so they converge however soft the posteriors are; ``NEAREST`` weighs the distance from the start and makes the result unique.
+2. *Rates.* A document of t tokens and posteriors p adds rate * t * p[k] tokens to domain k in expectation. The squared distance of these totals from the
+   targets is lowered by scaled projected-gradient steps on the rates of all documents: rate = max(0, rate + p . move), from one common starting rate.
+   The gradient of a document is p . residual, which depends on the totals only, so a step is one aggregation to a row of sums (one for each pair of
+   domains) and no rate is stored: the rates are an expression of the posteriors and the moves so far, and moves that hold no rate at zero add up to one.
+   A move is the residual scaled by the inverse curvature of the rates above zero, halved until the distance falls; if it does not, the plain gradient
+   is taken at the length of the largest curvature, at which every step lowers the distance. So the rates settle however soft the posteriors are.
    Targets beyond any mix of the posteriors are approached as far as possible, and the distance that remains is logged.
 3. *Copies.* The whole part of the rate, and one more if a hash of the document falls below the rest. Expected totals are those of the rates.
 
-Tokens are words (runs of letters, digits and non-ASCII characters). The budget is the largest that asks no domain for less than it has, so that the
-starting rate is one or more, unless a budget in tokens is given. Targets of domains that hold no tokens cannot be met and are shared out over the others.
+Tokens are words (runs of letters, digits and non-ASCII characters). Unless a budget in tokens is given, the mix only repeats: the budget is the smallest that
+asks no domain for less than it has, and all rates grow by one factor until the smallest is one, which keeps the shares and takes every document
+at least once. Where the targets hold some rates at zero (or below ``FAINT``) documents must go, and the rates are left as they are.
+Targets of domains that hold no tokens cannot be met and are shared out over the others.
 
 Cases: null and empty texts have no tokens, rate and copies of the starting rate; labels that are null, not among the targets, or of unknown documents
 are ignored; a document with several labelled domains counts for each; without usable labels the posteriors are the target weights; repeated rows
@@ -28,16 +31,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietwire.llm.tables import documents_of, written
+from quietwire.llm.tables import documents_of, quoted, written
 from quietwire.llm.word_hashes import buffers, groups, mix, words
 
 DIMENSIONS = 64
 SAMPLE = 20_000
 PRIOR_WORDS = 4.0
-STEPS = 200
-CLOSE = 1e-6
-#: Weight of the distance from the starting rate against the squared distance from the targets, both for one unit of all tokens.
-NEAREST = 1e-8
+STEPS = 40
+CLOSE = 1e-8
+#: Added to the curvature, as a share of all tokens, so that it can be inverted.
+RIDGE = 1e-10
+#: Scaled steps shorter than this give way to the plain gradient.
+SHORTEST = 0.05
+#: A smaller least rate counts as none: the budget is not multiplied by more than its inverse.
+FAINT = 1e-3
 SEED = 5
 _log = logging.getLogger(__name__)
 
@@ -103,12 +110,16 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], weights
     return pooled.mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
 
 
+def _gain(move: np.ndarray) -> Column:
+    """What a move adds to the rate of a document before it is projected."""
+    return sum((F.col("posterior")[k] * float(m) for k, m in enumerate(move)), F.lit(0.0))
+
+
 def rate_expression(start: float, moves: list[np.ndarray]) -> Column:
     """The rate after all ``moves``: each adds its posterior-weighted sum and projects to zero or more."""
     rate = F.lit(float(start))
     for move in moves:
-        gradient = sum((F.col("posterior")[k] * float(m) for k, m in enumerate(move)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate + gradient)
+        rate = F.greatest(F.lit(0.0), rate + _gain(move))
     return rate
 
 
@@ -122,46 +133,58 @@ def fit(table: DataFrame, weights: list[float], budget: float | None = None, ste
     mass = [F.col("tokens") * F.col("posterior")[k] for k in range(count)]
     upper = [(k, m) for k in range(count) for m in range(k, count)]
 
-    def sums(start: float, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Half the tokens times squared rates, expected tokens of each domain, and what a unit of each move adds to them where the rate is above zero."""
+    def sums(start: float, moves: list[np.ndarray], gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
+        """After the last of ``moves``: expected tokens of each domain, curvature of the rates above zero, and how many rates that move holds at zero; tokens
+        times squared changes that the plain ``gradient`` would have made instead of it."""
+        rates = table.withColumn("_before", rate_expression(start, moves[:-1])).withColumn("_free", F.col("_before") + _gain(moves[-1]))
+        rates = rates.withColumn("_rate", F.greatest(F.lit(0.0), "_free")).withColumn("_plain", F.greatest(-F.col("_before"), _gain(gradient)))
         free = F.when(F.col("_rate") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        row = table.withColumn("_rate", rate_expression(start, [move])).agg(
-            F.sum(F.col("tokens") * F.col("_rate") * F.col("_rate") / 2).alias("half"), *[F.sum(F.col("_rate") * m).alias(f"s{k}") for k, m in enumerate(mass)],
-            *[F.sum(free * mass[k] * F.col("posterior")[m]).alias(f"h{k}_{m}") for k, m in upper]).first()
-        slope = np.zeros((count, count))
+        got = rates.agg(F.count_if(F.col("_free") < 0).alias("held"), F.sum(F.col("tokens") * F.col("_plain") * F.col("_plain")).alias("plain"),
+                        *[F.sum(F.col("_rate") * m).alias(f"s{k}") for k, m in enumerate(mass)],
+                        *[F.sum(free * mass[k] * F.col("posterior")[m]).alias(f"h{k}_{m}") for k, m in upper]).first()
+        curve = np.zeros((count, count))
         for k, m in upper:
-            slope[k, m] = slope[m, k] = row[f"h{k}_{m}"] or 0.0
-        return row["half"] or 0.0, np.array([row[f"s{k}"] or 0.0 for k in range(count)]), slope
+            curve[k, m] = curve[m, k] = got[f"h{k}_{m}"] or 0.0
+        return np.array([got[f"s{k}"] or 0.0 for k in range(count)]), curve, got["held"], got["plain"] or 0.0
 
-    move = np.zeros(count)
-    _, have, _ = sums(1.0, move)
-    if have.sum() == 0:
+    still = np.zeros(count)
+    have, curve, _, _ = sums(1.0, [still], still)
+    tokens = float(have.sum())
+    if tokens == 0:
         return 1.0, [], 0.0
     share = np.where(have > 0, share, 0)
-    share = share / share.sum() if share.sum() else have / have.sum()
+    share = share / share.sum() if share.sum() else have / tokens
     if budget is None:
         asked = share > 0
         budget = float((have[asked] / share[asked]).max())
-    target, start, pull = budget * share, budget / float(have.sum()), NEAREST * float(have.sum())
-    objective = lambda half, at: half - target @ at + pull / 2 * (at @ at)
-    half, reached, slope = sums(start, move)
+    target, start, scale = budget * share, budget / tokens, budget * tokens ** 0.5
+    sure = 1 / float(np.linalg.eigvalsh(curve)[-1])
+    #: moves that held some rate at zero, and the sum of those since
+    settled, open_move, reached = [], still, start * have
     for _ in range(steps):
-        uphill = target - reached - pull * move
-        if np.abs(uphill).max() <= CLOSE * budget:
+        residual = target - reached
+        if np.abs(residual).max() <= CLOSE * budget:
             break
-        now, step = objective(half, move), np.linalg.solve(slope + pull * np.eye(count), uphill)
-        for _ in range(20):
-            half, reached, slope = sums(start, move + step)
-            if objective(half, move + step) <= now - 1e-4 * (uphill @ step) + 1e-12 * abs(now):
+        distance, scaled, length = float(residual @ residual), np.linalg.solve(curve + RIDGE * tokens * np.eye(count), residual), 1.0
+        base = settled + ([open_move] if open_move.any() else [])
+        while True:
+            move = length * scaled if length >= SHORTEST else sure * residual
+            then, rising, held, plain = sums(start, [*base, move], sure * residual)
+            if plain ** 0.5 <= CLOSE * scale * sure or length < SHORTEST:
+                break
+            if float((target - then) @ (target - then)) <= distance - 2e-4 * float(residual @ (then - reached)):
                 break
-            step = step / 2
-        move = move + step
+            length = length / 2
+        if plain ** 0.5 <= CLOSE * scale * sure:  # the projected gradient was close to nothing before this move, which is not made
+            break
+        settled, open_move = (settled + [open_move + move], still) if held else (settled, open_move + move)
+        reached, curve = then, rising
     else:
         _log.warning("rates not settled after %d steps", steps)
     residual = float(np.abs(target - reached).max() / budget)
     if residual > 10 * CLOSE:
         _log.warning("expected tokens miss a target by %.3g of the budget: no mix of the posteriors is nearer", residual)
-    return start, [move], residual
+    return start, settled + ([open_move] if open_move.any() else []), residual
 
 
 def fitted_rates(table: DataFrame, weights: list[float], budget: float | None = None, steps: int = STEPS) -> tuple[float, list[np.ndarray]]:
@@ -174,8 +197,13 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], bu
     domains, weights = list(targets), list(targets.values())
     table = written(posteriors(docs, labelled, domains, weights), "posteriors")
     start, moves = fitted_rates(table, weights, budget)
+    rate, factor = rate_expression(start, moves), 1.0
+    if budget is None:
+        least = table.agg(F.min(rate)).first()[0]
+        if least is not None and FAINT < least < 1:
+            factor = (1 + 1e-12) / least
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
-    return table.withColumn("rate", rate_expression(start, moves)).withColumn(
+    return table.withColumn("rate", rate * factor).withColumn(
         "copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 
 
@@ -185,4 +213,4 @@ def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str,
         F.max("tokens").alias("_tokens"), F.avg("rate").alias("_rate"), F.max("copies").alias("_copies")).where("_copies > 0")
     kept = docs.join(decided, docs["doc_id"].cast("long").eqNullSafe(decided["_id"]))
     named = ("tokens", "rate", "copies")
-    return kept.select(*[docs[c] for c in docs.columns if c not in named], *[decided[f"_{n}"].alias(n) for n in named])
+    return kept.select(*[docs[quoted(c)] for c in docs.columns if c not in named], *[decided[f"_{n}"].alias(n) for n in named])

@@ -43,6 +43,11 @@ def with_group(rows: DataFrame, key: str, member: str, **values: tuple[Column, C
     return dealt.join(whole.select(key, *values, F.explode("_salts").alias("_salt")), [key, "_salt"]).drop("_salt")
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, as Spark takes it."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def documents_of(docs: DataFrame, *extra: Column) -> DataFrame:
     """``doc_id`` and ``text`` (null text is empty), whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)

@@ -44,6 +44,7 @@ def test_report_equals_brute_force(docs_frame, spark):
 
 def test_clean_documents_keep_their_columns(docs_frame, spark):
     docs, texts, items, benchmark = _case(docs_frame, spark)
+    docs = docs.withColumn("a.b", docs["doc_id"])
     kept = D.clean_documents(docs, benchmark)
     counts = [D.brute_force(t, items)[:2] for t in texts]
     clean = {i for i, (n, hit) in enumerate(counts[:-1]) if not (hit and 20 * hit >= n)}

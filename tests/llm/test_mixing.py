@@ -39,7 +39,8 @@ def test_expected_totals_meet_targets(docs_frame, spark):
             break
         slope = (((rate > 0) * t)[:, None] * p * p).sum(axis=0)
         rate = np.maximum(0, rate + p @ (residual / slope))
-    assert np.allclose(rate, out["rate"], rtol=1e-6)
+    rate /= min(rate.min(), 1)  # without a budget all rates grow until the least is one
+    assert np.allclose(rate, out["rate"], rtol=1e-6) and out["rate"].min() >= 1 and (out["copies"] >= 1).all()
 
 
 def test_projection_keeps_rates_nonnegative(spark):
@@ -101,3 +102,38 @@ def test_uninformative_posteriors_keep_the_common_rate(spark):
     start, moves, residual = M.fit(table, [0.55, 0.15, 0.15, 0.15])
     rates = [r.rate for r in table.select(M.rate_expression(start, moves).alias("rate")).collect()]
     assert np.allclose(rates, start, rtol=1e-4) and start >= 1 and residual > 0.1
+
+
+def _plain_projected_gradient(t, p, target, start, steps=200_000):
+    """Stored rates, the same safe length in every step."""
+    rate, length = np.full(len(t), start), 1 / np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1]
+    for _ in range(steps):
+        new = np.maximum(0, rate + length * (p @ (target - (rate * t) @ p)))
+        if np.abs(new - rate).max() < 1e-13:
+            break
+        rate = new
+    return rate
+
+
+def test_rates_equal_plain_projected_gradient(spark):
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet([0.6, 0.6, 0.6], 300)
+    t = rng.integers(1, 200, 300)
+    table = spark.createDataFrame([(int(a), q) for a, q in zip(t, p.tolist())], "tokens long, posterior array<double>")
+    for share in ([0.36, 0.33, 0.31], [0.6, 0.25, 0.15], [0.9, 0.06, 0.04]):  # none, some and most rates held at zero
+        start, moves, residual = M.fit(table, share, budget=float(t.sum()))
+        rate = np.array([r.rate for r in table.select(M.rate_expression(start, moves).alias("rate")).collect()])
+        target = t.sum() * np.array(share)
+        want = _plain_projected_gradient(t.astype(float), p, target, start)
+        miss, least = np.linalg.norm((rate * t) @ p - target), np.linalg.norm((want * t) @ p - target)
+        assert rate.min() >= 0 and abs(miss - least) < 1e-5 * t.sum() and len(moves) <= M.STEPS, share
+        if share[0] == 0.36:
+            assert len(moves) == 1 and np.allclose(rate, want, rtol=1e-6)  # moves that hold nothing add up
+
+
+def test_column_names_with_dots_and_ties(docs_frame, spark):
+    rows, labels = _docs(docs_frame, 60)
+    docs = docs_frame(*rows, *rows[:5]).withColumns({"a.b": M.F.lit(1), "c`d": M.F.lit(2)})
+    kept = M.mixed_documents(docs, spark.createDataFrame(labels, "doc_id long, domain string"), TARGETS)
+    assert {"a.b", "c`d"} <= set(kept.columns) and kept.count() == docs.count()
+    assert kept.groupBy("doc_id").agg(M.F.count_distinct("rate", "copies").alias("n")).where("n > 1").count() == 0
