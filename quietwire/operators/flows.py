@@ -129,31 +129,35 @@ def _fin_deadlines(rows: DataFrame, state: DataFrame, params: FlowParams) -> Dat
                     tick(at, params.idle_sec).alias("tile")))
 
 
-_NO_MARKS = "cast(array() as array<struct<epoch:bigint,rst_no:bigint,at:double,after_seq:bigint>>)"
-
-
 def _with_fin_carry(state: DataFrame, deadlines: DataFrame) -> DataFrame:
-    """Adds per tile the deadlines inside it and the number passed before it.
+    """Adds per tile the number of deadlines passed before it.
 
     Only the flow that was open when a tile began can be ended by a deadline of
     an earlier tile, so one counter per tile is enough.
     """
-    inside = deadlines.groupBy(*_COARSE, "tile").agg(
-        F.count("*").alias("n"),
-        F.collect_list(F.struct("epoch", "rst_no", "at", "after_seq")).alias("marks"))
+    inside = deadlines.groupBy(*_COARSE, "tile").agg(F.count("*").alias("n"))
     begun = state.withColumnsRenamed({"epoch": "tile_epoch"}).withColumns(
         {"epoch": F.col("epoch_before"), "rst_no": F.col("rst_before")})
     timeline = begun.unionByName(inside, allowMissingColumns=True)
     earlier = Window.partitionBy(*_COARSE).orderBy("tile").rangeBetween(
         Window.unboundedPreceding, -1)
     timeline = timeline.withColumn("fin_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    is_state = F.col("epoch_before").isNotNull()
-    carried = ["epoch_before", "rst_before", *(["tile_epoch"] if "epoch" in state.columns else [])]
-    merged = timeline.groupBy(*_TILE).agg(
-        *[F.max(c).alias(c) for c in carried],
-        F.max(F.when(is_state, F.col("fin_before"))).alias("fin_before"),
-        F.flatten(F.collect_list("marks")).alias("marks"))
-    return merged.withColumnsRenamed({"tile_epoch": "epoch"}).filter("epoch_before is not null")
+    return (timeline.filter("epoch_before is not null").drop("epoch", "rst_no", "n")
+            .withColumnsRenamed({"tile_epoch": "epoch"}))
+
+
+def _with_passed(rows: DataFrame, deadlines: DataFrame) -> DataFrame:
+    """Adds ``passed``, the deadlines of the row's own (epoch, rst_no) that lie before it in its tile.
+
+    Deadlines are laid among the packets and counted along the arrival clock, so a
+    packet carries one number however many flows end in its tile.
+    """
+    points = deadlines.select(*_COARSE, "tile", F.col("at").alias("_at"), F.col("after_seq").alias("_seq"), F.lit(1).alias("_point"))
+    placed = rows.withColumns({"_at": F.col("wm"), "_seq": F.col("pkt_seq"), "_point": F.lit(0)})
+    along = (Window.partitionBy(*_COARSE, "tile").orderBy("_at", "_seq", "_point")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = placed.unionByName(points, allowMissingColumns=True).withColumn("passed", F.sum("_point").over(along))
+    return both.filter("_point = 0").drop("_at", "_seq", "_point")
 
 
 def flow_packets(packets: DataFrame, params: FlowParams = FlowParams(), in_order: bool = False) -> DataFrame:
@@ -165,17 +169,15 @@ def flow_packets(packets: DataFrame, params: FlowParams = FlowParams(), in_order
     rows = keyed_packets(packets, params, in_order)
     state, rows = _silences(rows, params, in_order)
     if params.fin_grace_sec > 0:
-        state = _with_fin_carry(state, _fin_deadlines(rows, state, params))
+        deadlines = _fin_deadlines(rows, state, params)
+        state = _with_fin_carry(state, deadlines)
     out = _numbered(rows, state)
     if params.fin_grace_sec > 0:
-        passed = F.size(F.filter(
-            F.col("marks"),
-            lambda m: (m.epoch == F.col("epoch")) & (m.rst_no == F.col("rst_no"))
-            & ((m.at < F.col("wm")) | ((m.at == F.col("wm")) & (m.after_seq < F.col("pkt_seq"))))))
+        out = _with_passed(out, deadlines)
         continues = ((F.col("epoch") == F.col("epoch_before"))
                      & (F.col("rst_no") == F.col("rst_before")))
         carry = F.when(continues, F.col("fin_before")).otherwise(F.lit(0))
-        out = out.withColumn("fin_no", (carry + passed).cast("long")).drop("marks", "fin_before")
+        out = out.withColumn("fin_no", (carry + F.col("passed")).cast("long")).drop("passed", "fin_before")
     else:
         out = out.withColumn("fin_no", F.lit(0).cast("long"))
     return out.drop("epoch_before", "rst_before")

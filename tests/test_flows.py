@@ -165,3 +165,17 @@ def test_gap_medians_equal_plain_medians(spark, packet_frame, late, in_order):
         gaps.setdefault(key(r), []).append(r.iat)
     got = {key(r): r.iat_median for r in flow_features(frame, params, in_order).select(*SEGMENT, "iat_median").collect()}
     assert len(got) > 50 and got == pytest.approx({k: float(np.median(gaps[k])) if k in gaps else 0.0 for k in got})
+
+
+def test_many_flows_of_one_tile_put_no_list_on_a_packet(spark, packet_frame):
+    """Hundreds of flows end in one tile: packets carry a count of deadlines, and the segments are those of the state machine."""
+    rnd, rows = random.Random(3), []
+    for i in range(900):
+        rows.append((1000.0 + i * 0.1, A, B, 4000, 80, 6, 60, 20, rnd.choice([16, 17, 17, 4, 24])))
+    cut = flow_packets(packet_frame(*rows), FlowParams(120.0, 1.0), True)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "_point" in plan and "marks" not in plan
+    got = {r[0]: tuple(r[1:]) for r in cut.select("pkt_seq", *SEGMENT).collect()}
+    expected = cut_by_state(rows, 120.0, 1.0)
+    assert len(set(got.values())) == len(set(expected))
+    assert len({(got[i], expected[i]) for i in range(900)}) == len(set(expected)) > 150
