@@ -53,3 +53,12 @@ def test_noise_is_repeatable_and_keeps_missing(spark):
     assert one == two and one[1][1] is None
     assert all(r[c] >= 0 for r in one for c in D.SIZE_FEATURES)
     assert D.random_drop(rows, "flow_id", 1.0, columns=D.IAT_FEATURES).filter(F.col(D.IAT_FEATURES[1]) == 0).count() == 2
+
+
+def test_stability_holds_one_model_at_a_time(spark):
+    """Every report is a stored row before the next model is fitted: the result no longer needs any of the models."""
+    rows = M.vectors(cloud(spark, 120), ["x"])
+    out = M.seed_stability(rows, rows, lambda s: M.random_forest(3, 2, s), (1, 2))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "parquet" in plan
+    assert out.count() == 1
