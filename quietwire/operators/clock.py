@@ -69,7 +69,7 @@ def prefix_sums(rows: DataFrame, bucket: str, order: Sequence, sums: Mapping[str
     carry = carry.select(*group, bucket, *[f"_c_{n}" for n in sums])
     local = (Window.partitionBy(*group, bucket).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = keyed.join(carry, [*group, bucket]).withColumns(
+    out = keyed.join(carry.hint("merge"), [*group, bucket]).withColumns(
         {n: F.sum(c).over(local) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n, c in sums.items()})
     return out.drop("_all", *[f"_c_{n}" for n in sums])
 
@@ -115,7 +115,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     earlier = with_carry(last, keys, "_tile", {"_carry": carried}).select(*keys, "_tile", "_carry")
     through = (Window.partitionBy(*keys, "_tile").orderBy("_at", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = F.last(F.when(F.col("_kind") == 0, F.struct("_value")), ignorenulls=True).over(through)
-    found = both.withColumn("_near", near).filter("_kind = 1").join(earlier, [*keys, "_tile"], "left")
+    found = both.withColumn("_near", near).filter("_kind = 1").join(earlier.hint("merge"), [*keys, "_tile"], "left")
     return found.select("_left.*", F.coalesce("_near", "_carry")["_value"].alias(name))
 
 
@@ -159,7 +159,7 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
     for r in ranks.values():
         held = held | ((r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")))
     wanted = summary.filter(held).select(*group, "_b", "_before", "_total")
-    near = keyed.join(F.broadcast(wanted), [*group, "_b"]) if not keys else keyed.join(wanted, [*group, "_b"])
+    near = keyed.join(F.broadcast(wanted), [*group, "_b"]) if not keys else keyed.join(wanted.hint("merge"), [*group, "_b"])
     counted = near.groupBy(*group, "_b", "_before", "_total", "_v").agg(F.count("*").alias("_n"))
     inside = (Window.partitionBy(*group, "_b").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -65,7 +65,7 @@ def with_flow(events: DataFrame, flow: DataFrame) -> DataFrame:
     """Events with the endpoints of their flow; events without one are kept."""
     ends = flow.select("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")
     bare = events.drop("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
-    return bare.join(ends, "flow_id", "left")
+    return bare.join(ends.hint("merge"), "flow_id", "left")
 
 
 def narrowed(events: DataFrame, since: float | None = None, threat_type: str | None = None,
@@ -188,7 +188,7 @@ def neighbourhoods(events: DataFrame, horizon: float = HORIZON_SEC, limit: int =
     blocks = placed.groupBy("flow_id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("position", "event_id", "timestamp"))).alias("held"))
     wanted = placed.withColumn("block", F.explode(F.sequence(F.floor((F.col("low") + 1) / limit), F.floor(F.least(F.col("low") + limit, F.col("high")) / limit))))
     inside = F.filter("held", lambda h: (h["position"] > F.col("low")) & (h["position"] <= F.least(F.col("low") + limit, F.col("high"))))
-    near = wanted.join(blocks, ["flow_id", "block"]).groupBy("flow_id", "event_id", "timestamp", "position", "low", "high").agg(
+    near = wanted.join(blocks.hint("merge"), ["flow_id", "block"]).groupBy("flow_id", "event_id", "timestamp", "position", "low", "high").agg(
         F.array_sort(F.flatten(F.collect_list(inside))).alias("near"))
     others = F.filter("near", lambda h: h["position"] != F.col("position"))
     own = F.array(F.struct("position", "event_id", "timestamp"))

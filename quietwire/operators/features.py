@@ -61,7 +61,7 @@ def flow_features(packets: DataFrame, params: FlowParams = FlowParams(),
     inner = rows.withColumn("iat", F.col("ts") - F.lag("ts").over(local))
     fed = cut_lineage(inner.unionByName(border_gaps(rows, group), allowMissingColumns=True))
     medians = exact_quantiles(fed, SEGMENT, "iat", {"iat_median": 0.5})
-    grouped = fed.groupBy(*SEGMENT).agg(*counter_columns(), *_size_columns(), *_gap_columns()).join(medians, SEGMENT, "left")
+    grouped = fed.groupBy(*SEGMENT).agg(*counter_columns(), *_size_columns(), *_gap_columns()).join(medians.hint("merge"), SEGMENT, "left")
     zero = F.lit(0.0)
     sizes = [F.col("size_q")[i].alias(f"pkt_size_{n}") for i, n in enumerate(SIZE_QUANTILES)]
     stats = ("mean", "std", "min", "max")

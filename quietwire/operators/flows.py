@@ -67,7 +67,7 @@ def _silences(rows: DataFrame, params: FlowParams, in_order: bool) -> tuple[Data
         parts = parts.withColumn("run", F.count_if(F.col("n_close") > 0).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         held = F.max("tail_ts").over(Window.partitionBy("direction_key", "run").orderBy("tile").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         carry = parts.withColumn("held", held).withColumn("prior_ts", F.lag("held").over(along)).select(*_TILE, "prior_ts")
-        rows = rows.join(carry, _TILE)
+        rows = rows.join(carry.hint("merge"), _TILE)
         inside = Window.partitionBy(*_TILE, "_part").orderBy("pkt_seq").rowsBetween(Window.unboundedPreceding, -1)
         seen = F.greatest(F.max("ts").over(inside), F.when(F.col("_part") == 0, F.col("prior_ts")))
         rows = rows.withColumn("opens", F.coalesce(F.col("wm") - seen >= idle, F.lit(False)))
@@ -86,7 +86,7 @@ def _numbered(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Rows with the ``epoch`` and ``rst_no`` they belong to."""
     local = (Window.partitionBy(*_TILE).orderBy("pkt_seq")
              .rowsBetween(Window.unboundedPreceding, -1))
-    out = rows.join(state, _TILE).withColumn(
+    out = rows.join(state.hint("merge"), _TILE).withColumn(
         "rst_no", F.col("rst_before") + F.count_if("closes").over(local))
     if "opened" in rows.columns:
         out = out.withColumn("epoch", F.col("epoch_before") + F.col("opened")).drop("opened")
@@ -111,10 +111,10 @@ def _fin_deadlines(rows: DataFrame, state: DataFrame, params: FlowParams) -> Dat
     local = Window.partitionBy(*place).orderBy("pkt_seq")
     latest = with_carry(fins.groupBy(*place).agg(F.max("due").alias("top")), _COARSE, "tile", {"due_before": F.max("top")}).drop("top")
     open_until = F.greatest(F.max("due").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.col("due_before"))
-    fins = fins.join(latest, place).withColumn("starts", F.coalesce(F.col("wm") >= open_until, F.lit(True)).cast("long")).drop("due_before")
+    fins = fins.join(latest.hint("merge"), place).withColumn("starts", F.coalesce(F.col("wm") >= open_until, F.lit(True)).cast("long")).drop("due_before")
     numbers = with_carry(fins.groupBy(*place).agg(F.sum("starts").alias("n")), _COARSE, "tile", {"n_before": F.sum("n")}).drop("n")
     through = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fins = fins.join(numbers, place).withColumn("island", F.coalesce("n_before", F.lit(0)) + F.sum("starts").over(through))
+    fins = fins.join(numbers.hint("merge"), place).withColumn("island", F.coalesce("n_before", F.lit(0)) + F.sum("starts").over(through))
     kept = fins.groupBy(*_COARSE, "island").agg(F.aggregate(
         F.array_sort(F.collect_list(F.struct("pkt_seq", "wm", "due"))),
         F.expr("cast(array() as array<struct<pkt_seq:bigint,wm:double,due:double>>)"),

@@ -26,7 +26,7 @@ def linked(records: DataFrame, horizon: float = HORIZON_SEC, limit: int = MAX_EV
     side = records.withColumn("identity", source_identity()).select("event_id", *keys)
     left = side.select(F.col("event_id").alias("anchor_id"), *[F.col(k).alias(f"a_{k}") for k in keys])
     right = side.select(F.col("event_id").alias("other_id"), *[F.col(k).alias(f"o_{k}") for k in keys])
-    both = near.join(left, "anchor_id").join(right, "other_id")
+    both = near.join(left.hint("merge"), "anchor_id").join(right.hint("merge"), "other_id")
     same = F.lit(True)
     for k in keys:
         same = same & F.coalesce(F.col(f"a_{k}") == F.col(f"o_{k}"), F.lit(False))
@@ -70,7 +70,7 @@ def linked_evidence(records: DataFrame, references: DataFrame, horizon: float =
     count = {f"n{i}": F.count_if(F.col("signal_type") == kind) for i, kind in enumerate(EVIDENCE_KINDS)}
     cited = references.groupBy("event_id").agg(*[c.alias(n) for n, c in count.items()])
     keys = [*LINK_KEYS, "identity"]
-    rows = records.withColumn("identity", source_identity()).select("event_id", "timestamp", *keys).join(cited, "event_id", "left").fillna(0, list(count))
+    rows = records.withColumn("identity", source_identity()).select("event_id", "timestamp", *keys).join(cited.hint("merge"), "event_id", "left").fillna(0, list(count))
     linkable = F.coalesce(F.col("identity") != "", F.lit(False))
     for key in keys:
         linkable = linkable & F.col(key).isNotNull()
@@ -89,7 +89,7 @@ def correlations(links: DataFrame, evidence: DataFrame) -> DataFrame:
     names = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(kind)) for i, kind in enumerate(EVIDENCE_KINDS)]))
     total = sum((F.col(f"n{i}") for i in range(len(EVIDENCE_KINDS))), F.lit(0).cast("long"))
     counted = evidence.select("anchor_id", "linked", F.size(names).cast("long").alias("source_count"), total.alias("evidence_count"), F.array_join(names, ";").alias("source_kinds"))
-    return members.join(counted, "anchor_id").withColumn(
+    return members.join(counted.hint("merge"), "anchor_id").withColumn(
         "label", F.when(F.col("source_count") > 1, "CORRELATED OBSERVATION").otherwise("RECORDED OBSERVATION"))
 
 

@@ -35,7 +35,7 @@ def scenario_split(rows: DataFrame, scenario: str = "scenario", train: float = 0
 
 def assign(rows: DataFrame, manifest: DataFrame, scenario: str = "scenario") -> DataFrame:
     """Rows with the split their scenario is assigned to.  A manifest names scenarios, not rows."""
-    return rows.join(manifest, scenario)
+    return rows.join(F.broadcast(manifest), scenario)
 
 
 def manifest_problems(rows: DataFrame, manifest: DataFrame, expected: DataFrame | None = None,

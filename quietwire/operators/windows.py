@@ -230,10 +230,10 @@ def flow_windows(packets: DataFrame, flow: DataFrame, flow_params: FlowParams,
     flow = cut_lineage(_null_safe(closing_ticks(flow, packets, flow_params, params)))
     judged = flow.filter("in_window").withColumn("tick", F.col("eval_tick"))
     return (judged
-            .join(destination_windows(packets, flow, judged, params), ["dst_ip", "tick"])
-            .join(source_windows(flow, judged, params), ["src_ip", "tick"])
-            .join(concentration_windows(flow, judged, params), ["src_ip", "dst_ip", "tick"])
-            .join(pair_windows(flow, judged, params), [*PAIR, "tick"])
+            .join(destination_windows(packets, flow, judged, params).hint("merge"), ["dst_ip", "tick"])
+            .join(source_windows(flow, judged, params).hint("merge"), ["src_ip", "tick"])
+            .join(concentration_windows(flow, judged, params).hint("merge"), ["src_ip", "dst_ip", "tick"])
+            .join(pair_windows(flow, judged, params).hint("merge"), [*PAIR, "tick"])
             .withColumn("concentration", safe_ratio(F.col("to_destination"), F.col("sessions")))
             .withColumns(gap_statistics())
             .withColumn("window_start", (F.col("tick") - params.span + 1) * params.bucket_sec)

@@ -193,7 +193,7 @@ def event_signals(spark, sf):
     """Signals numbered inside their event; an event has at most a dozen."""
     place = Window.partitionBy("event_id").orderBy("signal_type", "observed_value")
     e = B.events(spark, sf).select("event_id", "flow_id")
-    return behaviour(spark, sf).join(e, "flow_id").withColumn("number", F.row_number().over(place) - 1)
+    return behaviour(spark, sf).join(e.hint("merge"), "flow_id").withColumn("number", F.row_number().over(place) - 1)
 
 
 @query("event_neighbourhoods", B.with_views("select anchor_id, other_id, place, truncated from near where place <= 32", "near"))

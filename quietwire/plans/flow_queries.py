@@ -49,7 +49,7 @@ def forward_packets_marked(spark, sf):
     """
     rows = flow_packets(B.packets(spark, sf), B.FLOW_PARAMS, in_order=True)
     first = rows.groupBy(*SEGMENT).agg(F.min_by("lo_to_hi", "pkt_seq").alias("first_lo"))
-    return rows.join(first, SEGMENT).select(
+    return rows.join(first.hint("merge"), SEGMENT).select(
         "pkt_seq", "direction_key", (F.col("lo_to_hi") == F.col("first_lo")).alias("is_forward"))
 
 
@@ -137,7 +137,7 @@ def inter_arrival_gaps(spark, sf):
     gaps = (inter_arrivals(rows, B.FLOW_PARAMS, in_order=True).groupBy(*SEGMENT, "lo_to_hi")
             .agg(F.count("*").alias("n_gaps"), F.round(F.sum("iat"), 4).alias("total_gap"),
                  F.round(F.max("iat"), 6).alias("max_gap")))
-    return gaps.join(first, SEGMENT).select(
+    return gaps.join(first.hint("merge"), SEGMENT).select(
         "direction_key", "first_seq", (F.col("lo_to_hi") == F.col("first_lo")).alias("fwd"),
         "n_gaps", "total_gap", "max_gap")
 

@@ -43,9 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again, without its lineage.
 
     The folder comes from ``spark.checkpoint.dir``; only where the session
-    names none (single-machine tests) a scratch folder is made.
+    names none (single-machine tests) a scratch folder is made.  Joins with the
+    table are merge joins unless a side is marked for broadcast: its packed files
+    say little about its size, and a broadcast passes through the driver.
     """
     spark = df.sparkSession
     path = shared_folder(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")

@@ -11,6 +11,7 @@ from quietwire.operators import evaluate as A
 from quietwire.operators import events as E
 from quietwire.operators import features as FE
 from quietwire.operators import splits as L
+from quietwire.session import cut_lineage
 
 
 def scores(spark, pairs):
@@ -149,3 +150,12 @@ def test_merged_evidence(spark):
     got = spark.createDataFrame(rows, f"p {kind}, q {kind}").select(D.merged_evidence("p", "q").alias("m")).collect()
     assert [i.feature_name for i in got[0].m["items"]] == ["b", "a"] and got[0].m.explanation_available
     assert (got[1].m.explanation_available, got[1].m.unavailable_reason) == (False, "x; y")
+
+
+def test_joins_of_stored_tables_do_not_pass_through_the_driver(spark):
+    """A stored table is packed, so its files look small enough to broadcast at any size."""
+    stored = cut_lineage(spark.range(1000).withColumn("v", F.col("id") % 7))
+    plan = stored.join(stored.groupBy("id").agg(F.max("v").alias("top")), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    small = stored.join(F.broadcast(spark.range(7).withColumnRenamed("id", "v")), "v")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in small
