@@ -5,10 +5,17 @@ Everything is built from binary built-ins, so that tables of any size become fra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def uint(value: Column | int, width: int) -> Column:
     """``width`` bytes, big-endian; higher digits are cut off."""
     value = F.lit(value) if isinstance(value, int) else value
@@ -27,7 +34,7 @@ def joined(parts: Column) -> Column:
 
 def sized(content: Column, width: int) -> Column:
     """``content`` behind its length."""
-    return F.concat(uint(F.length(content), width), content)
+    return bound(content, lambda c: F.concat(uint(F.length(c), width), c))
 
 
 def numbers(values: Column, width: int) -> Column:
@@ -90,9 +97,12 @@ def tls_hello(kind: Column, version: Column, ciphers: Column, extensions: Column
 
 def tls_records(handshake: Column, size: int) -> Column:
     """``handshake`` in records of ``size`` bytes."""
-    count = F.ceil(F.length(handshake) / F.lit(size)).cast("int")
-    part = lambda i: F.substring(handshake, (i * size + 1).cast("int"), F.lit(size))
-    return joined(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(uint(0x16, 1), uint(0x0301, 2), sized(part(i), 2))))
+    def cut(whole: Column) -> Column:
+        count = F.ceil(F.length(whole) / F.lit(size)).cast("int")
+        part = lambda i: F.substring(whole, (i * size + 1).cast("int"), F.lit(size))
+        return joined(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(uint(0x16, 1), uint(0x0301, 2), sized(part(i), 2))))
+
+    return bound(handshake, cut)
 
 
 def varint(value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quietwire.operators import encrypted as T
 from quietwire.schema import EncryptedParams
+from quietwire.sources import encode as E
 from quietwire.sources import messages as M
 from tests.wire import decoded
 
@@ -150,3 +151,15 @@ def test_quic_headers(spark):
     assert T.quic_status(heads, "direction_key", "lo_to_hi").first().quic_status == "COMPLETE"
     assert {r.signal_type for r in T.header_signals(heads, "direction_key").collect()} == {
         "QUIC_LONG_HEADER_OBSERVED", "QUIC_VERSION_CONTEXT", "QUIC_CONNECTION_ID_CONTEXT"}
+
+
+def test_nested_parts_are_written_once(spark):
+    """A length stands before its content; neither it nor a record mentions the content again, however deep the parts lie."""
+    deep = E.tls_records(E.sized(E.tls_extension(16, E.sized(F.col("inner"), 2)), 3), 50)
+    assert deep._jc.toString().count("inner") == 1
+    inner = bytes(range(120))
+    got = spark.createDataFrame([(inner,), (None,)], "inner binary").select(deep.alias("x")).collect()
+    plain = lambda b, w: len(b).to_bytes(w, "big") + b
+    stream = plain((16).to_bytes(2, "big") + plain(plain(inner, 2), 2), 3)
+    assert bytes(got[0].x) == b"".join(b"\x16\x03\x01" + plain(stream[i:i + 50], 2) for i in range(0, len(stream), 50))
+    assert got[1].x is None
