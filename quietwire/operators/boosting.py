@@ -1,11 +1,11 @@
 """Multiclass gradient boosting over histograms (K10): one regression tree per class and round, all classes of a level in one pass.
 
 1. Cut points of every feature are quantiles; rows are binned once and stored in blocks (labels, bins and class scores of one Arrow batch in a row).
-2. A level adds up gradients and Hessians of the softmax loss by (class, node, feature, bin) in a tree of partial sums. Its size is that of the
-   model's level, whatever the number of rows; the best splits follow from it on the driver.
+2. A level adds up gradients and Hessians of the softmax loss by (class, node, feature, bin). The sums of a (class, node) meet in one task, which
+   finds the best split; the driver gets one row for each split, not the sums.
 3. Scores are stored anew every ``REFRESH`` rounds; in between a pass adds the trees of the rounds since.
 
-A pass is one tree aggregation over the stored blocks. Blocks are read through the RDD of the stored table, as a pass is imperative code per block and is planned once.
+A pass is one shuffle of the sums of the stored blocks. Blocks are read through the RDD of the stored table, as a pass is imperative code per block and is planned once.
 """
 
 from __future__ import annotations
@@ -127,27 +127,38 @@ def _level_sums(block, recent: list[Trees], trees: Trees, level: int, depth: int
     return out.reshape(2, n_classes, *shape)
 
 
-def _split(trees: Trees, sums: np.ndarray, level: int, p: Boosting) -> bool:
-    """Writes the best splits of a level and the values of its nodes' children into ``trees``; whether there is a split."""
+def _node_sums(blocks: Iterator, recent: list[Trees], trees: Trees, level: int, depth: int, n_bins: int, n_features: int) -> Iterator[tuple]:
+    """((class, node of the level), sums by (2, feature, bin)) of all blocks of a task, for nodes that rows have come to."""
+    total = None
+    for block in blocks:
+        part = _level_sums(block, recent, trees, level, depth, n_bins, n_features)
+        total = part if total is None else total + part
+    if total is not None:
+        for c, node in np.argwhere(total.any(axis=(0, 3, 4))):
+            yield (int(c), int(node)), total[:, c, node].copy()
+
+
+def _best_split(key: tuple[int, int], sums: np.ndarray, p: Boosting) -> tuple | None:
+    """(class, node, feature, cut, value of the left child, value of the right child) of the best split of a node, if one gains anything."""
     left = np.cumsum(sums, axis=-1)[..., :-1]
     total = sums.sum(axis=-1)[..., :1, None]  # the same for every feature
     right = total - left
     quality = lambda s: s[0] ** 2 / (s[1] + p.penalty)
     gain = np.where((left[1] >= p.least) & (right[1] >= p.least), quality(left) + quality(right) - quality(total), -np.inf)
-    n_classes, nodes = gain.shape[:2]
-    if gain.shape[-1] == 0:
-        return False
-    flat = gain.reshape(n_classes, nodes, -1)
-    best = flat.argmax(axis=-1)
-    top = np.take_along_axis(flat, best[..., None], -1)[..., 0]
-    for c, node in zip(*np.nonzero(top > 1e-10)):
-        feature, cut = divmod(int(best[c, node]), gain.shape[-1])
+    if gain.size == 0 or not gain.max() > 1e-10:
+        return None
+    feature, cut = divmod(int(gain.argmax()), gain.shape[-1])
+    values = [float(-p.rate * g / (h + p.penalty)) for g, h in (side[:, feature, cut] for side in (left, right))]
+    return (*key, feature, cut, *values)
+
+
+def _split(trees: Trees, splits: list[tuple], level: int) -> bool:
+    """Writes the best splits of a level and the values of its nodes' children into ``trees``; whether there is a split."""
+    for c, node, feature, cut, low, high in splits:
         at = 2 ** level - 1 + node
         trees.feature[c, at], trees.cut[c, at] = feature, cut
-        for child, side in ((2 * at + 1, left), (2 * at + 2, right)):
-            g, h = side[:, c, node, feature, cut]
-            trees.value[c, child] = -p.rate * g / (h + p.penalty)
-    return bool((top > 1e-10).any())
+        trees.value[c, 2 * at + 1], trees.value[c, 2 * at + 2] = low, high
+    return bool(splits)
 
 
 @dataclass
@@ -216,13 +227,14 @@ def fit_boosted(rows: DataFrame, label: str, p: Boosting = Boosting()) -> Booste
             state = context.broadcast((recent, trees))
             n_bins, n_features, depth = p.bins, len(cuts), p.depth
 
-            def add(total, block, state=state, level=level, n_bins=n_bins, n_features=n_features, depth=depth):
-                part = _level_sums(block, *state.value, level, depth, n_bins, n_features)
-                return part if total is None else total + part
+            def sums(blocks, state=state, level=level, n_bins=n_bins, n_features=n_features, depth=depth):
+                return _node_sums(blocks, *state.value, level, depth, n_bins, n_features)
 
-            sums = source.treeAggregate(None, add, lambda a, b: b if a is None else a if b is None else a + b, depth=2)
+            tasks = max(1, min(source.getNumPartitions(), len(classes) * 2 ** level))
+            best = source.mapPartitions(sums).reduceByKey(np.add, tasks).map(lambda node: _best_split(*node, p)).filter(lambda split: split is not None)
+            found = _split(trees, best.collect(), level)
             state.destroy()
-            if sums is None or not _split(trees, sums, level, p):
+            if not found:
                 break
         rounds.append(trees)
         recent = [*recent, trees]

@@ -1,8 +1,11 @@
 """Boosting against its stored node table walked in SQL, a plain loop, and odd rows."""
 
+import pickle
+
 import duckdb
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from quietwire.operators import boosting as G
@@ -74,3 +77,17 @@ def test_missing_values_one_class_and_no_rows(spark):
     assert {(r.pred, r.confidence) for r in M.predict(M.fit_classifier(alone, "y", M.boosted(3, 2)), alone).collect()} == {("a", 1.0)}
     nulls = rows.withColumn("y", F.lit(None).cast("string"))
     assert {r.pred for r in M.predict(M.fit_classifier(nulls, "y", M.boosted(3, 2)), rows).collect()} == {None}
+
+
+def test_histograms_stay_off_the_driver(spark, monkeypatch):
+    sizes, plain = [], RDD.collect
+
+    def collect(self):
+        out = plain(self)
+        sizes.append(len(pickle.dumps(out)))
+        return out
+
+    monkeypatch.setattr(RDD, "collect", collect)
+    model = G.fit_boosted(cloud(spark), "y", G.Boosting(4, 3))
+    assert sum(int((t.feature >= 0).sum()) for t in model.rounds) > 12 and len(sizes) >= 4
+    assert max(sizes) < 3 * 4 * 100  # classes, nodes of the last level, bytes of a split; the sums take 9 kB for a node
