@@ -132,11 +132,13 @@ def value_bucket(value: Column) -> Column:
 
 
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
-                    quantiles: Mapping[str, float]) -> DataFrame:
+                    quantiles: Mapping[str, float], few_keys: bool = False) -> DataFrame:
     """Exact quantiles (linear interpolation) of ``value`` per key.
 
     A first pass counts rows per value bucket; only the buckets that hold a wanted
-    rank are looked at value by value, so no task ever holds a whole key.
+    rank are looked at value by value, so no task ever holds a whole key.  ``few_keys``
+    states that the number of keys does not grow with the rows: the wanted buckets (two
+    for each key and quantile at most) then go to the rows, which stay where they are.
     """
     keyed = rows.filter(F.col(value).isNotNull())
     if not keys:
@@ -159,7 +161,7 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
     for r in ranks.values():
         held = held | ((r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")))
     wanted = summary.filter(held).select(*group, "_b", "_before", "_total")
-    near = keyed.join(F.broadcast(wanted), [*group, "_b"]) if not keys else keyed.join(wanted.hint("merge"), [*group, "_b"])
+    near = keyed.join(F.broadcast(wanted), [*group, "_b"]) if few_keys or not keys else keyed.join(wanted.hint("merge"), [*group, "_b"])
     counted = near.groupBy(*group, "_b", "_before", "_total", "_v").agg(F.count("*").alias("_n"))
     inside = (Window.partitionBy(*group, "_b").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))

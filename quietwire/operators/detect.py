@@ -33,7 +33,7 @@ def long_form(rows: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
 
 def medians(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """K3: exact medians, one row per feature; all-missing features have none."""
-    return exact_quantiles(long_form(rows, columns), ["feature"], "value", {"median": 0.5})
+    return exact_quantiles(long_form(rows, columns), ["feature"], "value", {"median": 0.5}, few_keys=True)
 
 
 def scaling_statistics(rows: DataFrame, columns: Sequence[str] = S.LINEAR_FEATURES) -> DataFrame:
@@ -46,7 +46,7 @@ def scaling_statistics(rows: DataFrame, columns: Sequence[str] = S.LINEAR_FEATUR
     moments = long.groupBy("feature").agg(
         F.count("*").alias("rows"), F.count("value").alias("present"), F.avg("value").alias("m"),
         F.var_pop("value").alias("v"))
-    mid = exact_quantiles(long, ["feature"], "value", {"median": 0.5})
+    mid = exact_quantiles(long, ["feature"], "value", {"median": 0.5}, few_keys=True)
     share = F.col("present") / F.col("rows")
     mean = share * F.col("m") + (1 - share) * F.col("median")
     gap = F.col("m") - F.col("median")

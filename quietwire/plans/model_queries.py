@@ -127,17 +127,24 @@ def known_against_unseen(spark, sf):
     return M.leave_one_scenario_out(rows_of(spark, sf), "x", "row_id", _linear, "c0")
 
 
+def _statistics(spark, sf):
+    return B.stored(spark, sf, "scaling", lambda: D.scaling_statistics(B.stored_features(spark, sf)))
+
+
 def _scaled(spark, sf):
-    rows = B.stored_features(spark, sf)
-    stats = D.scaling_statistics(rows)
-    return D.standardise(rows, stats), stats
+    """The standardised flows, stored: a fit reads them several times, and every reading would work out the exact medians and scale all rows anew."""
+    def build():
+        rows = D.standardise(B.stored_features(spark, sf), _statistics(spark, sf))
+        return rows.select("flow_id", "label", *S.LINEAR_FEATURES)
+
+    return B.stored(spark, sf, "scaled", build)
 
 
 @query("flow_detections")
 def flow_detections(spark, sf):
     """Features to scaled rows to forest and classifier to detections."""
     def build():
-        rows, _ = _scaled(spark, sf)
+        rows = _scaled(spark, sf)
         forest = M.fit_isolation_forest(D.benign_only(rows), S.LINEAR_FEATURES, "flow_id")
         ready = M.vectors(rows, S.LINEAR_FEATURES).withColumn("y", F.col("label"))
         model = M.fit_classifier(ready, "y", _linear())
@@ -162,11 +169,11 @@ def probe_scores(spark, sf):
 def perturbed_detections(spark, sf):
     """How many predictions a noisy measurement changes."""
     rows = B.stored_features(spark, sf)
-    stats = D.scaling_statistics(rows)
-    ready = lambda r: M.vectors(D.standardise(r, stats), S.LINEAR_FEATURES).withColumn("y", F.col("label"))
-    model = M.fit_classifier(ready(rows), "y", _linear())
-    noisy = D.size_noise(D.timing_jitter(rows, "flow_id"), "flow_id", noise=50.0)
-    before = M.predict(model, ready(rows)).select(F.col("flow_id").alias("row_id"), "pred", "confidence", "y")
+    ready = lambda r: M.vectors(r, S.LINEAR_FEATURES).withColumn("y", F.col("label"))
+    plain = ready(_scaled(spark, sf))
+    model = M.fit_classifier(plain, "y", _linear())
+    noisy = D.standardise(D.size_noise(D.timing_jitter(rows, "flow_id"), "flow_id", noise=50.0), _statistics(spark, sf))
+    before = M.predict(model, plain).select(F.col("flow_id").alias("row_id"), "pred", "confidence", "y")
     after = M.predict(model, ready(noisy)).select(F.col("flow_id").alias("row_id"), "pred", "confidence")
     from quietwire.operators.evaluate import change_summary, changed_predictions
 
