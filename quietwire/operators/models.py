@@ -10,15 +10,17 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietwire.operators import evaluate as A
 from quietwire.operators.boosting import BoostedModel, Boosting, fit_boosted
+from quietwire.operators.forest import Forest, ForestModel, fit_forest
 from quietwire.operators.splits import uniform_sample
 from quietwire.session import cut_lineage
 
@@ -141,9 +143,9 @@ def logistic(penalty: float = 1.0, max_iter: int = 1000) -> LogisticRegression:
                               standardization=False, maxIter=max_iter, labelCol="label_index")
 
 
-def random_forest(trees: int = 100, depth: int = 16, seed: int = 42) -> RandomForestClassifier:
-    """K9."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label_index")
+def random_forest(trees: int = 100, depth: int = 16, seed: int = 42) -> Forest:
+    """K9: trees that are grown, kept and asked in tasks."""
+    return Forest(trees, depth, seed)
 
 
 def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.1) -> Boosting:
@@ -151,10 +153,12 @@ def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.1) -> Boosting:
     return Boosting(rounds, depth, rate)
 
 
-def fit_classifier(rows: DataFrame, label: str, estimator) -> PipelineModel | BoostedModel:
+def fit_classifier(rows: DataFrame, label: str, estimator) -> PipelineModel | BoostedModel | ForestModel:
     """``rows`` carries ``features``; class names travel with the model."""
     if isinstance(estimator, Boosting):
         return fit_boosted(rows, label, estimator)
+    if isinstance(estimator, Forest):
+        return fit_forest(rows, label, estimator)
     index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep")
     fitted = index.fit(rows)
     if isinstance(estimator, LogisticRegression):
@@ -167,9 +171,9 @@ def class_names(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
-def predict(model: PipelineModel | BoostedModel, rows: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | BoostedModel | ForestModel, rows: DataFrame) -> DataFrame:
     """Adds ``pred``, ``scores`` (class -> score) and ``confidence`` of the chosen class."""
-    if isinstance(model, BoostedModel):
+    if isinstance(model, BoostedModel | ForestModel):
         return model.predict(rows)
     names = class_names(model)
     out = model.transform(rows)
@@ -192,16 +196,21 @@ def linear_contributions(model: PipelineModel, rows: DataFrame, names: Sequence[
 
 
 # -- stored models -----------------------------------------------------------------
-def save_model(model: PipelineModel, root: str, name: str, version: str, spark, **facts) -> None:
+def save_model(model: PipelineModel | ForestModel, root: str, name: str, version: str, spark, **facts) -> None:
     """The model and a one-row manifest under ``root/name/version``."""
-    model.write().overwrite().save(f"{root}/{name}/{version}/model")
+    path = f"{root}/{name}/{version}/model"
+    model.save(path) if isinstance(model, ForestModel) else model.write().overwrite().save(path)
     row = [(name, version, json.dumps(facts, sort_keys=True))]
     spark.createDataFrame(row, "name string, version string, facts string").coalesce(1).write.mode("overwrite").json(
         f"{root}/{name}/{version}/manifest")
 
 
-def load_model(root: str, name: str, version: str) -> PipelineModel:
-    return PipelineModel.load(f"{root}/{name}/{version}/model")
+def load_model(root: str, name: str, version: str) -> PipelineModel | ForestModel:
+    path = f"{root}/{name}/{version}/model"
+    try:
+        return ForestModel.load(SparkSession.active(), path)
+    except AnalysisException:  # no forest lies there
+        return PipelineModel.load(path)
 
 
 def list_models(spark, root: str) -> DataFrame:
